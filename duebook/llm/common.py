@@ -59,3 +59,27 @@ def word_count(text: Column) -> Column:
 def bits60(*parts: Column) -> Column:
     """A 60-bit number from the MD5 of the parts; DuckDB's md5 gives the same."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def map_rows(df: DataFrame, compute, added: str, keep: list[str], rows: int = 1000) -> DataFrame:
+    """``keep`` columns as they are, then the columns of the DDL ``added`` from ``compute(batch)``, which returns one list per column.
+
+    Arrow hands over batches; each is cut to ``rows`` rows, so a task holds few texts at a time whatever its share of the table.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    schema = StructType([*[df.schema[c] for c in keep], *new])
+    types = [to_arrow_type(f.dataType) for f in new]
+    names = [f.name for f in schema]
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, rows):
+                batch = big.slice(at, rows)
+                made = [pa.array(x, t) for x, t in zip(compute(batch), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=names)
+
+    return df.mapInArrow(run, schema)

@@ -11,6 +11,8 @@ from duebook.llm.common import table
 
 #: query name: (module, function of the operator's thin query, table)
 OPERATORS = {
+    "op3_fertility_rules": ("fertility", "op3", "documents"),
+    "op7_pii_deobfuscation": ("pii", "op7", "documents"),
     "op9_kd_shards": ("kd_shards", "op9", "documents"),
     "op10_mix_sources": ("mixing", "op10", "documents"),
 }
