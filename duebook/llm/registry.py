@@ -11,7 +11,9 @@ from duebook.llm.common import table
 
 #: query name: (module, function of the operator's thin query, table)
 OPERATORS = {
+    "op2_chat_format": ("chat_format", "op2", "conversations"),
     "op3_fertility_rules": ("fertility", "op3", "documents"),
+    "op4_html_consensus": ("html_main", "op4", "pages"),
     "op7_pii_deobfuscation": ("pii", "op7", "documents"),
     "op9_kd_shards": ("kd_shards", "op9", "documents"),
     "op10_mix_sources": ("mixing", "op10", "documents"),
@@ -28,6 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from duebook.llm import mixing
+    from duebook.llm import chat_format, mixing
 
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op10_mix_sources": mixing.SQL}
