@@ -11,9 +11,11 @@ from duebook.llm.common import table
 
 #: query name: (module, function of the operator's thin query, table)
 OPERATORS = {
+    "op1_token_counts": ("token_counts", "op1", "documents"),
     "op2_chat_format": ("chat_format", "op2", "conversations"),
     "op3_fertility_rules": ("fertility", "op3", "documents"),
     "op4_html_consensus": ("html_main", "op4", "pages"),
+    "op5_sentencepiece": ("sp_backend", "op5", "documents"),
     "op7_pii_deobfuscation": ("pii", "op7", "documents"),
     "op9_kd_shards": ("kd_shards", "op9", "documents"),
     "op10_mix_sources": ("mixing", "op10", "documents"),
