@@ -17,6 +17,7 @@ OPERATORS = {
     "op4_html_consensus": ("html_main", "op4", "pages"),
     "op5_sentencepiece": ("sp_backend", "op5", "documents"),
     "op7_pii_deobfuscation": ("pii", "op7", "documents"),
+    "op8_adaptive_scan": ("ann", "op8", "embeddings"),
     "op9_kd_shards": ("kd_shards", "op9", "documents"),
     "op10_mix_sources": ("mixing", "op10", "documents"),
 }
