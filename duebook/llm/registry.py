@@ -16,6 +16,7 @@ OPERATORS = {
     "op3_fertility_rules": ("fertility", "op3", "documents"),
     "op4_html_consensus": ("html_main", "op4", "pages"),
     "op5_sentencepiece": ("sp_backend", "op5", "documents"),
+    "op6_jaccard_join": ("jaccard_join", "op6", "documents"),
     "op7_pii_deobfuscation": ("pii", "op7", "documents"),
     "op8_adaptive_scan": ("ann", "op8", "embeddings"),
     "op9_kd_shards": ("kd_shards", "op9", "documents"),
