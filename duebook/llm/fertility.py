@@ -31,7 +31,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: First code points of scripts, for texts without a language.
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"),
            (0x700, "other"), (0x900, "indic"), (0xE00, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 
 MEASURES = ("q__n_words long, q__word_chars long, q__n_symbols long, q__n_dup_lines long, q__n_repeat_words long, "
             "q__chars_per_token double, q__chars_per_token_2 double, q__byte_share double, q__entropy double, q__script string")
@@ -49,6 +49,9 @@ class _Vocabulary(dict):
         with open(os.path.join(folder, "byte_bpe_multi_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_bpe = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.bytes_size[rank] = len(token)
         self.fresh()
 
     def fresh(self):
@@ -68,7 +71,11 @@ class _Vocabulary(dict):
         words = [w.decode("utf-8", "replace") for w in self.new]
         ids = self.pieces.encode(words, num_threads=1)
         n1 = np.fromiter(map(len, ids), np.int64, len(ids))
-        n2 = np.fromiter((len(x) for x in self.bytes_bpe.encode_ordinary_batch([" " + w for w in words], num_threads=1)), np.int64, len(ids))
+        # one call for all: no token reaches over the space before a word, so tokens belong to the word in which they start
+        tokens = self.bytes_bpe.encode_ordinary(" " + " ".join(words))
+        size = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+        starts = np.cumsum(self.bytes_size[tokens]) - self.bytes_size[tokens]
+        n2 = np.bincount(np.searchsorted(np.cumsum(size), starts, "right"), minlength=len(words))
         self.n1, self.n2 = np.concatenate([self.n1, n1]), np.concatenate([self.n2, n2])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(n1.sum()))])
         self.start = np.concatenate([[0], np.cumsum(self.n1)])
