@@ -1,0 +1 @@
+"""Empty on purpose: snapshots are monthly batches and no operator keeps state between runs."""
