@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from duebook.llm.common import cut, staged
 
 SAMPLE, BOUND_SAMPLE, LISTS, TARGET = 16_384, 2_048, 256, 0.98
+#: Lists scanned first; the best they hold bound the scan of the others.
+FIRST = 8
 BLOCK, COLUMNS, EPSILON, SEED = 2_000, 16, 2.1, 7
 
 
@@ -172,7 +174,10 @@ def search(embeddings: DataFrame, is_query, k: int = 20, lists: int = LISTS) ->
     of = lambda counts: F.element_at(chunks(counts), F.col("lst") + 1)
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     right = placed.select("cid", "v", "lst", F.pmod(F.xxhash64("cid"), of(sizes)).cast("int").alias("s")).withColumn("t", spread(of(asked)))
-    left = queries.select("cid", "v", "bound", F.explode("probes").alias("lst")).withColumn("t", F.pmod(F.xxhash64("cid"), of(asked)).cast("int")).withColumn("s", spread(of(sizes)))
+
+    def asking(rows, lists_of):
+        rows = rows.select("cid", "v", "bound", F.explode(lists_of).alias("lst"))
+        return rows.withColumn("t", F.pmod(F.xxhash64("cid"), of(asked)).cast("int")).withColumn("s", spread(of(sizes)))
 
     def scan(q, x):
         one = held.value
@@ -185,9 +190,18 @@ def search(embeddings: DataFrame, is_query, k: int = 20, lists: int = LISTS) ->
         at = _top(rows, ids, scores, best)
         return pa.table([q.column("cid").to_numpy()[rows[at]], ids[at], scores[at]], schema=schema)
 
-    scanned = left.groupBy("lst", "s", "t").cogroup(right.groupBy("lst", "s", "t")).applyInArrow(scan, "query long, cid long, score double")
+    def scanned(rows):
+        return rows.groupBy("lst", "s", "t").cogroup(right.groupBy("lst", "s", "t")).applyInArrow(scan, "query long, cid long, score double")
+
+    one = cut(scanned(asking(queries, F.slice("probes", 1, FIRST))))
+    # distance bounds of the best scores: both sides have norms that make the distance |q|^2 + most - 2 score
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "cid"))
+    least = one.withColumn("place", place).where(F.col("place") == best).select(F.col("query").alias("cid"), F.col("score").alias("kth"))
+    near = norm + F.lit(total["most"]) - 2 * F.col("kth")
+    bounded = queries.join(least, "cid", "left").select("cid", "v", "probes", F.coalesce(F.least("bound", near), F.col("bound")).alias("bound"))
+    two = scanned(asking(bounded, F.slice("probes", FIRST + 1, max(1, probes))))
     sampled = queries.select(F.col("cid").alias("query"), F.inline(F.arrays_zip(F.col("ids").alias("cid"), F.col("scores").alias("score"))))
-    hits = scanned.unionByName(sampled).groupBy("query", "cid").agg(F.max("score").alias("score"))
+    hits = one.unionByName(two).unionByName(sampled).groupBy("query", "cid").agg(F.max("score").alias("score"))
     # at most k + 1 classes a query, then at most k + 1 members a class: no other can be among the first k + 1
     first = W.partitionBy("query").orderBy(F.desc("score"), "cid")
     hits = hits.withColumn("place", F.row_number().over(first)).where(F.col("place") <= best).drop("place")
