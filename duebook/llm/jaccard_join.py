@@ -10,9 +10,10 @@ order of shingles is: those that few documents share before those that many shar
    than one node are kept.
 3. Per shingle, every node is compared with the list's first node only (a star, never all pairs). The sets of the nodes concerned are
    cut into fragments of the global order; partial overlaps are counted per pair and fragment and summed per pair.
-4. Linked nodes contract to components. Lists whose nodes still lie in several components then give all pairs across components that
-   are not tested yet, under the length and position bounds; these are counted likewise. A link between two nodes of one component
-   cannot change a component, so no link is lost.
+4. Linked nodes contract to components. Lists whose nodes still lie in several components are then compared across components: lists of
+   up to SMALL nodes as pairs, under the length and position bounds, counted likewise; longer ones in blocks of BLOCK nodes or BLOCK_SHINGLES shingles,
+   each fragment's partial overlaps as a product of incidence matrices, summed over the fragments, of which only links that join
+   components leave the task. A link between two nodes of one component cannot change a component, so no link is lost.
 
 Null or empty text: no shingles, linked with nothing. Null doc_id: counted, component null, linked with nothing. Rows that repeat a
 doc_id: each a row of the result; equal texts fall into one node like copies. Long texts: arrays of 8 bytes a shingle, one text at a
@@ -21,48 +22,107 @@ time. Empty table: no rows.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duebook.llm.common import cut, map_rows, staged
+from duebook.llm.common import bounded_broadcast, cut, discard, map_rows, staged
 from duebook.llm.components import components
 
 WORDS = 5
 #: Link: 100 * intersection >= 80 * union, that is 9 * intersection >= 4 * (sum of the set sizes).
-HEAVY, MOST_HEAVY = 32, 1 << 20
+HEAVY, MOST_HEAVY = 8, 1 << 20
 FRAGMENTS = 8
-MOST_CACHED = 500_000
+SMALL, BLOCK, COLUMNS = 12, 400, 8192
+#: Shingles of a block, and documents read at once.
+BLOCK_SHINGLES, ROWS = 400_000, 400
+#: Wanted documents up to this count are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
+MOST_WANTED = 1_000_000
+#: Bytes of text hashed at once.
+PIECE = 1 << 19
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Hashes()
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9F8C54E36A2D1B75  # odd, so it has an inverse modulo 2^64
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word, from running sums of the bytes times powers of a base."""
+    buf = np.frombuffer(b" " + raw + b" ", np.uint8)
+    if len(_powers["up"]) < len(buf):
+        n = max(len(buf), 1 << 20)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps)
+    space = _SPACE[buf]
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    run = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers["up"][: len(buf)], out=run[1:])
+    h = (run[end] - run[start]) * _powers["down"][start]
+    return _mixed(h ^ ((end - start).astype(np.uint64) << np.uint64(56))), start - 1
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; texts are read some megabytes at a time."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at < len(texts) and (not group or size < PIECE):
+            group.append((texts[at] or "").encode("utf-8", "replace").lower())  # bytes: A-Z only
+            size += len(group[-1])
+            at += 1
+        out += _sets(group) if size < 2 * PIECE else [x for g in group for x in _sets([g])]
+    return out
+
+
+def _sets(group: list[bytes]) -> list[np.ndarray]:
+    if len(group) == 1 and len(group[0]) > PIECE:  # one long text: hashes piece by piece, cut at white space
+        raw, hashes, at = group[0], [], 0
+        while at < len(raw):
+            cut_at = at + PIECE
+            m = re.search(rb"[\x20\x09-\x0D]", raw[cut_at : cut_at + PIECE]) if cut_at < len(raw) else None
+            stop = cut_at + m.start() if m else len(raw)
+            hashes.append(_word_hashes(raw[at:stop])[0])
+            at = stop
+        h, n = np.concatenate(hashes), None
+        n = np.array([len(h)])
+    else:
+        h, start = _word_hashes(b" ".join(group))
+        first = np.cumsum([0, *(len(g) + 1 for g in group)])[:-1]
+        n = np.bincount(np.searchsorted(first, start, "right") - 1, minlength=len(group)) if len(start) else np.zeros(len(group), np.int64)
+    whole = _windows(h, WORDS) if len(h) >= WORDS else np.zeros(0, np.uint64)
+    made, at = [], 0
+    for k in n.tolist():
+        tokens = np.sort(whole[at : at + k - WORDS + 1] if k >= WORDS else _windows(h[at : at + k], k)) if k else np.zeros(0, np.uint64)
+        made.append(tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if k else tokens)
+        at += k
+    return made
+
+
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+    return _mixed(out)
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z only, the six ASCII spaces only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = len(h) - WORDS + 1
-    size = WORDS if n >= 1 else len(h)
-    out = np.full(max(n, 1), size, np.uint64)
-    for k in range(size):
-        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
+    return shingle_sets([text])[0]
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -79,11 +139,10 @@ def _read(fragments: int):
 
     def run(batches):
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
                 sizes, sigs, halves, seen = [], [], [], set()
-                for text in batch.column("text").to_pylist():
-                    tokens = shingles(text)
+                for tokens in shingle_sets(batch.column("text").to_pylist()):
                     sig = signature(tokens) if len(tokens) else None
                     sizes.append(len(tokens))
                     sigs.append(sig)
@@ -168,10 +227,9 @@ def _prefixes(held, fragments: int):
     def run(batches):
         heavy = held.value
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
+            for at in range(0, big.num_rows, ROWS):
                 parts, sigs, sizes, seen = [], [], [], set()
-                for text in big.slice(at, 1000).column("text").to_pylist():
-                    tokens = shingles(text)
+                for tokens in shingle_sets(big.slice(at, ROWS).column("text").to_pylist()):
                     if not len(tokens) or (sig := signature(tokens)) in seen:
                         continue
                     seen.add(sig)
@@ -194,8 +252,7 @@ def _fragmented(held, fragments: int):
 
     def compute(batch):
         out = []
-        for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
-            tokens = shingles(text)
+        for tokens, node in zip(shingle_sets(batch.column("text").to_pylist()), batch.column("node").to_pylist(), strict=True):
             if not len(tokens) or signature(tokens) != node:  # another row under the same doc_id
                 out.append([])
                 continue
@@ -208,13 +265,71 @@ def _fragmented(held, fragments: int):
     return compute
 
 
-def _near(na, nb) -> F.Column:
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na)
-
-
 def _possible(na, pa_, nb, pb) -> F.Column:
     """Length and position bounds: what is left of both sets from a first common shingle on must still suffice."""
-    return _near(na, nb) & (9 * F.least(na - pa_, nb - pb) >= 4 * (na + nb))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * F.least(na - pa_, nb - pb) >= 4 * (na + nb))
+
+
+def _arrays(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, comp, lengths, all shingles one set after the other) of a block's side."""
+    sets = table.column("s").combine_chunks()
+    length = np.diff(np.asarray(sets.offsets)) if len(sets) else np.zeros(0, np.int64)
+    return table.column("node").to_numpy(), table.column("comp").to_numpy(), length.astype(np.int64), sets.flatten().to_numpy().view(np.uint64)
+
+
+def overlaps(la: np.ndarray, a: np.ndarray, lb: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: partial counts per fragment of the hash range, summed."""
+    total = np.zeros((len(la), len(lb)), np.float32)
+    row_a, row_b = np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)
+    shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
+    for k in range(FRAGMENTS):
+        in_a, in_b = (a >> shift) == k, (b >> shift) == k
+        ta, tb, ra, rb = a[in_a], b[in_b], row_a[in_a], row_b[in_b]
+        both = np.intersect1d(ta, tb)
+        for lo in range(0, len(both), COLUMNS):
+            some = both[lo : lo + COLUMNS]
+            sides = []
+            for t, r, n in ((ta, ra, len(la)), (tb, rb, len(lb))):
+                at = np.minimum(np.searchsorted(some, t), len(some) - 1)
+                hit = some[at] == t
+                m = np.zeros((n, len(some)), np.float32)
+                m[r[hit], at[hit]] = 1
+                sides.append(m)
+            total += sides[0] @ sides[1].T
+    return total
+
+
+def _block(table):
+    """Links between the nodes of two blocks (or within one), as few as join their components in the same way."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not table.num_rows:
+        return schema.empty_table()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    left, right = (table.filter(pc.equal(table.column("block"), x)) for x in (i, j))
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    na, ca, la, ta = _arrays(left)
+    nb, cb, lb, tb = _arrays(right)
+    common = overlaps(la, ta, lb, tb)
+    rows, cols = np.nonzero((9 * common >= 4 * (la[:, None] + lb[None])) & (ca[:, None] != cb[None]))
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(ca[rows].tolist(), cb[cols].tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(k)
+    return pa.table([na[rows[keep]], nb[cols[keep]]], schema=schema)
 
 
 class _Join:
@@ -224,8 +339,10 @@ class _Join:
         self.fragments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         schema = "doc_id long, n long, sig long, frag int, blob binary"
         read = staged(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(self.fragments), schema))
-        self.sizes = read.where("frag IS NULL").select("doc_id", "n", "sig")
+        self.sizes = staged(read.where("frag IS NULL").select("doc_id", "n", "sig"))
         self.heavy = spark.sparkContext.broadcast(heavy_shingles(read))
+        discard(read)
+        self.repeats = not self.sizes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
         self.first = self.sizes.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
 
     def live(self) -> DataFrame:
@@ -236,21 +353,35 @@ class _Join:
         rows = rows.withColumn("lead", F.min(me).over(w)).withColumn("hi", F.max("node").over(w))
         return staged(rows.where(F.col("lead.node") < F.col("hi")).drop("hi"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, parts) of the nodes (column sig): their sets from one of their texts, cut into fragments."""
+        wanted = cut(nodes.join(self.first, "sig").select(F.col("first").alias("doc_id"), F.col("sig").alias("node")))
+        texts = self.docs.join(bounded_broadcast(wanted, wanted.count(), MOST_WANTED), "doc_id").select("node", "text")
+        made = map_rows(texts, _fragmented(self.heavy, self.fragments), "parts array<struct<k int, s array<long>>>", ["node"], rows=200)
+        made = made.where(F.size("parts") > 0)
+        # rows that repeat a doc_id and its text give the same set twice
+        return staged(made.dropDuplicates(["node"]) if self.repeats else made)
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb), those that link: partial overlaps per fragment, summed."""
-        nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(self.first, "sig").select(F.col("first").alias("doc_id"), F.col("sig").alias("node"))
-        texts = self.docs.join(wanted, "doc_id").select("node", "text")
-        added = "parts array<struct<k int, s array<long>>>"
-        sets = map_rows(texts, _fragmented(self.heavy, self.fragments), added, ["node"], rows=200).where(F.size("parts") > 0)
-        # rows that repeat a doc_id and its text give the same sets twice
-        parts = staged(sets.select("node", F.inline("parts"))).dropDuplicates(["node", "k"])
+        parts = sets.select("node", F.inline("parts"))
         left = pairs.join(parts.select(F.col("node").alias("a"), "k", F.col("s").alias("sa")), "a")
         both = left.join(parts.select(F.col("node").alias("b"), "k", F.col("s").alias("sb")), ["b", "k"])
         partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return summed.where(9 * F.col("common") >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
+    def block_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links across components among the nodes of each group (gid, node, n, comp), block by block: a node goes once to every pair of
+        blocks that its own is part of."""
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        sized = rows.groupBy("gid").agg(blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        whole = sets.select("node", F.flatten(F.transform("parts", lambda x: x["s"])).alias("s"))
+        placed = rows.join(sized.where("lo < hi"), "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(whole, "node")
+        return placed.groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long")
+
 
 def _paired(rows: DataFrame) -> DataFrame:
     """Distinct pairs with the smaller node first."""
@@ -265,7 +396,9 @@ def groups(docs: DataFrame) -> DataFrame:
     live = join.live()
     star = live.where(F.col("node") != F.col("lead.node")).where(_possible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
     tested = staged(_paired(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))))
-    linked = cut(join.links(tested))
+    nodes = lambda pairs: pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    sets = join.sets(nodes(tested))
+    linked = cut(join.links(tested, sets))
     comps = components(linked)
 
     comp = F.coalesce("comp", "node")
@@ -273,16 +406,28 @@ def groups(docs: DataFrame) -> DataFrame:
     w = W.partitionBy("t")
     home = F.max(F.when(F.col("node") == F.col("lead"), F.col("comp"))).over(w)
     placed = placed.withColumn("home", home).withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w))
-    mixed = staged(placed.where("lo < hi").select("t", "node", "n", "pos", "comp", (F.col("comp") != F.col("home")).alias("out")).distinct())
-    side = lambda x, out: mixed.where(out).select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp")])
-    # both outside the leader's component: one order suffices
-    apart = side("a", F.col("out")).join(mixed.select("t", "out", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "comp")]), "t").where(
+    mixed = placed.where("lo < hi").select("t", "node", "n", "pos", "comp", "lead", "home").distinct()
+    mixed = staged(mixed.withColumn("long", F.count(F.lit(1)).over(w) > SMALL))
+    del placed
+    discard(live)
+
+    short = mixed.where("NOT long").withColumn("out", F.col("comp") != F.col("home"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp")]
+    apart = short.where("out").select("t", *side("a")).join(short.select("t", "out", *side("b")), "t").where(
         (F.col("comp_a") != F.col("comp_b")) & (~F.col("out") | (F.col("node_a") < F.col("node_b"))) & _possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
     )
     more = _paired(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")))
     more = staged(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        comps = components(linked.union(join.links(more)))
+
+    # lists of one near-copy group mostly have the same lead; those whose lead is itself in an earlier list go with that one
+    lists = mixed.where("long").select("lead", "node", "n", "comp").distinct()
+    up = lists.groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("up"))
+    grouped = staged(lists.join(up, "lead", "left").select(F.least("lead", "up").alias("gid"), "node", "n", "comp").distinct())
+    wanted = nodes(more).union(grouped.select("node")).distinct()
+    rest = join.sets(wanted.join(sets.select(F.col("node").alias("sig")), "sig", "left_anti"))
+    sets = sets.unionByName(rest)
+    found = cut(join.links(more, sets).union(join.block_links(grouped, sets)))
+    comps = components(linked.union(found))
 
     named = join.first.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     named = cut(named)
