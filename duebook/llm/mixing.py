@@ -55,67 +55,74 @@ rises while capped sources give up their excess and falls from there on, hence i
 
 def _boundary(sums: DataFrame, left: Column, *keep: str) -> DataFrame:
     """Per source, the bucket in which the budget ends, with what is left of the budget at its start."""
-    run = F.sum("part").over(W.partitionBy("skey").orderBy("bucket"))
+    run = F.sum("part").over(W.partitionBy("m__key").orderBy("bucket"))
     return sums.withColumn("until", run).where((F.col("until") > left) & (F.col("until") - F.col("part") <= left)).select(
-        "skey", *keep, "bucket", (left - F.col("until") + F.col("part")).alias("left")
+        "m__key", *keep, "bucket", "part", (left - F.col("until") + F.col("part")).alias("left")
     )
 
 
-def mix(docs: DataFrame, *keep: str, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -> DataFrame:
-    """Per document: ``keep`` columns, size, source_size, target (its source's) and copies (how often the mix takes it)."""
+def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the operator's own columns: source key, hash, size, and what orders equal hashes."""
     source, doc_id, text = (F.col(c) for c in ("source", "doc_id", "text"))
-    rows = cut(docs.select(
-        *keep, source, word_count(text).alias("size"),
-        # a null source sorts after every other: its key cannot equal a text's
-        F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("skey"),
-        bits60(F.coalesce(source, F.lit("")), F.coalesce(doc_id.cast("string"), F.lit("null"))).alias("h"),
-        F.xxhash64(text).alias("tie"),
-    ))
-    first = F.shiftrightunsigned("h", SHIFTS[0])
-    histogram = cut(rows.groupBy("skey", "source", first.alias("bucket")).agg(F.sum("size").alias("part")))
-    sizes = histogram.groupBy("skey", "source").agg(F.sum("part").alias("source_size"))
-    goals = cut(targets(sizes.drop("skey"), weights, share, most).select(
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("skey"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).alias("whole"),
-    ).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
+    return docs.select(
+        *keep, source.alias("m__source"), word_count(text).alias("m__size"),
+        # a null source's key equals no other's
+        F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("m__key"),
+        bits60(F.coalesce(source, F.lit("")), F.coalesce(doc_id.cast("string"), F.lit("null"))).alias("m__h"),
+        F.xxhash64(text).alias("m__tie"),
+    )
+
+
+def mix(docs: DataFrame, *keep: str, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -> DataFrame:
+    """``keep`` columns of every document, m__size, m__source_size, m__target (its source's), m__copies (how often the mix takes it)."""
+    slim = [c for c in keep if c == "doc_id"]
+    rows = cut(_keyed(docs, *slim))
+    first, second = (F.shiftrightunsigned("m__h", s) for s in SHIFTS)
+    histogram = cut(rows.groupBy("m__key", "m__source", first.alias("bucket")).agg(F.sum("m__size").alias("part")))
+    sizes = histogram.groupBy("m__key", F.col("m__source").alias("source")).agg(F.sum("part").alias("source_size"))
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("m__key")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    goals = targets(sizes.select("source", "source_size"), weights, share, most).select(key, "source_size", "target", whole.alias("whole"))
+    goals = cut(goals.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
     n_sources = goals.count()
     small = lambda df: bounded_broadcast(df, n_sources, MOST_BROADCAST)
 
-    b1 = _boundary(histogram.join(small(goals.select("skey", "budget")), "skey"), F.col("budget"), "budget").withColumnRenamed("bucket", "b1")
-    second = F.shiftrightunsigned("h", SHIFTS[1])
-    inside = rows.withColumn("b1", first).join(small(b1), ["skey", "b1"])
-    sums2 = inside.groupBy("skey", "left", second.alias("bucket")).agg(F.sum("size").alias("part"))
-    b2 = _boundary(sums2, F.col("left")).withColumnRenamed("bucket", "b2")
+    b1 = _boundary(histogram.join(small(goals.select("m__key", "budget")), "m__key"), F.col("budget")).drop("part").withColumnRenamed("bucket", "b1")
+    sums2 = rows.withColumn("b1", first).join(small(b1), ["m__key", "b1"]).groupBy("m__key", "left", second.alias("bucket")).agg(F.sum("m__size").alias("part"))
+    b2 = _boundary(sums2, F.col("left")).drop("part").withColumnRenamed("bucket", "b2")
     # a 2^-28 part of a source: single documents at any size but for ties
-    sums3 = rows.withColumn("b2", second).join(small(b2), ["skey", "b2"]).groupBy("skey", "left", F.col("h").alias("bucket")).agg(F.sum("size").alias("part"))
-    b3 = cut(_boundary(sums3, F.col("left")).withColumnRenamed("bucket", "edge"))
-
-    out = rows.join(small(goals), "skey").join(small(b3), "skey", "left")
-    # without a boundary the budget is 0 or the whole source; a budget of 0 ends in the first bucket that has words
-    below = F.when(F.col("edge").isNull(), F.lit(False)).otherwise(F.col("h") < F.col("edge"))
-    at_edge = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
-    # numbered among the rows of the boundary hash only
-    ties = W.partitionBy("skey", "h").orderBy("size", "tie")
-    edge_rows = out.where(at_edge).withColumn("run", F.sum("size").over(ties.rowsBetween(W.unboundedPreceding, 0)))
-    nearer = (2 * F.col("run") - F.col("size") <= 2 * F.col("left")) & (F.col("left") > 0)
-    parts = [
-        out.where(~at_edge).withColumn("more", below),
-        edge_rows.withColumn("more", nearer).drop("run"),
-    ]
-    both = parts[0].unionByName(parts[1])
-    copies = F.least(F.col("whole") + F.col("more").cast("long"), F.lit(most).cast("long"))
-    return both.select(*keep, "size", "source_size", "target", copies.alias("copies"))
+    inside = rows.withColumn("b2", second).join(small(b2), ["m__key", "b2"])
+    sums3 = inside.groupBy("m__key", "left", F.col("m__h").alias("bucket")).agg(F.sum("m__size").alias("part"), F.count(F.lit(1)).alias("tied"))
+    b3 = _boundary(sums3, F.col("left"), "tied")
+    # a document is taken if that brings its source nearer to the target
+    edge = b3.select("m__key", F.col("bucket").alias("edge"), "left", "tied", ((F.col("part") <= 2 * F.col("left")) & (F.col("left") > 0)).alias("edge_in"))
+    plan = cut(goals.join(small(edge), "m__key", "left"))
+
+    frame = rows if slim == list(keep) else _keyed(docs, *keep)
+    out = frame.join(small(plan), "m__key")
+    at_edge = F.coalesce(F.col("m__h") == F.col("edge"), F.lit(False))
+    more = F.coalesce(F.when(at_edge, F.col("edge_in")).otherwise(F.col("m__h") < F.col("edge")), F.lit(False))
+    tied = at_edge & (F.col("tied") > 1)
+    made = out.withColumn("m__more", more)
+    if not plan.where("tied > 1").isEmpty():  # rows that share source and doc_id, numbered among themselves
+        ties = W.partitionBy("m__key", "m__h").orderBy("m__size", "m__tie").rowsBetween(W.unboundedPreceding, 0)
+        some = out.where(tied).withColumn("run", F.sum("m__size").over(ties))
+        nearer = (2 * F.col("run") - F.col("m__size") <= 2 * F.col("left")) & (F.col("left") > 0)
+        made = made.where(~tied).unionByName(some.withColumn("m__more", nearer).drop("run"))
+    copies = F.least(F.col("whole") + F.col("m__more").cast("long"), F.lit(most).cast("long"))
+    return made.select(*keep, "m__size", F.col("source_size").alias("m__source_size"), F.col("target").alias("m__target"), copies.alias("m__copies"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
     """The contract's columns: taken is size times copies."""
-    return mix(docs, "doc_id").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    names = {"m__size": "size", "m__source_size": "source_size", "m__target": "target"}
+    return mix(docs, "doc_id").select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], (F.col("m__size") * F.col("m__copies")).alias("taken"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: every document as often as the mix takes it, unchanged."""
-    taken = mix(docs, *docs.columns)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = mix(docs, *docs.columns).where("m__copies > 0")
+    return taken.withColumn("m__copy", F.explode(F.sequence(F.lit(1), F.col("m__copies").cast("int")))).select(*docs.columns)
 
 
 #: Same weights, water level and nearest-document law; md5 is the same in both engines. `tie` is left out: it orders rows that share source and doc_id.
