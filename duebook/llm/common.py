@@ -74,7 +74,7 @@ def bits60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def map_rows(df: DataFrame, compute, added: str, keep: list[str], rows: int = 1000) -> DataFrame:
+def map_rows(df: DataFrame, compute, added: str, keep: list[str], rows: int = 400) -> DataFrame:
     """``keep`` columns as they are, then the columns of the DDL ``added`` from ``compute(batch)``, which returns one list per column.
 
     Arrow hands over batches; each is cut to ``rows`` rows, so a task holds few texts at a time whatever its share of the table.
@@ -96,3 +96,26 @@ def map_rows(df: DataFrame, compute, added: str, keep: list[str], rows: int = 10
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+_resident: dict = {}
+
+
+def resident(key, make):
+    """A worker's one large object (a model with its tables): loading another lets the former go."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def same_columns(stage):
+    """For stages that return the columns they got: while the stage runs, columns that it does not know have names of their own."""
+    known = ("doc_id", "text", "lang", "source", "n_chars")
+
+    def run(docs: DataFrame) -> DataFrame:
+        inside = docs.toDF(*[c if c in known else f"r__{k}" for k, c in enumerate(docs.columns)])
+        return stage(inside).toDF(*docs.columns)
+
+    run.__doc__ = stage.__doc__
+    return run

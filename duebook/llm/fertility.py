@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import TOKENIZER_DIR, bounded_broadcast, cut, map_rows, staged
+from duebook.llm.common import TOKENIZER_DIR, bounded_broadcast, cut, map_rows, resident, same_columns, staged
 
 SYMBOLS, SPACE = b"#*$%&|<>", bytes([0x20, *range(0x09, 0x0E)])
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -31,7 +31,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: First code points of scripts, for texts without a language.
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"),
            (0x700, "other"), (0x900, "indic"), (0xE00, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
-MOST_WORDS = 1_000_000
+#: Words a worker keeps between batches.
+MOST_WORDS = 500_000
 
 MEASURES = ("q__n_words long, q__word_chars long, q__n_symbols long, q__n_dup_lines long, q__n_repeat_words long, "
             "q__chars_per_token double, q__chars_per_token_2 double, q__byte_share double, q__entropy double, q__script string")
@@ -82,15 +83,11 @@ class _Vocabulary(dict):
         self.new = []
 
 
-_loaded: dict[str, _Vocabulary] = {}
-
-
 def _vocabulary(folder: str) -> _Vocabulary:
-    if folder not in _loaded:
-        _loaded[folder] = _Vocabulary(folder)
-    if len(_loaded[folder]) > MOST_WORDS:
-        _loaded[folder].fresh()
-    return _loaded[folder]
+    words = resident(("words", folder), lambda: _Vocabulary(folder))
+    if len(words) > MOST_WORDS:
+        words.fresh()
+    return words
 
 
 def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -204,6 +201,7 @@ def op3(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"q__{n}").alias(n) for n in names])
 
 
+@same_columns
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
     return judged(measured(docs, docs.columns)).where("q__kept").select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duebook.llm.common import bounded_broadcast, cut, discard, map_rows, staged
+from duebook.llm.common import bounded_broadcast, cut, discard, map_rows, same_columns, staged
 from duebook.llm.components import components
 
 WORDS = 5
@@ -442,6 +442,7 @@ def op6(docs: DataFrame) -> DataFrame:
     return groups(docs)
 
 
+@same_columns
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of every group, and all without doc_id; of rows that repeat its doc_id, one."""
     found = cut(groups(docs))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duebook.llm.common import bits60, bounded_broadcast, cut, word_count
+from duebook.llm.common import bits60, bounded_broadcast, cut, same_columns, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -119,6 +119,7 @@ def op10(docs: DataFrame) -> DataFrame:
     return mix(docs, "doc_id").select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], (F.col("m__size") * F.col("m__copies")).alias("taken"))
 
 
+@same_columns
 def repeated(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: every document as often as the mix takes it, unchanged."""
     taken = mix(docs, *docs.columns).where("m__copies > 0")

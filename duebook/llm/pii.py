@@ -19,7 +19,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import map_rows
+from duebook.llm.common import map_rows, same_columns
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -299,6 +299,7 @@ def _redact(batch):
     return [[None if t is None else redact(t, bool(h)) for t, h in zip(column.to_pylist(), _hinted(column), strict=True)]]
 
 
+@same_columns
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; ``n_chars``, if there, follows."""
     rows = map_rows(docs, _redact, "p__text string", docs.columns)

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from duebook.llm.common import TOKENIZER_DIR, map_rows
+from duebook.llm.common import TOKENIZER_DIR, map_rows, resident
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -30,7 +30,7 @@ MODEL = "piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Units a worker keeps between batches.
-MOST_UNITS = 400_000
+MOST_UNITS = 200_000
 
 
 def _fields(data: bytes):
@@ -233,13 +233,8 @@ class Backend:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_loaded: dict[str, Backend] = {}
-
-
 def backend(path: str) -> Backend:
-    if path not in _loaded:
-        _loaded[path] = Backend(path)
-    return _loaded[path]
+    return resident(("pieces", path), lambda: Backend(path))
 
 
 def _encode(path: str):
@@ -262,6 +257,9 @@ def _encode(path: str):
 
 def encoded(docs: DataFrame, *keep: str, model: str = MODEL, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``keep``, n_tokens, ids, ids_crc32 (of little-endian 32-bit ids), parity and round_trip."""
+    made = ("n_tokens", "ids", "ids_crc32", "parity", "round_trip")
+    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in keep if c in made})
+    keep = tuple(f"{c}_in" if c in made else c for c in keep)
     need = list(dict.fromkeys([*keep, "text"]))
     added = "n_tokens long, ids array<int>, ids_crc32 long, parity boolean, round_trip boolean"
     rows = map_rows(docs.select(need), _encode(os.path.join(folder, model)), added, need)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import TOKENIZER_DIR, map_rows
+from duebook.llm.common import TOKENIZER_DIR, map_rows, resident
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 RULES = ("start", "most", "split")
@@ -97,14 +97,9 @@ def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], right[:-1]]), right
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def _count(path: str, rule: str, sections):
     def compute(batch):
-        if path not in _loaded:
-            _loaded[path] = Encoder(path)
-        one, out, totals = _loaded[path], [], []
+        one, out, totals = resident(("offsets", path), lambda: Encoder(path)), [], []
         for text, given in zip(batch.column("text").to_pylist(), batch.column("a__sections").to_pylist() if sections else [None] * batch.num_rows, strict=True):
             text = text or ""
             starts, ends = one.spans(text)
