@@ -32,7 +32,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"),
            (0x700, "other"), (0x900, "indic"), (0xE00, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 #: Words a worker keeps between batches.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 MEASURES = ("q__n_words long, q__word_chars long, q__n_symbols long, q__n_dup_lines long, q__n_repeat_words long, "
             "q__chars_per_token double, q__chars_per_token_2 double, q__byte_share double, q__entropy double, q__script string")
