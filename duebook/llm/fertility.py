@@ -22,10 +22,11 @@ from duebook.llm.common import TOKENIZER_DIR, bounded_broadcast, cut, map_rows,
 SYMBOLS, SPACE = b"#*$%&|<>", bytes([0x20, *range(0x09, 0x0E)])
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Band: quartiles widened by WIDTH times their distance, taken as at least the floor (bands of near-constant measures stay open).
-WIDTH, LEAST_DOCS = 4.0, 50
+#: WIDTH and SHORT are fitted on half of the labels and held against the other half (README).
+WIDTH, LEAST_DOCS = 2.0, 50
 FLOORS = {"chars_per_token": 0.08, "chars_per_token_2": 0.06, "byte_share": 0.02, "entropy": 0.3}
 #: Short texts scatter more: a text of n words may lie sqrt(1 + SHORT / n) times as far outside the quartiles.
-SHORT = 100.0
+SHORT = 200.0
 #: The pattern that goes with the byte-level vocabularies (fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: First code points of scripts, for texts without a language.

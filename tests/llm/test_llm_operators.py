@@ -208,6 +208,23 @@ def test_fertility_measures_and_bands(spark):
     assert all(got[k]["kept"] for k, *_ in good) and not got[1000]["kept"] and not got[1001]["kept"]
 
 
+def syllables(r, n):
+    """Invented prose: common short words amid longer ones made of syllables."""
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+    return [r.choice(["the", "of", "and", "to", "in", "is", "was", "for"]) if r.random() < 0.4 else "".join(r.choice(parts) for _ in range(r.randint(2, 5))) for _ in range(n)]
+
+
+def test_fertility_rejects_symbols_and_tables(spark):
+    r = random.Random(5)
+    good = [" ".join(syllables(r, r.randint(60, 500))) for _ in range(300)]
+    laden = [" ".join(w + r.choice(["***", "###", "$$$", "%%%", "&&&"]) for w in syllables(r, r.randint(100, 400))) for _ in range(12)]
+    tables = [" ".join(w + " |" if i % 2 == 0 else w for i, w in enumerate(syllables(r, r.randint(100, 400)))) for _ in range(12)]
+    got = by_id(fertility.op3(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(good + laden + tables)], DOCS)))
+    assert not any(row["base_failed"] for row in got.values())
+    assert sum(not got[k]["kept"] for k in range(300)) <= 3
+    assert not any(got[k]["kept"] for k in range(300, 312)) and sum(got[k]["kept"] for k in range(312, 324)) <= 2
+
+
 @pytest.mark.parametrize("text,expected", [("hello", "latin"), ("привет мир", "cyrillic"), ("日本語漢字", "han"), ("123", "none"), ("", "none")])
 def test_script(text, expected):
     assert fertility.script(text) == expected
