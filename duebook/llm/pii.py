@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +71,6 @@ _HINTS = (
     r"[\[({<] ?(?i:" + f"{_at}|{_dot}" + r"|@|\.) ?[\])}>]",
     r"(?i)[ ](?:" + _dot + r")[ ](?:" + _end + r")\b",
     r"(?i)(?:" + _ANY_DIGIT + r")[ ,.;/\t\n-]{1,3}(?:(?:" + _ANY_DIGIT + r"|[0-9]{1,4})[ ,.;/\t\n-]{1,3}){2}",
-    r"[" + "".join(LOOKALIKES) + INVISIBLE + r"\x{2070}-\x{209f}\x{2460}-\x{24ff}\x{ff01}-\x{ff5e}\x{1d400}-\x{1d7ff}\x{660}-\x{669}\x{6f0}-\x{6f9}\x{966}-\x{96f}]",
 )
 
 
@@ -190,6 +191,19 @@ def _plain(c: str) -> str | None:
     return n if len(n) == 1 and n.isascii() and n != c else None
 
 
+@cache
+def _rewritten_class() -> str:
+    """An RE2 class of every character that ``_plain`` rewrites, as ranges."""
+    ranges: list[list[int]] = []
+    for k in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= k < 0xE000 and _plain(chr(k)) is not None:
+            if ranges and ranges[-1][1] == k - 1:
+                ranges[-1][1] = k
+            else:
+                ranges.append([k, k])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def _characters(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), p) for m in re.finditer(r"[^\x00-\x7f]", text) if (p := _plain(m[0])) is not None]
 
@@ -258,7 +272,7 @@ def _hinted(column):
     import pyarrow.compute as pc
 
     any_of = None
-    for pattern in _HINTS:
+    for pattern in (*_HINTS, _rewritten_class()):
         hit = pc.match_substring_regex(column, pattern)
         any_of = hit if any_of is None else pc.or_(any_of, hit)
     return any_of.to_pylist()

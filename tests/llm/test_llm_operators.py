@@ -403,6 +403,20 @@ def test_clean_texts_stay(text):
     assert pii.spans(text) == ([], []) and pii.redact(text) == text
 
 
+def test_every_rewritten_character_is_hinted():
+    import pyarrow as pa
+
+    rewritten = [chr(k) for k in range(0x80, 0x110000) if not 0xD800 <= k < 0xE000 and pii._plain(chr(k)) is not None]
+    assert len(rewritten) > 1500 and all(pii._hinted(pa.array(rewritten))) and not any(pii._hinted(pa.array(["plain text", "日本語 é"])))
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("tel +১৪১৫৫৫৫০১৩২ x", "phone:4:16"), ("๔๔๑๒ ๔๗๓๐ ๑๔๘๙ ๔๔๘๒", "card:0:19"), ("at ௧௯௨.௧௬௮.௧.௫ ok", "ip:3:14"), ("bob﹫site.com", "email:0:12"), ("bob@site﹒com", "email:0:12"), ("﹢14155550132", "phone:0:12"),
+])
+def test_disguised_characters_alone(spark, text, expected):
+    assert pii.op7(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] == expected
+
+
 def test_pii_query(spark):
     texts = [None, "", "a@b.co 1.2.3.4 4412473014894482 +1 (017) 555-7713", "x " * 200_000 + "a@b.co", "1" * 200_000, "a" * 200_000 + "@", "bob [at] b.com"]
     got = by_id(pii.op7(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
