@@ -2,7 +2,7 @@
 
 Base detectors read the text as it is. Then transducers rewrite disguises - look-alike letters and digits, invisible characters,
 spelled digits, bracketed or spelled at and dot - into a normalised text and record for every rewritten piece where it came from.
-The same detectors read the normalised text; what they find across a rewritten piece is mapped back to source characters and added.
+The same detectors read the normalised texts (digits left, spelled runs joined, spelled digits joined to any beside them); what they find across a rewritten piece is mapped back to source characters and added.
 Base spans always stay; a span within a base span of its kind is not added, a wider one is.
 
 Null or empty text: no spans. Spans count code points, end exclusive, in the whole text. Each pattern is entered only where a run
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm.common import map_rows, same_columns
+from duebook.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -41,7 +42,8 @@ DIGIT_WORDS = (
 PLUS_WORDS = ("plus", "más", "mas")
 AT_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "punto", "point")
-ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "de", "fr", "es", "uk", "eu", "at", "ch", "it", "nl", "us", "co", "example")
+#: Endings that are common words as well: "at this point in" is no address.
+WORDS_TOO = frozenset("am as be by do in is la me my no pm so to".split())
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
@@ -56,21 +58,38 @@ _ANY_DIGIT = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _SEPARATOR = r"[\x20,.;/\t\n-]{1,3}"
 #: Four spelled digits in a row at least, mixed with plain ones.
 _SPELLED = re.compile(rf"(?<!\w)(?:{_ANY_DIGIT})(?:{_SEPARATOR}(?:{_ANY_DIGIT}|[0-9]{{1,4}})(?!\w)){{3,}}", re.I)
+#: One spelled digit at least in a run with plain ones; whether it is an identifier is left to the detectors.
+_ITEM = rf"(?:{_ANY_DIGIT}|[0-9]{{1,19}})(?!\w)"
+_MIXED = re.compile(rf"(?<!\w){_ITEM}(?:{_SEPARATOR}{_ITEM})+", re.I)
 _WORD_OR_DIGITS = re.compile(rf"(?:{_ANY_DIGIT}|[0-9]+)(?!\w)", re.I)
-_at, _dot, _end = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(ENDINGS)
+
+
+def _any_of(words) -> str:
+    """A pattern for the words, branched by the first letter."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+
+
+_at, _dot, _end = "|".join(AT_WORDS), "|".join(DOT_WORDS), _any_of(ENDINGS)
 _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
-#: Bracketed at: a sign of its own. A spelled at needs a spelled or plain dot and a known ending after it.
+#: Bracketed at: a sign of its own. A spelled at needs a spelled or plain dot and a known ending after it. A plain dot before a
+#: capital and one small letter ends a sentence ("at noon.It was").
 _BRACKET_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_at}|@){_CLOSE})(?=[A-Za-z0-9])", re.I)
 _BRACKET_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_dot}|\.){_CLOSE})(?=[A-Za-z0-9])", re.I)
 _SPELLED_MAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(\x20(?:{_at})\x20|\x20?@\x20?)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9-]{{1,63}}){{0,4}}\x20(?:{_dot})\x20(?:{_end})(?![A-Za-z0-9])", re.I)
+    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\x20({_dot})\x20|\.(?!(?-i:[A-Z][a-z])(?![A-Za-z0-9])))({_end})(?![A-Za-z0-9])", re.I)
 _PIECE = re.compile(rf"\x20(?:{_at})\x20|\x20?@\x20?|\x20(?:{_dot})\x20", re.I)
 #: RE2 patterns that a text must match to be rewritten at all; linear and over whole batches.
 _HINTS = (
     r"[\[({<] ?(?i:" + f"{_at}|{_dot}" + r"|@|\.) ?[\])}>]",
-    r"(?i)[ ](?:" + _dot + r")[ ](?:" + _end + r")\b",
-    r"(?i)(?:" + _ANY_DIGIT + r")[ ,.;/\t\n-]{1,3}(?:(?:" + _ANY_DIGIT + r"|[0-9]{1,4})[ ,.;/\t\n-]{1,3}){2}",
+    r"(?i)(?: (?:" + _at + r") | @ ?|@ )[a-z0-9-]+(?:\.| (?:" + _dot + r") )[a-z0-9-]",
+    r"(?i)@[a-z0-9.-]+ (?:" + _dot + r") [a-z0-9-]",
+    r"(?i) (?:" + _dot + r") [a-z0-9_%+-]+(?:[a-z0-9._%+-]| (?:" + _dot + r") )*@",
+    r"(?i)(?:" + _ANY_DIGIT + r")[ ,.;/\t\n-]{1,3}(?:" + _ANY_DIGIT + r"|[0-9])",
+    r"(?i)[0-9][ ,.;/\t\n-]{1,3}(?:" + _ANY_DIGIT + r")",
 )
 
 
@@ -223,36 +242,66 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _MIXED.finditer(text):
+        items = list(_WORD_OR_DIGITS.finditer(text, m.start(), m.end()))
+        if all(w[0][0].isdigit() for w in items):
+            continue
+        at, plus = m.start(), False
+        for w in items:
+            if w.start() > at:
+                edits.append((at, w.start(), "." * ("." in text[at : w.start()] and not plus)))
+            value = _DIGIT.get(w[0].lower(), w[0])
+            if value != w[0]:
+                edits.append((w.start(), w.end(), value))
+            plus, at = value == "+", w.end()
+    return edits
+
+
 def _spelled_mail(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED_MAIL.finditer(text):
+        if m[2] and m[2].lower() == "point" and m[1].strip().lower() == "at" and m[3].lower() in WORDS_TOO:
+            continue
         for p in _PIECE.finditer(text, m.start(), m.end()):
-            edits.append((p.start(), p.end(), "@" if p.start() == m.start(1) else "."))
+            new = "@" if p.start() == m.start(1) else "."
+            if p[0] != new:
+                edits.append((p.start(), p.end(), new))
     return edits
 
 
-def normalised(text: str) -> Rewritten:
+def normalised(text: str) -> list[Rewritten]:
+    """The readings of a text: digits as they are, runs of spelled digits joined, spelled digits joined to any digits beside them."""
     out = Rewritten(text)
     if not text.isascii():
         out.apply(_characters(out.text))
     out.apply([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(out.text)])
     out.apply([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
     out.apply(_spelled_mail(out.text))
-    out.apply(_digits(out.text))
-    return out
+    readings = [out]
+    for edits in (_digits(out.text), _mixed_digits(out.text)):
+        if edits:
+            more = Rewritten(out.text)
+            more.pieces = list(out.pieces)
+            more.apply(edits)
+            readings.append(more)
+    return readings
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """What the detectors find in the normalised text only, in source positions."""
-    new = normalised(text)
-    if not new.pieces:
-        return []
-    found = []
-    for s, e, kind in detect(new.text):
-        if new.touches(s, e):
-            a, b = new.source(s, False), new.source(e, True)
-            if not any(k == kind and x <= a and b <= y for x, y, k in base):
-                found.append((a, b, kind))
+    """What the detectors find in the normalised texts only, in source positions."""
+    found: list[tuple[int, int, str]] = []
+    for new in normalised(text):
+        if not new.pieces:
+            continue
+        more = []
+        for s, e, kind in detect(new.text):
+            if new.touches(s, e):
+                a, b = new.source(s, False), new.source(e, True)
+                if not any(k == kind and x <= a and b <= y for x, y, k in [*base, *found]):
+                    more.append((a, b, kind))
+        found += more
     return found
 
 

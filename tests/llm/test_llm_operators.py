@@ -403,6 +403,34 @@ def test_clean_texts_stay(text):
     assert pii.spans(text) == ([], []) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize("text,kind,source", [
+    ("call plus one 4155550132 now", "phone", "plus one 4155550132"), ("plus four nine 3012345678", "phone", "plus four nine 3012345678"), ("tel +1 415 555 01 three two ok", "phone", "+1 415 555 01 three two"),
+    ("card 4412 4730 1489 448 two", "card", "4412 4730 1489 448 two"), ("ip 192.168. one. five", "ip", "192.168. one. five"), ("un 192[.]168.1.1 x", "ip", "192[.]168.1.1"),
+    ("ask john at site.com.", "email", "john at site.com"), ("john @ site.com", "email", "john @ site.com"), ("bob dot smith@site.com", "email", "bob dot smith@site.com"),
+    *[(f"anna at mail dot site dot {e} x", "email", f"anna at mail dot site dot {e}") for e in "ca au jp br pl ru se dev app museum xyz".split()],
+])
+def test_ordinary_disguises(spark, text, kind, source):
+    at = text.index(source)
+    assert f"{kind}:{at}:{at + len(source)}" in pii.op7(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"].split(",")
+
+
+@pytest.mark.parametrize("text", ["we stop at noon.It was late", "arrive at this point in time", "at 5 one day 2024", "one 4155550132", "seen at site.unknownending"])
+def test_no_ordinary_disguises(text):
+    assert pii.spans(text) == ([], [])
+
+
+def test_hints_cover_the_transducers():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    items = ["bob", "mail", "com", "ca", "dev", " at ", " ät ", " @ ", "@", " dot ", " punkt ", ".", " ", "[at]", "(dot)", "plus", "one", "vier", "+1", "415", "555", "0132", "192", " , ", "-", "; ", "x"]
+    texts = ["".join(r.choice(items) for _ in range(r.randint(3, 14))) for _ in range(60_000)]
+    texts += [" ".join(r.choice(["plus", "one", "vier", "415", "5", "01"]) for _ in range(r.randint(3, 12))) for _ in range(10_000)]
+    hints = pii._hinted(pa.array(texts))
+    more = [bool(pii.added_spans(t, pii.detect(t))) for t in texts]
+    assert sum(more) > 300 and all(h for h, m in zip(hints, more, strict=True) if m)
+
+
 def test_every_rewritten_character_is_hinted():
     import pyarrow as pa
 
