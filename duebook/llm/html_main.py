@@ -1,18 +1,21 @@
 """Main text of web pages by consensus host paths.
 
 First pass: every page's containers are scored - text outside links in the blocks they hold, half of it for the container around
-them - and the scores are summed per host and generalised path (tags and classes from the root, digits as #). The path with the most
-is the host's. Second pass: each page is read again and gives the text of the elements at its host's path, without what is never
+them - and the scores are summed per host and generalised path (tags and classes from the root, digits as #). From the path with the most
+the host climbs to the highest ancestor whose other text is rather the page's own than links or text that the host repeats on unlike pages,
+so titles, leads and further sections around the largest container stay. A host with one page knows no repeats and climbs within an
+article or main element only. Second pass: each page is read again and gives the text of the elements at its host's path, without what is never
 article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments). A page without that path, or
 without a host, gives the text at its own best path.
 
 Null or empty html: empty text. Unclosed tags, broken references and cut pages are read as browsers would. Repeated pages vote as often
-as they occur. An empty table gives no rows. Votes are combined per batch before the shuffle, so a host with a third of all pages sends
-a few rows per batch; the winners are one row per host, broadcast up to ``MOST_HOSTS`` and joined by shuffle beyond.
+as they occur, but their copies are no repeats. An empty table gives no rows. Scores are combined per batch before the shuffle; the texts
+of a path, a hash each, are compared per host, path and hash, so a host with a third of all pages is spread; the winners are one row per host, broadcast up to ``MOST_HOSTS`` and joined by shuffle beyond.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -101,7 +104,7 @@ def read(page: str) -> list[tuple[_Element, str]]:
                 for a in _ATTR.finditer(m["attrs"]):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if name == "class":
-                        kinds = ".".join(sorted(set(re.sub(r"\d+", "#", html.unescape(value)).split())))
+                        kinds = ".".join(sorted(set(re.sub(r"\d+", "#", html.unescape(value)).split()))).replace("/", "%2f")
                         drop |= tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
                     elif name == "id":
                         drop |= tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
@@ -137,6 +140,51 @@ def best(found: dict[str, int]) -> str:
     return min(found, key=lambda p: (-found[p], p), default="")
 
 
+#: Paths from an article or main element on.
+_WITHIN = re.compile(r"/(?:article|main)(?=[./]|\Z)")
+
+
+def own(parts: list[tuple[_Element, str]]) -> dict[str, tuple[int, int, int]]:
+    """By path of a container: characters outside links and within links of its own blocks, and a hash of the text outside links."""
+    texts: dict[str, list[str]] = {}
+    links: Counter = Counter()
+    for element, text in parts:
+        if text := text.strip():
+            held = texts.setdefault(element.up.path, [])
+            if element.link:
+                links[element.up.path] += len(text)
+            else:
+                held.append(text)
+    return {p: (sum(map(len, t)), links[p], _hash("\n".join(t))) for p, t in texts.items()}
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def climb(found: dict[str, tuple[int, int]], winner: str, several: bool) -> str:
+    """The highest ancestor of ``winner`` up to which the text that each step adds is mostly neither links nor repeated.
+
+    ``found``: by path, characters of the pages' own text and of links and repeated text. Not ``several``: within article or main only.
+    """
+    at = highest = winner
+    while at:
+        up = at.rpartition("/")[0]
+        if not several and not _WITHIN.search(up):
+            break
+        fresh = other = 0
+        for p, (f, o) in found.items():
+            if (p == up or p.startswith(up + "/")) and not (p == at or p.startswith(at + "/")):
+                fresh += f
+                other += o
+        if fresh > other:
+            highest = up
+        elif other:
+            break
+        at = up
+    return highest
+
+
 def text_at(parts: list[tuple[_Element, str]], path: str) -> str | None:
     """The text of the elements at a path, white space as single spaces; None if the page has no such element."""
     under: dict[int, bool] = {}
@@ -167,19 +215,44 @@ def _votes(batches):
 
     for pdf in batches:
         summed: Counter = Counter()
+        texts: dict = {}
         for url, page in zip(pdf["url"], pdf["html"], strict=True):
             where = host(url)
             if where and page:
-                for path, n in scores(read(page)).items():
+                parts, whole = read(page), _hash(page)
+                for path, n in scores(parts).items():
                     summed[where, path] += n
-        yield pd.DataFrame([(h, p, n) for (h, p), n in summed.items() if n > 0], columns=["host", "path", "score"])
+                for path, (chars, links, key) in own(parts).items():
+                    c, n, low, high = texts.get((where, path, key), (0, 0, whole, whole))
+                    texts[where, path, key] = c + chars, n + links, min(low, whole), max(high, whole)
+        rows = [(h, p, None, n, 0, 0, None, None) for (h, p), n in summed.items()]
+        rows += [(h, p, key, 0, *x) for (h, p, key), x in texts.items()]
+        columns = ["host", "path", "key", "score", "chars", "links", "low", "high"]
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[2:]})
+
+
+def _climbed(pdf):
+    import pandas as pd
+
+    winner = best({p: n for p, n in zip(pdf["path"], pdf["score"], strict=True) if n > 0})
+    several = pdf["low"].min() != pdf["high"].max()
+    found = {p: (int(f), int(o)) for p, f, o in zip(pdf["path"], pdf["fresh"], pdf["other"], strict=True)}
+    paths = [climb(found, winner, several)] if (pdf["score"] > 0).any() else []
+    return pd.DataFrame({"host": pdf["host"].iloc[:1].repeat(len(paths)), "path": paths})
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the highest summed score on each host; of equals, the first in order."""
-    votes = pages.select("url", "html").mapInPandas(_votes, "host string, path string, score long")
-    summed = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), F.col("path"))).alias("path"))
+    """(host, path): the ancestor climbed to from the path with the highest summed score on each host; of equals, the first in order."""
+    added = "host string, path string, key long, score long, chars long, links long, low long, high long"
+    votes = pages.select("url", "html").mapInPandas(_votes, added)
+    sums = [F.sum(c).alias(c) for c in ("score", "chars", "links")]
+    summed = votes.groupBy("host", "path", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+    # a text on unlike pages is repeated; what is not is the pages' own
+    repeated = F.when(F.col("low") != F.col("high"), F.col("chars")).otherwise(0)
+    paths = summed.groupBy("host", "path").agg(
+        F.sum("score").alias("score"), F.sum(F.col("chars") - repeated).alias("fresh"), F.sum(F.col("links") + repeated).alias("other"),
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    return paths.groupBy("host").applyInPandas(_climbed, "host string, path string")
 
 
 def _extract(batch):
@@ -188,7 +261,7 @@ def _extract(batch):
         parts = read(page or "")
         text = text_at(parts, path) if path is not None else None
         if not text:
-            path = best(scores(parts))
+            path = climb({p: x[:2] for p, x in own(parts).items()}, best(scores(parts)), False)
             text = text_at(parts, path)
         texts.append(text or "")
         used.append(path)

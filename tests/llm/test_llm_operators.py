@@ -248,6 +248,22 @@ def test_html_consensus(spark):
     assert html_main.op4(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_the_article_around_the_largest_container(spark):
+    title = "<article><h1>Title {n}</h1><p>Lead {n}</p><div class=body><p>{body}</p></div></article>"
+    unlike = "<article class=w-1/2><h1>Title {n}</h1><section class=a><p>{body}</p></section><section class=b><p>short {n}</p></section></article>"
+    around = "<html><body><div>Site name and its slogan</div>{article}<div><a href=x>Other page {n}</a></div></body></html>"
+    pages, expected = [], []
+    for site, article, text in (("t", title, "Title {n} Lead {n} {body}"), ("u", unlike, "Title {n} {body} short {n}")):
+        for n in (*range(6), 5):  # the last page twice
+            body = f"word{n} text " * 40
+            pages.append((len(pages), f"https://{site}.example/{n}", around.format(n=n, article=article.format(n=n, body=body))))
+            expected.append(text.format(n=n, body=body.strip()))
+    pages.append((len(pages), "https://alone.example/", around.format(n=9, article=title.format(n=9, body="alone " * 40))))
+    expected.append("Title 9 Lead 9 " + ("alone " * 40).strip())
+    got = by_id(html_main.op4(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert [got[k]["text"] for k in range(len(pages))] == expected
+
+
 @pytest.mark.parametrize("page", ["<p" * 2000, "<!--" * 500, '<a href="' * 1000, "<script>" * 300, "<<<>>>", "<p>a<b>c</p>d"])
 def test_html_broken_pages(page):
     html_main.text_at(html_main.read(page), html_main.best(html_main.scores(html_main.read(page))))
