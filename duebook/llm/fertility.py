@@ -2,8 +2,9 @@
 
 Two public vocabularies read every word of every text (a word with the space before it; white space itself yields no tokens). Each
 distinct word is encoded once per worker and then looked up, so a document costs array arithmetic only. Bands are quartiles of each
-measure over all documents of a language that pass the base rules, widened by a multiple of their distance; a language with fewer
-than ``LEAST_DOCS`` such documents has no bands and rejects nothing. Without a language the main script of the text stands in.
+measure over all documents of a language that pass the base rules, widened by a multiple of their distance. Without a language the main
+script of the text stands in. Where fewer than ``LEAST_DOCS`` such documents share it, the bands are those of the text's main script over
+all languages, and with fewer of that script too, those of the whole table, so every document is judged at every size.
 
 Null or empty text: no words, base_failed, not kept. Repeated documents: judged alike, each row kept or rejected. Empty table: no rows.
 """
@@ -14,7 +15,7 @@ import base64
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm.common import TOKENIZER_DIR, bounded_broadcast, cut, map_rows, resident, same_columns, staged
@@ -118,8 +119,13 @@ def repeat_words(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
+_BELOW_A = bytes(range(0x41)).decode()
+
+
 def script(text: str) -> str:
     """The script of most of the text's letters and other characters from A on."""
+    if text.isascii():
+        return "latin" if text.strip(_BELOW_A) else "none"
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     points = points[points >= 0x41]
     if not len(points):
@@ -132,7 +138,6 @@ def _measure(folder: str):
     def compute(batch):
         words = _vocabulary(folder)
         texts = batch.column("text").to_pylist()
-        langs = batch.column("lang").to_pylist()
         parts, n_words, chars, symbols, dup = [], [], [], [], []
         for text in texts:
             raw = (text or "").encode("utf-8", "replace")
@@ -162,7 +167,7 @@ def _measure(folder: str):
         p = count / safe[whose]
         entropy = np.bincount(whose, weights=-p * np.log2(p), minlength=len(n)) + 0.0
         chars = np.array(chars, np.int64)
-        scripts = [None if lang is not None else script(t or "") for lang, t in zip(langs, texts, strict=True)]
+        scripts = [script(t or "") for t in texts]
         return [n, chars, symbols, dup, repeats, chars / safe, chars / np.maximum(tokens2, 1), fallback / safe, np.round(entropy, 6), scripts]
 
     return compute
@@ -175,24 +180,39 @@ def measured(docs: DataFrame, keep: list[str], folder: str = TOKENIZER_DIR) -> D
     return staged(rows.select(*keep, F.coalesce("lang", F.concat(F.lit("script:"), "q__script")).alias("q__group"), *[c for c in rows.columns if c.startswith("q__")]))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Adds q__base_failed and q__kept."""
-    failed = (F.col("q__n_words") < LEAST_WORDS) | (100 * F.col("q__n_repeat_words") > MOST_REPEAT_PERCENT * F.col("q__n_words"))
-    rows = rows.withColumn("q__base_failed", failed)
+def _bands(rows: DataFrame, failed: Column) -> DataFrame:
+    """Bands for every language (or script without one) and script in the table, from the narrowest group with enough documents."""
     # values rounded to thousandths: the exact quartiles then come from a bounded number of counts, combined before the shuffle
     quartiles = [F.percentile(F.round(f"q__{m}", 3), F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m in FLOORS]
-    stats = rows.where(~failed).groupBy("q__group").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= LEAST_DOCS)
+    passed = rows.where(~failed)
+
+    def level(name: str, *keys: str) -> DataFrame:
+        enough = (F.count(F.lit(1)) >= LEAST_DOCS).alias("enough")
+        stats = passed.groupBy(*keys).agg(enough, *quartiles)
+        stats = stats.where("enough") if keys else stats
+        return stats.select(*keys, F.struct(*FLOORS).alias(name))
+
+    pairs = rows.select("q__group", "q__script").distinct()
+    pairs = pairs.join(level("x__group", "q__group"), "q__group", "left").join(level("x__script", "q__script"), "q__script", "left")
+    pairs = pairs.crossJoin(F.broadcast(level("x__all"))).select("q__group", "q__script", F.coalesce("x__group", "x__script", "x__all").alias("x"))
     columns = []
     for m, floor in FLOORS.items():
-        low, high = F.col(m)[0], F.col(m)[1]
+        low, high = F.col(f"x.{m}")[0], F.col(f"x.{m}")[1]
         columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), (WIDTH * F.greatest(high - low, F.lit(floor))).alias(f"reach_{m}")]
-    bands = cut(stats.select("q__group", *columns))
+    return cut(pairs.select("q__group", "q__script", *columns))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Adds q__base_failed and q__kept."""
+    failed = (F.col("q__n_words") < LEAST_WORDS) | (100 * F.col("q__n_repeat_words") > MOST_REPEAT_PERCENT * F.col("q__n_words"))
+    rows = rows.withColumn("q__base_failed", failed)
+    bands = _bands(rows, failed)
     inside = F.lit(True)
     scatter = F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("q__n_words"), F.lit(1)))
     for m in FLOORS:
         reach = scatter * F.col(f"reach_{m}")
         inside &= F.coalesce(F.col(f"q__{m}").between(F.col(f"low_{m}") - reach, F.col(f"high_{m}") + reach), F.lit(True))
-    joined = rows.join(bounded_broadcast(bands, bands.count(), 10_000), "q__group", "left")
+    joined = rows.join(bounded_broadcast(bands, bands.count(), 10_000), ["q__group", "q__script"], "left")
     return joined.withColumn("q__kept", ~F.col("q__base_failed") & inside).select(*rows.columns, "q__kept")
 
 

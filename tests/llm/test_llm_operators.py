@@ -225,6 +225,18 @@ def test_fertility_rejects_symbols_and_tables(spark):
     assert not any(got[k]["kept"] for k in range(300, 312)) and sum(got[k]["kept"] for k in range(312, 324)) <= 2
 
 
+def test_fertility_judges_rare_languages(spark):
+    r = random.Random(6)
+    normal = [" ".join(syllables(r, r.randint(60, 500))) for _ in range(100)]
+    laden = " ".join(w + r.choice(["***", "###", "$$$", "%%%", "&&&"]) for w in syllables(r, 200))
+    rare = [(200, laden, "xx", "s", 0), (201, laden, None, "s", 0), (202, normal[0], "yy", "s", 0), (203, normal[1], None, "s", 0)]
+    got = by_id(fertility.op3(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(normal)] + rare, DOCS)))
+    assert [got[k]["kept"] for k in (200, 201, 202, 203)] == [False, False, got[0]["kept"], got[1]["kept"]]
+    few = [(k, t, ["aa", "bb", "cc"][k % 3], "s", 0) for k, t in enumerate(normal[:30])] + rare[:1]
+    got = by_id(fertility.op3(spark.createDataFrame(few, DOCS)))
+    assert not got[200]["kept"] and sum(row["kept"] for row in got.values()) >= 29
+
+
 @pytest.mark.parametrize("text,expected", [("hello", "latin"), ("привет мир", "cyrillic"), ("日本語漢字", "han"), ("123", "none"), ("", "none")])
 def test_script(text, expected):
     assert fertility.script(text) == expected
