@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a local master (tests) gets a temporary one; a cluster is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         at = sc._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -49,15 +51,16 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more, and let Spark free the shuffle files of finished steps."""
+def discard(df: DataFrame, free: bool = False) -> None:
+    """Delete a staged table that nothing reads any more; ``free``: let Spark drop the shuffle files of finished steps as well."""
     import gc
 
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    if free:
+        gc.collect()
+        jvm.System.gc()
 
 
 def bounded_broadcast(small: DataFrame, rows: int, most: int) -> DataFrame:
@@ -74,11 +77,23 @@ def bits60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def map_rows(df: DataFrame, compute, added: str, keep: list[str], rows: int = 400) -> DataFrame:
+#: Rows that Arrow hands to a worker at once; the session's setting holds where it is lower.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Few whole texts at a time on both sides of the Arrow stream: with the default of 10,000 rows, long texts fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def map_rows(df: DataFrame, compute, added: str, keep: list[str], rows: int = BATCH_ROWS) -> DataFrame:
     """``keep`` columns as they are, then the columns of the DDL ``added`` from ``compute(batch)``, which returns one list per column.
 
     Arrow hands over batches; each is cut to ``rows`` rows, so a task holds few texts at a time whatever its share of the table.
     """
+    small_batches(df.sparkSession)
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -104,11 +119,27 @@ _resident: dict = {}
 def resident(key, make):
     """A worker's one large object (a model with its tables): loading another lets the former go."""
     if key not in _resident:
-        _resident.clear()
+        release()
         _resident[key] = make()
     return _resident[key]
 
 
+def release() -> None:
+    """Give a worker's large object back to the system; called by steps that need none, as workers outlive steps."""
+    if _resident:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
+
+
 def same_columns(stage):
     """For stages that return the columns they got: while the stage runs, columns that it does not know have names of their own."""
     known = ("doc_id", "text", "lang", "source", "n_chars")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duebook.llm.common import bounded_broadcast, cut, discard, map_rows, same_columns, staged
+from duebook.llm.common import bounded_broadcast, cut, discard, map_rows, release, same_columns, small_batches, staged
 from duebook.llm.components import components
 
 WORDS = 5
@@ -138,6 +138,7 @@ def _read(fragments: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("frag", pa.int32()), ("blob", pa.binary())])
 
     def run(batches):
+        release()
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
                 batch = big.slice(at, ROWS)
@@ -225,6 +226,7 @@ def _prefixes(held, fragments: int):
     names = ["t", "node", "n", "pos"]
 
     def run(batches):
+        release()
         heavy = held.value
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
@@ -336,12 +338,13 @@ class _Join:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
         spark = docs.sparkSession
+        small_batches(spark)
         self.fragments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         schema = "doc_id long, n long, sig long, frag int, blob binary"
         read = staged(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(self.fragments), schema))
         self.sizes = staged(read.where("frag IS NULL").select("doc_id", "n", "sig"))
         self.heavy = spark.sparkContext.broadcast(heavy_shingles(read))
-        discard(read)
+        discard(read, free=True)
         self.repeats = not self.sizes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
         self.first = self.sizes.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
 
@@ -409,7 +412,7 @@ def groups(docs: DataFrame) -> DataFrame:
     mixed = placed.where("lo < hi").select("t", "node", "n", "pos", "comp", "lead", "home").distinct()
     mixed = staged(mixed.withColumn("long", F.count(F.lit(1)).over(w) > SMALL))
     del placed
-    discard(live)
+    discard(live, free=True)
 
     short = mixed.where("NOT long").withColumn("out", F.col("comp") != F.col("home"))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp")]

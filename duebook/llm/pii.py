@@ -21,7 +21,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import map_rows, same_columns
+from duebook.llm.common import map_rows, release, same_columns
 from duebook.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -328,6 +328,7 @@ def _hinted(column):
 
 
 def _scan(batch):
+    release()
     column = batch.column("text")
     out: list[list] = [[] for _ in range(7)]
     for text, hint in zip(column.to_pylist(), _hinted(column), strict=True):
@@ -358,6 +359,7 @@ def redact(text: str, hinted: bool = True) -> str:
 
 
 def _redact(batch):
+    release()
     column = batch.column("text")
     return [[None if t is None else redact(t, bool(h)) for t, h in zip(column.to_pylist(), _hinted(column), strict=True)]]
 

@@ -2,13 +2,17 @@
 
 ``read_model`` takes the pieces, scores, kinds and normaliser settings out of the file; ``build`` makes a Tokenizers pipeline of them:
 the precompiled character map, the metaspace marker, unigram scores or the merges that BPE scores imply, byte fallback, and the decoder
-that undoes them. Where no piece continues across a marker (``separable``), a text is the sequence of its units - runs of markers with what
-follows - and a worker encodes each distinct unit once, keeping a bounded table between batches; otherwise whole texts are encoded. ``encode_batch`` runs on as many threads as
-a task may use. Parity is checked in the job itself: every distinct unit (or text) is encoded by the sentencepiece library
-as well, and every text must decode to its normalised self.
+that undoes them. Where no piece continues across a marker (``separable``), a text is the sequence of its units - a marker with what
+follows - and a worker encodes each distinct unit once, many in one call, keeping a bounded table between batches. ``encode_batch`` and
+``decode_batch`` run on as many threads as the task has cores (``spark.task.cpus``).
 
-Null text: null ids, no tokens, parity true. Empty text: no ids. Texts of any length; unknown characters become bytes. Repeated rows
-give equal rows; an empty table none.
+Parity and round trip are checked in the job itself, for every text: the sentencepiece library encodes the same units, and the decoder
+must give each unit back. Texts that are not a plain sequence of units (white space in runs or at the ends, markers in the text) and all
+texts of a model that rewrites texts (character map, squeezed white space, pieces across markers) are encoded, compared and decoded whole.
+
+Null text: null ids, no tokens, parity and round trip true. Empty text: no ids. Texts of any length, very long ones and very long words
+too, are read whole; unknown characters become bytes. Repeated rows give equal rows, ties do not occur; an empty table gives none. Kept
+columns that bear a result's name get ``_in`` after theirs, as often as it takes to be free.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from duebook.llm.common import TOKENIZER_DIR, map_rows, resident
 
@@ -29,8 +34,8 @@ MODEL = "piece_bpe_32k.model"
 # Fixed values of the model format: kinds of pieces, and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Units a worker keeps between batches.
-MOST_UNITS = 400_000
+#: Units a worker keeps between batches (about 150 bytes each), and characters of new units encoded in one call.
+MOST_UNITS, RUN = 150_000, 60_000
 
 
 def _fields(data: bytes):
@@ -107,8 +112,10 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 
 def separable(model: Model) -> bool:
-    """No piece has a marker after another character, so none can cross into the next unit."""
-    return not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in model.pieces if k == NORMAL)
+    """Texts are only marked, and no piece has a marker after another character or is missing for a marker: none crosses into the next unit."""
+    marked = model.dummy_prefix and not model.squeeze and not model.charsmap
+    pieces = [p for p, _, k in model.pieces if k == NORMAL]
+    return marked and MARK in pieces and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
 
 
 def build(model: Model):
@@ -135,122 +142,132 @@ def build(model: Model):
 
 
 class Backend:
-    """A loaded model: ids of texts, texts of ids, and the check of both."""
+    """A loaded model: ids of texts, texts of ids, and the check of both against the sentencepiece library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, threads: int = 1):
+        os.environ["RAYON_NUM_THREADS"] = str(threads)  # read when the library first runs a batch
         import sentencepiece
+        from tokenizers import normalizers
 
         with open(path, "rb") as f:
             self.model = read_model(f.read())
-        self.tokenizer, self.units = build(self.model), separable(self.model)
+        self.threads, self.units = threads, separable(self.model)
+        self.tokenizer = build(self.model)
+        self.normaliser = self.tokenizer.normalizer
+        if self.units:
+            self.tokenizer.normalizer = normalizers.Sequence([])  # units and texts come normalised
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [p for p, _, _ in self.model.pieces]
-        self.bytes = {i: int(p[3:5], 16) for i, (p, _, k) in enumerate(self.model.pieces) if k == BYTE}
-        # each id's bytes, and whether it stands for text at all: the decoder as a table
-        texts = [bytes([self.bytes[i]]) if i in self.bytes else b"" if k == CONTROL else p.replace(MARK, " ").encode() for i, (p, _, k) in enumerate(self.model.pieces)]
-        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.blob = np.frombuffer(b"".join(texts), np.uint8)
-        self.core = build(self.model)
-        from tokenizers import normalizers
-
-        self.core.normalizer = normalizers.Sequence([])  # units come normalised
+        self.control = frozenset(i for i, (_, _, k) in enumerate(self.model.pieces) if k == CONTROL)
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces], bool)
         self.forget()
 
     def forget(self) -> None:
         """Empty the table of units that earlier batches have encoded."""
         self.known: dict[str, int] = {}
         self.new: list[str] = []
-        self.n, self.flat, self.same = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.same, self.back = np.zeros(0, bool), np.zeros(0, bool)
 
-    def _place(self, unit: str) -> int:
-        at = self.known.get(unit)
+    def _place(self, word: str) -> int:
+        at = self.known.get(word)
         if at is None:
-            at = self.known[unit] = len(self.known)
-            self.new.append(unit)
+            at = self.known[word] = len(self.known)
+            self.new.append(word)
         return at
 
     def normalise(self, text: str) -> str:
-        return self.tokenizer.normalizer.normalize_str(text) if text else ""
-
-    def split(self, normal: str) -> list[str]:
-        """The units of a normalised text, in order."""
-        if not normal.startswith(MARK) or MARK + MARK in normal:
-            return re.findall(f"{MARK}+[^{MARK}]*|^[^{MARK}]+", normal)
-        return [MARK + x for x in normal[1:].split(MARK)]
-
-    def _encode(self, units: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of normalised units, and whether the sentencepiece library gives the same.
-
-        The library's own encoder adds its prefix to a unit, so a unit goes in without the marker that the prefix puts back. A unit that
-        this cannot express (no marker in front, or white space that the model squeezes) is covered by the check of whole texts.
-        """
-        ids = [np.array(e.ids, np.int32) for e in self.core.encode_batch(units, add_special_tokens=False)]
-        plain = [u[1:].replace(MARK, " ") if u.startswith(MARK) and self.model.dummy_prefix else None for u in units]
-        sure = [p is not None and p != "" and (not self.model.squeeze or p.strip() == p and "  " not in p) and not self.model.charsmap for p in plain]
-        theirs = iter(self.reference.encode([p for p, s in zip(plain, sure, strict=True) if s], num_threads=1))
-        same = np.array([not s or np.array_equal(next(theirs), i) for s, i in zip(sure, ids, strict=True)], bool)
-        return ids, same
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text."""
-        if not self.units:
-            made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            theirs = self.reference.encode(texts, num_threads=1)
-            return [(np.array(e.ids, np.int32), e.ids == t) for e, t in zip(made, theirs, strict=True)]
+        return self.normaliser.normalize_str(text) if text else ""
+
+    def _tokens(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that are normalised already where the model has units."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _theirs(self, texts: list[str]) -> list[list[int]]:
+        return self.reference.encode(texts, num_threads=self.threads)
+
+    def decode(self, ids) -> list[str]:
+        """The texts of lists of ids, by the library's decoder; control pieces stand for no text."""
+        lists = [[int(i) for i in x if i not in self.control] for x in ids]
+        return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
+
+    def _units(self, words: list[str]) -> None:
+        """Add the words (units without their marker) to the table: many at once as one text, alone where a run gives anything unexpected."""
+        runs, run, size = [], [], 0
+        for w in words:
+            run.append(w)
+            size += len(w) + 1
+            if size > RUN:
+                runs.append(run)
+                run, size = [], 0
+        runs += [run] if run else []
+        ours = self._tokens([MARK + MARK.join(r) for r in runs])
+        theirs = self._theirs([" ".join(r) for r in runs])
+        texts = self.decode(ours)
+        counts, flats, sames, backs = [self.n], [self.flat], [self.same], [self.back]
+        for r, mine, other, text in zip(runs, ours, theirs, texts, strict=True):
+            flat = np.array(mine, np.int32)
+            first = np.flatnonzero(self.begins[flat])
+            if len(first) == len(r) and mine == other and text == " ".join(r) and first[0] == 0:
+                counts.append(np.diff(np.append(first, len(flat))))
+                flats.append(flat)
+                sames.append(np.ones(len(r), bool))
+                backs.append(np.ones(len(r), bool))
+                continue
+            each = self._tokens([MARK + w for w in r])
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+            flats.append(np.fromiter((i for x in each for i in x), np.int32))
+            sames.append(np.array([a == b for a, b in zip(each, self._theirs(r), strict=True)], bool))
+            backs.append(np.array([a == b for a, b in zip(self.decode(each), r, strict=True)], bool))
+        self.n, self.flat, self.same, self.back = map(np.concatenate, (counts, flats, sames, backs))
+
+    def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        normal = [self.normalise(t) for t in texts]
+        mine = self._tokens(normal if self.units else texts)
+        plain = [n.replace(MARK, " ") for n in normal]
+        plain = [p[1:] if self.model.dummy_prefix and p.startswith(" ") else p for p in plain]
+        return [(np.array(a, np.int32), a == b, d in (t, p)) for a, b, d, t, p in zip(mine, self._theirs(texts), self.decode(mine), texts, plain, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, round trip) of each text."""
         if len(self.known) > MOST_UNITS:
             self.forget()
-        plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        runs = []
-        for text in texts:
-            if not text:
-                units = []
-            elif plain and text[0] != " " and "  " not in text and MARK not in text:
-                units = [MARK + x for x in text.split(" ")] if text[-1] != " " else self.split(self.normalise(text))
-            else:
-                units = self.split(self.normalise(text))
-            runs.append(np.fromiter(map(self._place, units), np.int64, len(units)))
+        plain = [self.units and bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t for t in texts]
+        place = self._place
+        runs = [np.fromiter(map(place, words := t.split(" ")), np.int64, len(words)) if p else None for t, p in zip(texts, plain, strict=True)]
         if self.new:
-            ids, same = self._encode(self.new)
-            self.same = np.concatenate([self.same, same])
-            self.n = np.concatenate([self.n, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat = np.concatenate([self.flat, *ids])
-            self.new = []
-        n, flat, same = self.n, self.flat, self.same
-        start = np.concatenate([[0], np.cumsum(n)])
+            new, self.new = self.new, []
+            self._units(new)
+        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        start = np.concatenate([[0], np.cumsum(self.n)])
         out = []
         for run in runs:
-            k = n[run]
-            at = np.repeat(start[run] - np.concatenate([[0], np.cumsum(k)[:-1]]) if len(run) else run, k) + np.arange(int(k.sum()))
-            out.append((flat[at], bool(same[run].all())))
+            if run is None:
+                out.append(next(whole))
+                continue
+            k = self.n[run]
+            at = np.repeat(start[run] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(int(k.sum()))
+            out.append((self.flat[at], bool(self.same[run].all()), bool(self.back[run].all())))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: the pieces' bytes one after the other, the prefix off."""
-        k = self.size[ids]
-        at = np.repeat(self.start[ids] - np.concatenate([[0], np.cumsum(k)[:-1]]) if len(ids) else k, k) + np.arange(int(k.sum()))
-        text = self.blob[at].tobytes().decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+def _cpus() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.cpus() if context else 1
 
 
 def backend(path: str) -> Backend:
-    return resident(("pieces", path), lambda: Backend(path))
+    return resident(("pieces", path), lambda: Backend(path, _cpus()))
 
 
 def _encode(path: str):
     def compute(batch):
-        one = backend(path)
         texts = batch.column("text").to_pylist()
-        made = one.encode([t or "" for t in texts])
-        ids, counts, crcs, parity, round_trip = [], [], [], [], []
-        for text, (tokens, same) in zip(texts, made, strict=True):
-            ids.append(None if text is None else tokens)
-            counts.append(len(tokens))
-            crcs.append(zlib.crc32(tokens.astype("<i4").tobytes()))
-            parity.append(same)
-            back = one.decode(tokens)
-            round_trip.append(back == (text or "") or back == one.normalise(text or "").replace(MARK, " ").removeprefix(" "))
-        return [counts, ids, crcs, parity, round_trip]
+        made = backend(path).encode([t or "" for t in texts])
+        ids = [None if text is None else x[0] for text, x in zip(texts, made, strict=True)]
+        crcs = [zlib.crc32(x[0].astype("<i4").tobytes()) for x in made]
+        return [[len(x[0]) for x in made], ids, crcs, [x[1] for x in made], [x[2] for x in made]]
 
     return compute
 
@@ -258,12 +275,34 @@ def _encode(path: str):
 def encoded(docs: DataFrame, *keep: str, model: str = MODEL, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``keep``, n_tokens, ids, ids_crc32 (of little-endian 32-bit ids), parity and round_trip."""
     made = ("n_tokens", "ids", "ids_crc32", "parity", "round_trip")
-    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in keep if c in made})
-    keep = tuple(f"{c}_in" if c in made else c for c in keep)
-    need = list(dict.fromkeys([*keep, "text"]))
+    taken, names = {*docs.columns, *made}, {}
+    for c in dict.fromkeys(keep):
+        names[c] = c
+        if c in made:
+            while names[c] in taken:
+                names[c] += "_in"
+            taken.add(names[c])
+    columns = [F.col(c).alias(n) for c, n in names.items()]
+    if "text" not in names:
+        columns.append(F.col("text"))
     added = "n_tokens long, ids array<int>, ids_crc32 long, parity boolean, round_trip boolean"
-    rows = map_rows(docs.select(need), _encode(os.path.join(folder, model)), added, need)
-    return rows if "text" in keep else rows.drop("text")
+    rows = map_rows(docs.select(*columns), _encode(os.path.join(folder, model)), added, [*names.values()] if "text" in names else [*names.values(), "text"])
+    return rows if "text" in names else rows.drop("text")
+
+
+def _decode(path: str):
+    def compute(batch):
+        lists = batch.column("ids").to_pylist()
+        texts = iter(backend(path).decode([x for x in lists if x is not None]))
+        return [[None if x is None else next(texts) for x in lists]]
+
+    return compute
+
+
+def decoded(rows: DataFrame, *keep: str, model: str = MODEL, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """``keep`` and decoded, the text of each row's ``ids``; null ids: null."""
+    need = list(dict.fromkeys([*keep, "ids"]))
+    return map_rows(rows.select(need), _decode(os.path.join(folder, model)), "decoded string", need).select(*keep, "decoded")
 
 
 def op5(docs: DataFrame) -> DataFrame:

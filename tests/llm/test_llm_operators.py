@@ -293,15 +293,41 @@ def test_sentencepiece_parity(docs, data):
         assert (row["ids"] is None) == (text is None) and row["ids_crc32"] == zlib.crc32(np.array(row["ids"] or [], "<i4").tobytes())
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", "a  ", "a   b", "\n\n", "日本語 テスト 🎉", "x▁y", "a\xa0b", "<s> </s> <unk> <0x41>", "tab\there", "ﬁne ①", "​", "a" * 3000])
+SP_TEXTS = ["", " ", "  a", "a  ", "a   b", "\n\n", "日本語 テスト 🎉", "x▁y", "a\xa0b", "<s> </s> <unk> <0x41>", "tab\there", "ﬁne ①", "​", "a" * 3000, "plain words of a text"]
+SP_MODEL = f"{sp_backend.TOKENIZER_DIR}/{sp_backend.MODEL}"
+
+
+@pytest.mark.parametrize("text", [*SP_TEXTS, "b" * 200_000])
 def test_sentencepiece_texts(text):
-    one = sp_backend.backend(f"{sp_backend.TOKENIZER_DIR}/{sp_backend.MODEL}")
-    ids, parity = one.encode([text])[0]
-    assert ids.tolist() == one.reference.encode(text) and parity and one.decode(ids) == one.reference.decode(ids.tolist())
-    assert one.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+    one = sp_backend.backend(SP_MODEL)
+    ids, parity, back = one.encode([text])[0]
+    assert ids.tolist() == one.reference.encode(text) and parity and back and one.decode([ids]) == [one.reference.decode(ids.tolist())]
+    assert sp_backend.build(one.model).encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
+def test_sentencepiece_units_are_kept_and_forgotten(monkeypatch):
+    monkeypatch.setattr(sp_backend, "MOST_UNITS", 10)
+    monkeypatch.setattr(sp_backend, "RUN", 20)
+    one, rng = sp_backend.Backend(SP_MODEL), random.Random(5)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["river", "Fluß", "東京", "x", "qqzz", "…", "12"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 9))) for _ in range(4)]
+        for text, (ids, parity, back) in zip(texts, one.encode(texts), strict=True):
+            assert ids.tolist() == one.reference.encode(text) and parity and back
+
 
+def test_broken_core_and_decoder_are_seen():
+    from tokenizers import decoders, models
 
-def test_unigram_model_from_protobuf():
+    one = sp_backend.Backend(SP_MODEL)
+    one.tokenizer.model = models.BPE({p: i for i, (p, _, _) in enumerate(one.model.pieces)}, [], unk_token="<unk>", fuse_unk=True, byte_fallback=True)
+    texts = ["plain words of a text", "  spaces  around ", "x▁yellow", "alone"]
+    assert [p for _, p, _ in one.encode(texts)] == [False] * 4
+    one = sp_backend.Backend(SP_MODEL)
+    one.tokenizer.decoder = decoders.Fuse()
+    assert [b for _, _, b in one.encode(texts)] == [False] * 4
+
+
+def _model_file(tmp_path, squeeze: bool) -> str:
     """A hand-written unigram model: fields as the format numbers them."""
     import struct
 
@@ -309,13 +335,32 @@ def test_unigram_model_from_protobuf():
         head = bytes([n << 3 | kind]) if n < 16 else bytes([n << 3 & 127 | 128 | kind, n >> 4])
         return head + (bytes([len(value)]) + value if kind == 2 else value)
 
-    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -1.5, 1), ("▁", -4.0, 1), ("a", -3.0, 1)]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -1.5, 1), ("▁", -4.0, 1), ("a", -3.0, 1)]
     proto = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
-    model = sp_backend.read_model(proto + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(4, 0, b"\x01")))
-    assert [(p, k) for p, _, k in model.pieces] == [(p, k) for p, _, k in pieces] and model.kind == sp_backend.UNIGRAM
-    tokenizer = sp_backend.build(model)
-    assert tokenizer.encode("ab  a", add_special_tokens=False).tokens == ["▁ab", "▁a"]
-    assert sp_backend.separable(model)
+    path = tmp_path / f"own{squeeze}.model"
+    path.write_bytes(proto + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(1, 2, b"identity") + field(4, 0, bytes([squeeze]))))
+    return str(path)
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_model_from_protobuf(tmp_path, squeeze):
+    one = sp_backend.Backend(_model_file(tmp_path, squeeze))
+    assert one.model.kind == sp_backend.UNIGRAM and one.model.squeeze == squeeze and one.units == (not squeeze)
+    assert [p for p, _, _ in one.model.pieces][3:6] == ["▁a", "b", "▁ab"]
+    texts = ["ab a", "ab  a", " b", "aabb ba", "abab b a"]
+    for text, (ids, parity, back) in zip(texts, one.encode(texts), strict=True):
+        assert ids.tolist() == one.reference.encode(text) and parity and back
+
+
+def test_decoded_is_the_text(spark, docs, data):
+    rows = sp_backend.decoded(sp_backend.encoded(docs, "doc_id"), "doc_id")
+    assert {r["doc_id"]: r["decoded"] for r in rows.collect()} == {k: text for k, text, *_ in data}
+
+
+def test_encoded_keeps_columns_with_result_names(spark):
+    df = spark.createDataFrame([("a b", [9], "x", 1)], "text string, ids array<int>, ids_in string, parity int")
+    row = sp_backend.encoded(df, "ids", "ids_in", "parity").first()
+    assert row["ids_in_in"] == [9] and row["ids_in"] == "x" and row["parity_in"] == 1 and row["parity"] is True
 
 
 # 6
@@ -380,9 +425,22 @@ def test_overlap_matrix():
 
 
 def test_components_of_chain_star_and_pairs(spark):
-    links = [(k + 1, k) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 200), (7, 7)]
+    rng = random.Random(3)
+    some = [(rng.randrange(3000, 4000), rng.randrange(3000, 4000)) for _ in range(700)]
+    links = [*((k, k + 1) for k in range(1000)), *((2999, 2000 + k) for k in range(300)), *some, (5000, 5000)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}, 200: 200, 201: 200}
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
 
 
 # 7
