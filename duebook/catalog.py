@@ -11,7 +11,7 @@ from duebook.functions import columns as c
 from duebook.functions import predicates as p
 from duebook.operators import alerts, branches, kpis, migration, priority, report, scorecard
 from duebook.plans import queries as q
-from duebook.sources import ingest
+from duebook.sources import ingest, shared
 from duebook.sources.loanbook import AS_OF, CURR_SQL, PREV_SQL, loan_book
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,14 @@ def _pct(a: str, b: str, places: int = 2) -> str:
 
 
 def query(sql: str | None = None, over: str = "curr") -> Callable:
-    """Register a function of the current snapshot, or of both; SQL reads curr, prev and cp (curr with prev_bucket)."""
+    """Register a function of the current snapshot, or of both, the current one with prev_bucket unless ``apart``; SQL reads curr, prev and cp."""
 
     def add(f: Callable) -> Callable:
         name = f.__name__
         if over == "curr":
             QUERIES[name] = lambda spark, d: f(loan_book(spark, d, "curr"))
+        elif over == "apart":
+            QUERIES[name] = lambda spark, d: f(loan_book(spark, d, "curr"), loan_book(spark, d, "prev"))
         else:
             QUERIES[name] = lambda spark, d: f(*_pair(spark, d))
         if sql:
@@ -275,6 +277,13 @@ def executive_scorecard(curr, prev):
     return scorecard.scorecard(curr)
 
 
+@query(_CARD + """SELECT executive, CASE WHEN collection_pct > 100 THEN 'green' WHEN collection_pct >= 90 THEN 'amber' ELSE 'red' END AS collection_light,
+  CASE WHEN roll_fwd_pct >= 20 THEN 'red' WHEN roll_fwd_pct >= 10 THEN 'amber' ELSE 'green' END AS roll_fwd_light,
+  CASE WHEN roll_bwd_pct >= 10 THEN 'green' WHEN roll_bwd_pct >= 5 THEN 'amber' ELSE 'grey' END AS roll_bwd_light FROM card""", "both")
+def scorecard_lights(curr, prev):
+    return scorecard.banded(scorecard.scorecard(curr)).select("executive", "collection_light", "roll_fwd_light", "roll_bwd_light")
+
+
 @query(_CARD + f"""SELECT COUNT(*) AS executives, COUNT(*) FILTER (tier = 'top') AS top, COUNT(*) FILTER (tier = 'mid') AS mid, COUNT(*) FILTER (tier = 'bottom') AS bottom,
   {_r('SUM(CAST(collection_pct AS DECIMAL(12,1))) / COUNT(*)', 1)} AS avg_collection_pct, {_r('SUM(CAST(strike_pct AS DECIMAL(12,1))) / COUNT(*)', 1)} AS avg_strike_pct,
   {_r('SUM(CAST(npa_pct AS DECIMAL(12,1))) / COUNT(*)', 1)} AS avg_npa_pct FROM card""", "both")
@@ -308,6 +317,11 @@ def branch_bottom5(curr):
     return branches.bottom_branches(curr)
 
 
+@query(_BRANCH + f"SELECT branch, CASE WHEN {_r('coll_pct', 1)} >= 100 THEN 'green' WHEN {_r('coll_pct', 1)} >= 90 THEN 'amber' ELSE 'red' END AS coll_light FROM (SELECT * FROM br ORDER BY coll_pct DESC, branch LIMIT 5)")
+def branch_lights(curr):
+    return branches.top_branches(curr).select("branch", branches.light(F.col("coll_pct")).alias("coll_light"))
+
+
 @query(_BRANCH + "SELECT branch, coll_pct FROM br ORDER BY coll_pct DESC, branch LIMIT 12")
 def branch_best12(curr):
     return branches.best_branches(curr)
@@ -320,7 +334,7 @@ _MOVES = """, mv AS (SELECT p.curr_bucket AS prev_bucket, c.curr_bucket FROM cur
 
 @query(_MOVES + """, pb(prev_bucket, place) AS (VALUES ('STD', 0), ('1-30 DPD', 1), ('SMA-1', 2), ('SMA-2', 3), ('NPA', 4))
 SELECT prev_bucket, place, COUNT(*) FILTER (curr_bucket = 'STD') AS std, COUNT(*) FILTER (curr_bucket = '1-30 DPD') AS dpd_1_30, COUNT(*) FILTER (curr_bucket = 'SMA-1') AS sma_1,
-  COUNT(*) FILTER (curr_bucket = 'SMA-2') AS sma_2, COUNT(*) FILTER (curr_bucket = 'NPA') AS npa FROM pb LEFT JOIN mv USING (prev_bucket) GROUP BY 1, 2""", "both")
+  COUNT(*) FILTER (curr_bucket = 'SMA-2') AS sma_2, COUNT(*) FILTER (curr_bucket = 'NPA') AS npa FROM pb LEFT JOIN mv USING (prev_bucket) GROUP BY 1, 2""", "apart")
 def roll_matrix(curr, prev):
     return migration.matrix(curr, prev)
 
@@ -328,23 +342,23 @@ def roll_matrix(curr, prev):
 @query(_MOVES + f"""SELECT COUNT(*) AS matched, {_pct(f"COUNT(*) FILTER ({_score('curr_bucket')} > {_score('prev_bucket')})", 'COUNT(*)')} AS roll_forward_pct,
   {_pct(f"COUNT(*) FILTER ({_score('curr_bucket')} < {_score('prev_bucket')})", 'COUNT(*)')} AS roll_backward_pct,
   {_pct("COUNT(*) FILTER (prev_bucket <> 'NPA' AND curr_bucket = 'NPA')", "COUNT(*) FILTER (prev_bucket <> 'NPA')")} AS npa_formation_pct,
-  (SELECT COUNT(*) FROM curr WHERE loan_no NOT IN (SELECT loan_no FROM prev)) AS new_entries, (SELECT COUNT(*) FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)) AS exits FROM mv""", "both")
+  (SELECT COUNT(*) FROM curr WHERE loan_no NOT IN (SELECT loan_no FROM prev)) AS new_entries, (SELECT COUNT(*) FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)) AS exits FROM mv""", "apart")
 def roll_kpis(curr, prev):
     return migration.migration_kpis(curr, prev)
 
 
-@query("SELECT loan_no FROM curr WHERE loan_no NOT IN (SELECT loan_no FROM prev)", "both")
+@query("SELECT loan_no FROM curr WHERE loan_no NOT IN (SELECT loan_no FROM prev)", "apart")
 def new_entries(curr, prev):
     return migration.new_entries(curr, prev)
 
 
-@query("SELECT loan_no FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)", "both")
+@query("SELECT loan_no FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)", "apart")
 def exits(curr, prev):
     return migration.exits(curr, prev)
 
 
 @query(_MOVES + f"""SELECT prev_bucket, curr_bucket, COUNT(*) AS n,
-  {_r(f"({_score('curr_bucket')} - {_score('prev_bucket')}) * (CAST(COUNT(*) AS DOUBLE) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM mv) * 100)", 4)} AS intensity FROM mv GROUP BY prev_bucket, curr_bucket""", "both")
+  {_r(f"({_score('curr_bucket')} - {_score('prev_bucket')}) * (CAST(COUNT(*) AS DOUBLE) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM mv) * 100)", 4)} AS intensity FROM mv GROUP BY prev_bucket, curr_bucket""", "apart")
 def migration_intensity(curr, prev):
     return migration.intensity(curr, prev)
 
@@ -464,16 +478,28 @@ def plan_mean_where_zero(curr):
     ]}])
 
 
+def _rankings(table: str) -> str:
+    return f"""SELECT * FROM (SELECT 'regions' AS ranking, ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT loan_no) DESC, region_name) AS place, region_name AS name, CAST(COUNT(DISTINCT loan_no) AS DOUBLE) AS value FROM {table} GROUP BY region_name) WHERE place <= 5
+UNION ALL SELECT * FROM (SELECT 'executives', ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT loan_no) DESC, mnt_name, unit) AS place, CONCAT(mnt_name, ' (', unit, ')'), CAST(COUNT(DISTINCT loan_no) AS DOUBLE) FROM {table} GROUP BY mnt_name, unit) WHERE place <= 8
+UNION ALL SELECT * FROM (SELECT 'branches', ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT loan_no) DESC, unit) AS place, unit, CAST(COUNT(DISTINCT loan_no) AS DOUBLE) FROM {table} GROUP BY unit) WHERE place <= 5
+UNION ALL SELECT * FROM (SELECT 'branch_exposure', ROW_NUMBER() OVER (ORDER BY SUM(soh) DESC, unit) AS place, unit, CAST(SUM(soh) AS DOUBLE) FROM {table} GROUP BY unit) WHERE place <= 5
+UNION ALL SELECT 'bucket_share', ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, curr_bucket), curr_bucket, {_r(f'CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM {table}) * 100', 1)} FROM {table} GROUP BY curr_bucket"""
+
+
 @query(f""", r AS (SELECT * FROM curr WHERE curr_bucket IN ('SMA-1', 'SMA-2', 'NPA'))
-SELECT * FROM (SELECT 'regions' AS ranking, ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT loan_no) DESC, region_name) AS place, region_name AS name, CAST(COUNT(DISTINCT loan_no) AS DOUBLE) AS value FROM r GROUP BY region_name) WHERE place <= 5
-UNION ALL SELECT * FROM (SELECT 'executives', ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT loan_no) DESC, mnt_name, unit) AS place, CONCAT(mnt_name, ' (', unit, ')'), CAST(COUNT(DISTINCT loan_no) AS DOUBLE) FROM r GROUP BY mnt_name, unit) WHERE place <= 8
-UNION ALL SELECT * FROM (SELECT 'branches', ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT loan_no) DESC, unit) AS place, unit, CAST(COUNT(DISTINCT loan_no) AS DOUBLE) FROM r GROUP BY unit) WHERE place <= 5
-UNION ALL SELECT * FROM (SELECT 'branch_exposure', ROW_NUMBER() OVER (ORDER BY SUM(soh) DESC, unit) AS place, unit, CAST(SUM(soh) AS DOUBLE) FROM r GROUP BY unit) WHERE place <= 5
-UNION ALL SELECT 'bucket_share', ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, curr_bucket), curr_bucket, {_r('CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM r) * 100', 1)} FROM r GROUP BY curr_bucket""")
+{_rankings('r')}""")
 def contextual_rankings(curr):
     return q.contextual_rankings(q.filter_rows(curr, {"conditions": [{"column": "curr_bucket", "op": "in", "value": ["SMA-1", "SMA-2", "NPA"]}]}))
 
 
+@query(_PRIORITY + f""", r AS (SELECT * FROM curr WHERE loan_no IN (SELECT loan_no FROM pl WHERE rank <= 5))
+{_rankings('r')}""")
+def priority_rankings(curr):
+    """The rankings of what a priority list shows, by loan number: its rows lack the columns."""
+    shown = priority.ranked(curr, AS_OF).where("rank <= 5").select("priority", "loan_no")
+    return q.contextual_rankings(q.rows_behind(curr, shown))
+
+
 # ingest and report
 def _as_extract(df: DataFrame) -> DataFrame:
     """A snapshot as its text extract: source headers, padded or in lower case, numbers and serial dates as text."""
@@ -491,11 +517,11 @@ def _as_extract(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-@query("""SELECT CAST(loan_no AS VARCHAR) AS loan_no, unit, CAST(ag_date AS DATE) AS ag_date, COALESCE(CAST(closing_arrears AS DOUBLE), 0) AS closing_arrears, CAST(demand AS DOUBLE) AS demand,
-  strike, curr_bucket FROM curr""")
+@query("""SELECT CAST(loan_no AS VARCHAR) AS loan_no, unit, CAST(ag_date AS DATE) AS ag_date, CAST(closing_arrears AS DOUBLE) AS closing_arrears, CAST(demand AS DOUBLE) AS demand,
+  CAST(COALESCE(collection, 0) AS DOUBLE) AS collection, CAST(tenure AS DOUBLE) AS tenure, strike, curr_bucket FROM curr""")
 def ingest_dirty_csv(curr):
     made = ingest.load(_as_extract(curr))
-    return made.select("loan_no", "unit", F.to_date("ag_date").alias("ag_date"), "closing_arrears", "demand", "strike", "curr_bucket")
+    return made.select("loan_no", "unit", F.to_date("ag_date").alias("ag_date"), "closing_arrears", "demand", "collection", "tenure", "strike", "curr_bucket")
 
 
 @query("""SELECT CAST(loan_no AS VARCHAR) AS loan_no, curr_bucket FROM curr UNION ALL
@@ -505,12 +531,73 @@ def union_dedupe(curr, prev):
     return made.select("loan_no", "curr_bucket")
 
 
-@query(None, "both")
+def _csv(df: DataFrame) -> DataFrame:
+    """A snapshot's extract as CSV files, written and read again as text."""
+    path = shared.folder(df.sparkSession)
+    _as_extract(df).write.option("header", True).csv(path)
+    return ingest.read_raw(df.sparkSession, path)
+
+
+@query("""SELECT CAST(loan_no AS VARCHAR) AS loan_no, unit, CAST(ag_date AS DATE) AS ag_date, CAST(last_receipt_date AS DATE) AS last_receipt_date, CAST(tenure AS DOUBLE) AS tenure,
+  CAST(closing_arrears AS DOUBLE) AS closing_arrears, CAST(COALESCE(collection, 0) AS DOUBLE) AS collection, strike, curr_bucket FROM curr""")
+def ingest_csv_files(curr):
+    """CSV files in, typed snapshot out."""
+    made = ingest.load(_csv(curr))
+    return c.dated(made.select("loan_no", "unit", "ag_date", "last_receipt_date", "tenure", "closing_arrears", "collection", "strike", "curr_bucket"))
+
+
+@query("""SELECT '2001-11' AS snapshot_month, CAST(loan_no AS VARCHAR) AS loan_no, curr_bucket FROM curr UNION ALL
+SELECT '2001-10', CAST(loan_no AS VARCHAR), curr_bucket FROM prev""", "apart")
+def snapshot_roundtrip(curr, prev):
+    """Months of a snapshot table; the current one is written twice and stays single."""
+    spark, path = curr.sparkSession, shared.folder(curr.sparkSession)
+    for month, df in (("2001-10", prev), ("2001-11", curr), ("2001-11", curr)):
+        ingest.write_snapshot(df.select(F.col("loan_no").cast("string").alias("loan_no"), "curr_bucket"), path, month)
+    months = [ingest.read_snapshot(spark, path, m).select(F.col("snapshot_month").cast("string").alias("snapshot_month"), "loan_no", "curr_bucket") for m in ("2001-10", "2001-11")]
+    return months[0].unionByName(months[1])
+
+
+@query("SELECT loan_no, CAST(ag_date AS DATE) AS ag_date FROM curr")
+def ingest_dates(curr):
+    """Dates in every spelling that extracts have: serial days, ISO, day first with dashes, slashes or month names."""
+    forms = [F.date_format("ag_date", f) for f in ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy")]
+    serial = F.datediff("ag_date", F.lit("1899-12-30").cast("date")).cast("string")
+    text = F.element_at(F.array(serial, *forms), (F.col("loan_no") % 5 + 1).cast("int"))
+    rows = curr.select("loan_no", text.alias("ag_date"))
+    return rows.select("loan_no", F.to_date(ingest.day(rows, "ag_date")).alias("ag_date"))
+
+
+@query("""SELECT loan_no, region_name, unit, CAST(ag_date AS DATE) AS ag_date, mnt_name, due_day, tenure, loan_status, CAST(loan_amount AS DOUBLE) AS loan_amount, cust_name, cust_mob_no,
+  curr_bucket, CAST(month_due_inst AS DOUBLE) AS month_due_inst, CAST(month_due_exp AS DOUBLE) AS month_due_exp, CAST(demand AS DOUBLE) AS demand, CAST(month_receipt AS DOUBLE) AS month_receipt,
+  CAST(closing_arrears AS DOUBLE) AS closing_arrears, CAST(arr_inst AS DOUBLE) AS arr_inst, CAST(arr_exp AS DOUBLE) AS arr_exp, lcc_pct, arrears_emi, CAST(pos AS DOUBLE) AS pos, CAST(soh AS DOUBLE) AS soh,
+  non_starter, strike, CAST(last_receipt_date AS DATE) AS last_receipt_date, no_coll_3m, nach_status FROM curr WHERE arrears_emi >= 2""")
+def filter_default_columns(curr):
+    """The usual display columns of a query's rows."""
+    rows = q.run_filter(curr, {"conditions": [{"column": "Arrears / EMI", "op": ">=", "value": 2}]})
+    return rows.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in rows.schema])
+
+
+def _figures(section: str, table: str, item: str, label: str, measures: str) -> str:
+    return f"""SELECT '{section}' AS section, {item} AS item, {label} AS label, measure, value FROM (UNPIVOT (SELECT {', '.join(x for x in (item, label) if x != 'NULL') + ', ' if item != 'NULL' else ''}
+  {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in measures.split())} FROM {table}) ON {', '.join(measures.split())} INTO NAME measure VALUE value)"""
+
+
+_CARD_MEASURES = "accounts strike_pct collection_pct roll_fwd_pct roll_bwd_pct npa_pct npa sma2 pos_lakh soh_lakh demand_lakh collected_lakh"
+_FLAGS = SQL["risk_flags_top3"].rpartition("SELECT * FROM s")[2]
+_PART = lambda name, head: "(" + SQL[name].rpartition(head)[1] + SQL[name].rpartition(head)[2] + ")"
+_REPORT = ",\n".join(x.strip().removeprefix(",").strip() for x in (_KPIS, _ALERTS, _CARD, _BRANCH, _MOVES))
+
+
+@query(", " + _REPORT + "\n" + "\nUNION ALL ".join([
+    _figures("portfolio_health", _PART("portfolio_health", "SELECT *, CASE kpi"), "kpi", "light", "value prev_value mom_pct"),
+    _figures("risk_flags", f"(SELECT * FROM s{_FLAGS})", "alert_id", "severity", "place count soh closing_arrears"),
+    _figures("migration_matrix", f"(WITH {SQL['roll_matrix'].rpartition('pb(prev_bucket')[1]}{SQL['roll_matrix'].rpartition('pb(prev_bucket')[2]})", "prev_bucket", "NULL", "place std dpd_1_30 sma_1 sma_2 npa"),
+    _figures("migration_kpis", _PART("roll_kpis", "SELECT COUNT(*) AS matched"), "NULL", "NULL", "matched roll_forward_pct roll_backward_pct npa_formation_pct new_entries exits"),
+    _figures("executives_top", _PART("executive_top5", "SELECT * FROM card"), "executive", "tier", _CARD_MEASURES),
+    _figures("executives_bottom", _PART("executive_bottom5", "SELECT * FROM card"), "executive", "tier", _CARD_MEASURES),
+    _figures("branches_top", _PART("branch_top5", "SELECT branch, accounts"), "branch", "NULL", "accounts coll_pct collection_lakh demand_lakh"),
+    _figures("branches_bottom", _PART("branch_bottom5", "SELECT branch, accounts"), "branch", "NULL", "accounts coll_pct collection_lakh demand_lakh"),
+]), "both")
 def report_tables(curr, prev):
-    """All sections, each row as text under its section's name."""
-    tables = report.sections(curr.persist(), prev, AS_OF)
-    parts = [c.as_text(t).select(F.lit(n).alias("section"), F.to_json(F.struct("*")).alias("row")) for n, t in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All sections from two written tables, a row per figure."""
+    return report.figures(report.sections(shared.written(curr), shared.written(prev), AS_OF))

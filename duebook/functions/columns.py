@@ -72,6 +72,15 @@ def pair_label(first: str, second: str) -> Column:
     return F.concat(F.col(first).cast("string"), F.lit(" ("), F.col(second).cast("string"), F.lit(")"))
 
 
+def band(x: Column, *levels: tuple[str, float]) -> Column:
+    """The first level whose threshold x reaches; the last one has none. Null stays null."""
+    *some, last = levels
+    out = None
+    for name, least in some:
+        out = F.when(x >= least, name) if out is None else out.when(x >= least, name)
+    return F.when(x.isNotNull(), out.otherwise(last[0]))
+
+
 def lakh(x: Column) -> Column:
     return rounded(x.cast("double") / 100000)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.columns import bucket_frame, lakh, ratio_pct, rounded
+from duebook.functions.columns import band, bucket_frame, lakh, ratio_pct, rounded
 from duebook.operators.kpis import total
 
 
@@ -20,6 +20,11 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("branch", "accounts", rounded(F.col("coll_pct"), 1).alias("coll_pct"), lakh(F.col("collection")).alias("collection_lakh"), lakh(F.col("demand")).alias("demand_lakh"))
 
 
+def light(rate: F.Column) -> F.Column:
+    """The report's light of a collection rate."""
+    return band(rate, ("green", 100.0), ("amber", 90.0), ("red", 0.0))
+
+
 def top_branches(df: DataFrame, n: int = 5) -> DataFrame:
     return _shown(branch_rates(df).orderBy(F.desc("coll_pct"), "branch").limit(n))
 

@@ -10,14 +10,20 @@ from duebook.schema import SCORES
 
 
 def _buckets(df: DataFrame, name: str) -> DataFrame:
-    return df.where(F.col("loan_no").isNotNull()).groupBy("loan_no").agg(F.min("curr_bucket").alias(name))
+    """One bucket per loan; a loaded snapshot has one row per loan, and of repeated rows the least name counts."""
+    return df.where(F.col("loan_no").isNotNull()).groupBy("loan_no").agg(F.min("curr_bucket").alias(name), F.lit(True).alias(f"has_{name}"))
+
+
+def compared(curr: DataFrame, prev: DataFrame) -> DataFrame:
+    """(loan_no, prev_bucket, curr_bucket, has_prev_bucket, has_curr_bucket) of the loans in either snapshot: one full outer join."""
+    return _buckets(prev, "prev_bucket").join(_buckets(curr, "curr_bucket"), "loan_no", "full")
 
 
 def matched(curr: DataFrame, prev: DataFrame) -> DataFrame:
     """(loan_no, prev_bucket, curr_bucket) of the loans in both whose buckets are known."""
     valid = list(SCORES)
     both = _buckets(prev, "prev_bucket").join(_buckets(curr, "curr_bucket"), "loan_no")
-    return both.where(F.col("prev_bucket").isin(valid) & F.col("curr_bucket").isin(valid))
+    return both.where(F.col("prev_bucket").isin(valid) & F.col("curr_bucket").isin(valid)).select("loan_no", "prev_bucket", "curr_bucket")
 
 
 def pairs(curr: DataFrame, prev: DataFrame) -> DataFrame:
@@ -43,23 +49,26 @@ def exits(curr: DataFrame, prev: DataFrame) -> DataFrame:
     return new_entries(prev, curr)
 
 
-def rates(curr: DataFrame, prev: DataFrame) -> DataFrame:
-    """matched, roll_forward_pct, roll_backward_pct (every improvement), npa_formation_pct; one row."""
-    now, before, n = score(F.col("curr_bucket")), score(F.col("prev_bucket")), F.col("n")
-    counted = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
-    healthy = F.col("prev_bucket") != "NPA"
-    return pairs(curr, prev).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("matched"), ratio_pct(counted(now > before), F.sum("n")).alias("roll_forward_pct"),
-        ratio_pct(counted(now < before), F.sum("n")).alias("roll_backward_pct"),
-        ratio_pct(counted(healthy & (F.col("curr_bucket") == "NPA")), counted(healthy)).alias("npa_formation_pct"),
+def migration_kpis(curr: DataFrame, prev: DataFrame) -> DataFrame:
+    """matched, roll_forward_pct, roll_backward_pct (every improvement), npa_formation_pct, new_entries, exits; one row.
+
+    Without a previous snapshot there is nothing to compare with: new_entries is 0 as all else.
+    """
+    before, now = score(F.col("prev_bucket")), score(F.col("curr_bucket"))
+    both = before.isNotNull() & now.isNotNull()
+    n = F.count_if(both)
+    healthy = both & (F.col("prev_bucket") != "NPA")
+    old, new = F.col("has_prev_bucket").isNotNull(), F.col("has_curr_bucket").isNotNull()
+    return compared(curr, prev).agg(
+        n.alias("matched"), ratio_pct(F.count_if(both & (now > before)), n).alias("roll_forward_pct"), ratio_pct(F.count_if(both & (now < before)), n).alias("roll_backward_pct"),
+        ratio_pct(F.count_if(healthy & (F.col("curr_bucket") == "NPA")), F.count_if(healthy)).alias("npa_formation_pct"),
+        F.when(F.count_if(old) > 0, F.count_if(new & ~old)).otherwise(0).alias("new_entries"), F.count_if(old & ~new).alias("exits"),
     )
 
 
-def migration_kpis(curr: DataFrame, prev: DataFrame) -> DataFrame:
-    """The rates with the numbers of new loans and exits."""
-    fresh = new_entries(curr, prev).agg(F.count(F.lit(1)).alias("new_entries"))
-    gone = exits(curr, prev).agg(F.count(F.lit(1)).alias("exits"))
-    return rates(curr, prev).crossJoin(fresh).crossJoin(gone)  # one row each
+def rates(curr: DataFrame, prev: DataFrame) -> DataFrame:
+    """The figures of ``migration_kpis`` without new loans and exits."""
+    return migration_kpis(curr, prev).drop("new_entries", "exits")
 
 
 def intensity(curr: DataFrame, prev: DataFrame) -> DataFrame:

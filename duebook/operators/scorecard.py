@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.columns import lakh, pair_label, ratio_pct, rounded, score
+from duebook.functions.columns import band, lakh, pair_label, ratio_pct, rounded, score
 from duebook.operators.kpis import loan_level
 
 
@@ -42,6 +42,16 @@ def scorecard(df: DataFrame, least: int = 5) -> DataFrame:
     return rows.crossJoin(F.broadcast(quartiles)).withColumn("tier", tier).drop("q")  # one row
 
 
+def banded(card: DataFrame) -> DataFrame:
+    """Adds a light for collection (green above 100, amber from 90), roll forward (red from 20, amber from 10) and roll backward (green from 10,
+    amber from 5, else grey)."""
+    coll, fwd, bwd = (F.col(c) for c in ("collection_pct", "roll_fwd_pct", "roll_bwd_pct"))
+    return card.withColumns({
+        "collection_light": F.when(coll > 100, "green").otherwise(band(coll, ("amber", 90.0), ("red", 0.0))),
+        "roll_fwd_light": band(fwd, ("red", 20.0), ("amber", 10.0), ("green", 0.0)), "roll_bwd_light": band(bwd, ("green", 10.0), ("amber", 5.0), ("grey", 0.0)),
+    })
+
+
 def summary(card: DataFrame) -> DataFrame:
     """Executives per tier and mean rates."""
     mean = lambda c: F.coalesce(rounded(F.avg(c), 1), F.lit(0.0)).alias(f"avg_{c}")

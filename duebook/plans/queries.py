@@ -139,25 +139,43 @@ def single_answer(df: DataFrame, spec: dict) -> DataFrame:
     return run_aggregation(df, {**spec, "limit": 1})
 
 
-def contextual_rankings(df: DataFrame) -> DataFrame:
-    """(ranking, place, name, value) of a query's rows: top regions, executives by branch, branches by loans and exposure, bucket shares."""
-    counted = F.count_distinct("loan_no").cast("double")
-
-    def top(name: str, n: int, keys: list[str], value: Column, label: Column) -> DataFrame:
-        rows = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(value.alias("value"))
-        order = [F.desc("value"), *keys]
-        best = rows.orderBy(*order).limit(n)
-        return best.select(F.lit(name).alias("ranking"), F.row_number().over(W.orderBy(*order)).alias("place"), label.alias("name"), "value")
-
-    whole = df.where(F.col("curr_bucket").isNotNull())
-    shares = whole.groupBy("curr_bucket").agg(F.count(F.lit(1)).alias("n")).crossJoin(df.agg(F.count(F.lit(1)).alias("whole")))  # one row
-    share = rounded(F.col("n") / F.col("whole") * 100, 1)
-    buckets = shares.select(F.lit("bucket_share").alias("ranking"), F.row_number().over(W.orderBy(F.desc("n"), "curr_bucket")).alias("place"), F.col("curr_bucket").alias("name"), share.alias("value"))
-    parts = [
-        top("regions", 5, ["region_name"], counted, F.col("region_name")), top("executives", 8, ["mnt_name", "unit"], counted, pair_label("mnt_name", "unit")),
-        top("branches", 5, ["unit"], counted, F.col("unit")), top("branch_exposure", 5, ["unit"], total("soh"), F.col("unit")), buckets,
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def rows_behind(df: DataFrame, result: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose loans a result shows, for results that lack the columns to rank by."""
+    return df.join(result.select("loan_no"), "loan_no", "left_semi")
+
 
+#: Ranking, its keys, how many places it has.
+RANKINGS = (("regions", ("region_name",), 5), ("executives", ("mnt_name", "unit"), 8), ("branches", ("unit",), 5), ("bucket_share", ("curr_bucket",), None))
 
-__all__ = ["FUNCTIONS", "contextual_rankings", "filter_rows", "run_aggregation", "run_filter", "run_plan", "single_answer"]
+
+def contextual_rankings(df: DataFrame) -> DataFrame:
+    """(ranking, place, name, value) of a query's rows: top regions, executives by branch, branches by loans and exposure, bucket shares.
+
+    One scan: each row goes to one group per ranking, is combined per loan, then per group; the groups are few. Null keys are in no group.
+    """
+    groups = [
+        F.when(reduce(and_, [F.col(k).isNotNull() for k in keys]), F.struct(
+            F.lit(name).alias("ranking"), pair_label(*keys).alias("name") if len(keys) == 2 else F.col(keys[0]).cast("string").alias("name"),
+            F.col(keys[0]).cast("string").alias("key"), F.col(keys[-1]).cast("string").alias("key2")))
+        for name, keys, _ in RANKINGS
+    ]
+    rows = df.select("loan_no", "soh", F.explode(F.filter(F.array(*groups), lambda x: x.isNotNull())).alias("g")).select("g.*", "loan_no", "soh")
+    keys = ("ranking", "name", "key", "key2")
+    loans = rows.groupBy(*keys, "loan_no").agg(F.count(F.lit(1)).alias("n"), F.sum("soh").alias("soh"))
+    found = loans.groupBy(*keys).agg(F.count("loan_no").cast("double").alias("loans"), F.sum("n").alias("n"), total("soh").alias("soh"))
+    # a branch has a place by its loans and one by its exposure; the share of a bucket is that of all rows, also of those without one
+    whole = df.agg(F.count(F.lit(1)).alias("whole"))
+    found = found.crossJoin(whole)  # one row
+    row = lambda name, by, value: F.struct(F.lit(name).alias("ranking") if isinstance(name, str) else name, by.alias("by"), value.alias("value"))
+    loans_row, ranking = row(F.col("ranking").alias("ranking"), F.col("loans"), F.col("loans")), F.col("ranking")
+    share = row("bucket_share", F.col("n").cast("double"), rounded(F.col("n") / F.col("whole") * 100, 1))
+    made = F.when(ranking == "branches", F.array(loans_row, row("branch_exposure", F.col("soh"), F.col("soh")))).when(ranking == "bucket_share", F.array(share)).otherwise(F.array(loans_row))
+    listed = found.select("name", "key", "key2", F.inline(made))
+    listed = listed.withColumn("place", F.row_number().over(W.partitionBy("ranking").orderBy(F.desc("by"), "key", "key2")))
+    most = F.lit(None).cast("int")
+    for name, _, n in (*RANKINGS, ("branch_exposure", None, 5)):
+        most = F.when(F.col("ranking") == name, F.lit(n).cast("int")).otherwise(most)
+    return listed.where(F.coalesce(F.col("place") <= most, F.lit(True))).select("ranking", "place", "name", "value")
+
+
+__all__ = ["FUNCTIONS", "contextual_rankings", "filter_rows", "rows_behind", "run_aggregation", "run_filter", "run_plan", "single_answer"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType, TimestampType
+
 # The 85 headers of the source extracts, in their order.
 HEADERS = [
     "SNo", "Loan No", "CHANNEL", "BU", "StateName", "Zone", "RegionName", "Unit",
@@ -61,17 +63,25 @@ def canonical(header: str) -> str:
 
 
 DATES = [canonical(h) for h in ("Ag_Date", "Last Receipt Date", "ParentLDueDate")]
-#: Missing counts as 0 in additive flows; in the second list it stays missing.
-FLOWS = [canonical(h) for h in ("Closing Arrears", "Month Collection (Excluding Reserve Collection)", "Month Receipt Amount", "Total Cum Collection", "Cum Coll (Inst+Exp)")]
-MEASURES = [canonical(h) for h in (
-    "Due Dt", "Month Due-Inst", "Month Due-Exp", "Net Collection Demand Inst+Exp+BC", "NET Collection Demand Inst+Exp", "POS", "Arrears / EMI", "LCC%",
-    "Cum Due-Inst", "Cum Due-Exp", "ARREARS AGAINST INST", "ARREARS AGAINST EXP", "ARREARS AGAINST BC", "Loan Amount",
+#: Amounts that flow in a month: missing counts as 0. In all other numbers it stays missing.
+FLOWS = [canonical(h) for h in ("Month Receipt Amount", "Month Collection (Excluding Reserve Collection)", "NET COLLECTION", "Cum Coll (Inst+Exp)", "Total Cum Collection")]
+TEXTS = [canonical(h) for h in (
+    "SNo", "Loan No", "CHANNEL", "BU", "StateName", "Zone", "RegionName", "Unit", "SRC Code", "SRC Name", "MNT CODE", "MNT NAME", "Loan Status", "Veh ID", "Cust Name",
+    "Guar Name", "Cust Mob No", "Guar Mob No", "Segment", "SegmentName", "Make", "Vehicle Description", "scheme", "Non Starter", "Strike", "RCEndors(>90Days)",
+    "RTO / INSURANCE", "No Coll 3 Months and >6 EMI", "NACHStatus", "SaleType", "CoLending_Loans", "CUSTOMER_STATUS", "LGL_FLAG", "LGL_DESCRIPTION", "TyreFlag", "FUEL_TYPE",
 )]
+NUMBERS = [c for c in map(canonical, HEADERS) if c not in {*DATES, *TEXTS}]
 UPPER = [canonical(h) for h in ("Strike", "Unit")]
 
 BUCKETS = ["STD", "1-30 DPD", "SMA-1", "SMA-2", "NPA", "NA"]
 SCORES = {b: k for k, b in enumerate(BUCKETS[:5])}
 
+#: A loaded snapshot: the 85 columns of an extract, missing ones null, and what is derived from them. Further columns of a file follow.
+SNAPSHOT = StructType([
+    *[StructField(c, TimestampType() if c in DATES else DoubleType() if c in NUMBERS else StringType()) for c in map(canonical, HEADERS)],
+    StructField("curr_bucket", StringType()), StructField("curr_score", IntegerType()), StructField("soh", DoubleType()),
+])
+
 # Columns of query, alert and priority tables.
 QUERY_COLUMNS = [canonical(h) for h in (
     "Loan No", "Zone", "RegionName", "Unit", "Ag_Date", "MNT NAME", "Due Dt", "Tenure", "Loan Status", "Loan Amount", "Veh ID", "Cust Name",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from duebook.functions.columns import number, with_buckets, with_soh
-from duebook.schema import ALIASES, DATES, FLOWS, HEADERS, MANDATORY, MEASURES, UPPER, canonical
+from duebook.schema import ALIASES, DATES, FLOWS, HEADERS, MANDATORY, NUMBERS, SNAPSHOT, UPPER, canonical
 
 #: Truncated headers are completed from this length on.
 LEAST_PREFIX = 15
@@ -87,28 +87,38 @@ def day(df: DataFrame, column: str) -> Column:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Typed columns: dates, numbers, canonical text; a missing optional one is added as null."""
-    for c in [*DATES, *FLOWS, *MEASURES, *UPPER]:
+    """The columns of ``SNAPSHOT`` with its types - dates, numbers, canonical text, a missing one null - and then all further columns."""
+
+    def typed(c: str) -> Column:
         if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    typed = {c: day(df, c) for c in DATES}
-    typed |= {c: F.coalesce(number(c), F.lit(0.0)) for c in FLOWS}
-    typed |= {c: number(c) for c in MEASURES}
-    typed |= {c: F.upper(F.trim(F.col(c))) for c in UPPER}
-    return df.withColumns(typed)
+            return F.lit(0.0) if c in FLOWS else F.lit(None).cast(SNAPSHOT[c].dataType)
+        if c in DATES:
+            return day(df, c)
+        if c in NUMBERS:
+            return F.coalesce(number(c), F.lit(0.0)) if c in FLOWS else number(c)
+        text = F.col(c).cast("string")
+        return F.upper(F.trim(text)) if c in UPPER else text
 
+    known = [canonical(h) for h in HEADERS]
+    return df.select(*[typed(c).alias(c) for c in known], *[F.col(f"`{c}`") for c in df.columns if c not in known])
 
-def load(df: DataFrame) -> DataFrame:
-    """A raw extract as a snapshot: names, mandatory columns, types, buckets, exposure."""
+
+def _typed(df: DataFrame) -> DataFrame:
     df = with_canonical_names(df)
     require(df)
-    return with_soh(with_buckets(clean(df)))
+    made = with_soh(with_buckets(clean(df)))
+    return made.select(*SNAPSHOT.names, *[f"`{c}`" for c in made.columns if c not in SNAPSHOT.names])
+
+
+def load(df: DataFrame) -> DataFrame:
+    """A raw extract as a snapshot: names, mandatory columns, types, buckets, exposure; of rows that repeat a loan number the first."""
+    return first_per_loan(_typed(df).withColumn("__row", F.monotonically_increasing_id()), "__row").drop("__row")
 
 
 def first_per_loan(df: DataFrame, *order: str) -> DataFrame:
-    """The first row of every loan number; rows without one all stay."""
-    w = W.partitionBy("loan_no").orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("loan_no").isNull() | (F.col("__n") == 1)).drop("__n")
+    """The first row, in a unique order, of every loan number; rows without one all stay, each dealt by its own place."""
+    w = W.partitionBy("loan_no", F.when(F.col("loan_no").isNull(), F.struct(*order))).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n")
 
 
 def load_many(frames: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
@@ -116,7 +126,7 @@ def load_many(frames: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
     good, errors = [], []
     for k, (name, frame) in enumerate(frames.items()):
         try:
-            good.append(load(frame).withColumn("__file", F.lit(k)).withColumn("__row", F.monotonically_increasing_id()))
+            good.append(_typed(frame).withColumn("__file", F.lit(k)).withColumn("__row", F.monotonically_increasing_id()))
         except IngestError as e:
             errors.append(f"{name}: {e}")
     if not good:
@@ -128,8 +138,9 @@ def load_many(frames: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
 
 
 def write_snapshot(df: DataFrame, path: str, month: str) -> None:
-    """A month's partition of the snapshot table."""
-    (df.withColumn("snapshot_month", F.lit(month)).write.mode("append").partitionBy("snapshot_month").parquet(path))
+    """A month's partition of the snapshot table; written again, it replaces the former one and no other."""
+    rows = df.withColumn("snapshot_month", F.lit(month))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_month").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, month: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from duebook.functions.columns import bucket, score
 
 AS_OF = datetime(2001, 11, 1)
+#: Loans opened from here on are not in the previous snapshot; loans whose last instalment lies before the other day have left the current one.
+OPENED, CLOSED = "2001-04-01", "1997-06-01"
 
 
 def _money(x: Column) -> Column:
@@ -39,12 +41,14 @@ def loan_book(spark: SparkSession, sf_dir: str, snapshot: str = "curr") -> DataF
         (F.sum("amt").cast("double") / F.count(F.lit(1))).alias("emi"),
         total(inst, "amt").alias("due_inst"), total(exp, "amt").alias("due_exp"), total(unpaid, "amt").alias("arr"),
         total(unpaid & inst, "amt").alias("arr_inst"), total(unpaid & exp, "amt").alias("arr_exp"), total(unpaid & bc, "amt").alias("arr_bc"),
-        total(~unpaid, "net").alias("coll"), total(~unpaid & ~bc, "net").alias("coll_ie"), F.max(F.when(~unpaid, F.col("l_shipdate"))).alias("last_receipt"),
+        total(~unpaid, "net").alias("coll"), total(~unpaid & ~bc, "net").alias("coll_ie"), F.max(F.when(~unpaid, F.col("l_shipdate"))).alias("last_receipt"), F.max("l_shipdate").alias("last_line"),
     )
     region = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     owner = read("customer").join(region, F.col("c_nationkey") == F.col("n_nationkey"))
-    orders = read("orders").where(F.col("o_orderkey") % 20 != (0 if snapshot == "curr" else 1))
-    rows = orders.join(owner, F.col("o_custkey") == F.col("c_custkey")).join(loans, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = read("orders").join(owner, F.col("o_custkey") == F.col("c_custkey")).join(loans, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    day = lambda text: F.lit(text).cast("timestamp")
+    here = F.coalesce(F.col("last_line") >= day(CLOSED), F.lit(True)) if snapshot == "curr" else F.col("o_orderdate") < day(OPENED)
+    rows = rows.where(here)
     key, cust, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
     money = lambda c: F.col(c).cast("double")
     ratio = money("arr") / F.col("emi")
@@ -72,7 +76,7 @@ def loan_book(spark: SparkSession, sf_dir: str, snapshot: str = "curr") -> DataF
     return out.withColumn("curr_score", F.coalesce(score(F.col("curr_bucket")), F.lit(-1)))
 
 
-def _sql(name: str, unpaid: str, left_out: int) -> str:
+def _sql(name: str, unpaid: str, here: str) -> str:
     return f"""
 {name}_i AS (SELECT l_orderkey, l_shipdate, CAST(l_extendedprice AS DECIMAL(18,2)) AS amt,
   CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2))) AS net_amt,
@@ -83,7 +87,7 @@ def _sql(name: str, unpaid: str, left_out: int) -> str:
   SUM(CASE WHEN unpaid = 1 THEN amt ELSE 0 END) AS arr, SUM(CASE WHEN unpaid = 1 AND comp = 'INST' THEN amt ELSE 0 END) AS arr_inst,
   SUM(CASE WHEN unpaid = 1 AND comp = 'EXP' THEN amt ELSE 0 END) AS arr_exp, SUM(CASE WHEN unpaid = 1 AND comp = 'BC' THEN amt ELSE 0 END) AS arr_bc,
   SUM(CASE WHEN unpaid = 0 THEN net_amt ELSE 0 END) AS coll, SUM(CASE WHEN unpaid = 0 AND comp <> 'BC' THEN net_amt ELSE 0 END) AS coll_ie,
-  MAX(CASE WHEN unpaid = 0 THEN l_shipdate END) AS last_receipt FROM {name}_i GROUP BY l_orderkey),
+  MAX(CASE WHEN unpaid = 0 THEN l_shipdate END) AS last_receipt, MAX(l_shipdate) AS last_line FROM {name}_i GROUP BY l_orderkey),
 {name}_b AS (SELECT o_orderkey AS loan_no, r_name AS region_name, n_name AS unit, CONCAT('EXEC_', CAST(c_custkey % 4 AS VARCHAR)) AS mnt_name,
   c_custkey AS cust_mob_no, c_name AS cust_name, c_mktsegment AS segment,
   CASE o_orderstatus WHEN 'F' THEN 'RUN' WHEN 'O' THEN 'MAT' ELSE 'S&S' END AS loan_status, o_orderdate AS ag_date,
@@ -100,11 +104,11 @@ def _sql(name: str, unpaid: str, left_out: int) -> str:
   CASE WHEN arr IS NULL THEN 'NA' WHEN CAST(arr AS DOUBLE) / emi <= 0 THEN 'STD' WHEN CAST(arr AS DOUBLE) / emi < 1 THEN '1-30 DPD'
     WHEN CAST(arr AS DOUBLE) / emi < 2 THEN 'SMA-1' WHEN CAST(arr AS DOUBLE) / emi < 3 THEN 'SMA-2' ELSE 'NPA' END AS curr_bucket
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  LEFT JOIN {name}_l ON o_orderkey = l_orderkey WHERE o_orderkey % 20 <> {left_out}),
+  LEFT JOIN {name}_l ON o_orderkey = l_orderkey WHERE {here}),
 {name} AS (SELECT *, pos + COALESCE(closing_arrears, 0) AS soh,
   CASE curr_bucket WHEN 'STD' THEN 0 WHEN '1-30 DPD' THEN 1 WHEN 'SMA-1' THEN 2 WHEN 'SMA-2' THEN 3 WHEN 'NPA' THEN 4 ELSE -1 END AS curr_score FROM {name}_b)"""
 
 
 #: The same two snapshots as common table expressions, for SQL that starts WITH them.
-CURR_SQL = _sql("curr", "l_returnflag = 'R' AND (l_linestatus = 'O' OR l_linenumber <= 2)", 0)
-PREV_SQL = _sql("prev", "l_linestatus = 'O' AND l_returnflag <> 'N'", 1)
+CURR_SQL = _sql("curr", "l_returnflag = 'R' AND (l_linestatus = 'O' OR l_linenumber <= 2)", f"COALESCE(last_line >= TIMESTAMP '{CLOSED} 00:00:00', TRUE)")
+PREV_SQL = _sql("prev", "l_linestatus = 'O' AND l_returnflag <> 'N'", f"o_orderdate < TIMESTAMP '{OPENED} 00:00:00'")

@@ -3,8 +3,10 @@ from datetime import datetime
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from duebook.schema import HEADERS, MANDATORY, canonical
+from duebook.plans.queries import run_filter
+from duebook.schema import DATES, HEADERS, MANDATORY, NUMBERS, SNAPSHOT, TEXTS, canonical
 from duebook.sources import ingest
 
 
@@ -32,7 +34,7 @@ def test_headers_claim_targets_once():
 def test_load(spark):
     df = ingest.load(extract(spark, {"Arrears / EMI": "2.5", "POS": "n/a", "Closing Arrears": "x", "remarks": "kept", "LCC%": "NaN"}))
     r = df.first()
-    assert r["ag_date"] == datetime(2026, 3, 1, 12) and r["curr_bucket"] == "SMA-2" and r["pos"] is None and r["closing_arrears"] == 0 and r["soh"] == 0
+    assert r["ag_date"] == datetime(2026, 3, 1, 12) and r["curr_bucket"] == "SMA-2" and r["pos"] is None and r["closing_arrears"] is None and r["soh"] == 0 and r["net_collection"] == 0
     assert r["unit"] == "ALPHA" and r["strike"] == "Y" and r["remarks"] == "kept" and r["lcc_pct"] is None and r["cum_coll_ie"] == 0
 
 
@@ -53,6 +55,26 @@ def test_many_files(spark):
     assert rows(df, "loan_no", "pos") == [("A", 5.0), ("B", 1.0)] and len(errors) == 1 and errors[0].startswith("bad")
 
 
+def test_load_has_the_declared_schema(spark):
+    df = ingest.load(extract(spark, {"DelinquencyDays": "95", "Tenure": "x", "remarks": "kept"}))
+    assert [(f.name, f.dataType) for f in df.schema] == [*((f.name, f.dataType) for f in SNAPSHOT), ("remarks", StringType())]
+    assert run_filter(df, {"conditions": [{"column": "DelinquencyDays", "op": ">", "value": 90}]}).count() == 1
+    assert len(NUMBERS) + len(TEXTS) + len(DATES) == len(HEADERS) and df.first()["tenure"] is None
+
+
+def test_load_keeps_the_first_row_of_a_loan(spark):
+    values = [("A", "5"), ("B", "6"), ("A", "7"), (None, "8"), (None, "9")]
+    df = extract(spark).drop("Loan No", "POS").crossJoin(spark.createDataFrame([(*v, k) for k, v in enumerate(values)], "`Loan No` string, POS string, place int").coalesce(1))
+    got = ingest.load(df.orderBy("place").coalesce(1))
+    assert sorted((r["loan_no"] or "", r["pos"]) for r in got.collect()) == [("", 8.0), ("", 9.0), ("A", 5.0), ("B", 6.0)]
+
+
+def test_a_month_written_again_replaces_itself(spark, tmp_path):
+    for month, n in (("2024-01", 2), ("2024-02", 3), ("2024-01", 1)):
+        ingest.write_snapshot(spark.range(n), f"{tmp_path}/t", month)
+    assert [ingest.read_snapshot(spark, f"{tmp_path}/t", m).count() for m in ("2024-01", "2024-02")] == [1, 3]
+
+
 def test_csv_and_partitions(spark, tmp_path):
     extract(spark).write.option("header", True).csv(f"{tmp_path}/in")
     df = ingest.load(ingest.read_raw(spark, f"{tmp_path}/in"))

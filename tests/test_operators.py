@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duebook.functions.columns import with_prev_bucket
 from duebook.operators import alerts, branches, kpis, migration, priority, report, scorecard
+from duebook.plans.queries import contextual_rankings, rows_behind
 
 
 def table(df):
@@ -97,7 +98,7 @@ def test_migration(spark):
 
 def test_migration_of_nothing(spark):
     k = migration.migration_kpis(book(spark, [{}]), book(spark, [])).first()
-    assert tuple(k) == (0, 0.0, 0.0, 0.0, 1, 0)
+    assert tuple(k) == (0, 0.0, 0.0, 0.0, 0, 0)  # no month to compare with: no new loans either
 
 
 def test_report(spark, tmp_path):
@@ -105,3 +106,23 @@ def test_report(spark, tmp_path):
     sections = report.sections(with_prev_bucket(curr, prev), prev, AS_OF)
     report.write({"health": sections["portfolio_health"]}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/health").count() == 10 and len(sections) == 8
+
+
+def test_lights(spark):
+    card = spark.createDataFrame([(100.0, 20.0, 4.9), (100.1, 10.0, 5.0), (89.9, 9.9, 10.0), (None, None, None)], "collection_pct double, roll_fwd_pct double, roll_bwd_pct double")
+    got = [tuple(r)[3:] for r in scorecard.banded(card).collect()]
+    assert got == [("amber", "red", "grey"), ("green", "amber", "amber"), ("red", "green", "green"), (None, None, None)]
+
+
+def test_first_month_has_no_new_loans(spark):
+    k = migration.migration_kpis(book(spark, [{}, {}]), book(spark, [])).first()
+    assert k["new_entries"] == 0 and k["exits"] == 0 and k["matched"] == 0
+    assert migration.migration_kpis(book(spark, []), book(spark, [{}, {}])).first()["exits"] == 2
+
+
+def test_rankings_of_a_result_without_columns(spark):
+    df = book(spark, [{"unit": "A"}, {"unit": "B"}, {"unit": "B"}, {"unit": None, "region_name": None}])
+    shown = df.where("loan_no <> 'L003'").select("loan_no")
+    got = rows(contextual_rankings(rows_behind(df, shown)))
+    assert ("branches", 1, "A", 1.0) in got and ("branches", 2, "B", 1.0) in got and ("regions", 1, "WEST", 2.0) in got
+    assert [r for r in got if r[0] == "bucket_share"] == [("bucket_share", 1, "STD", 100.0)] and len([r for r in got if r[0] == "branch_exposure"]) == 2
