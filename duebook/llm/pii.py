@@ -2,11 +2,16 @@
 
 Base detectors read the text as it is. Then transducers rewrite disguises - look-alike letters and digits, invisible characters,
 spelled digits, bracketed or spelled at and dot - into a normalised text and record for every rewritten piece where it came from.
-The same detectors read the normalised texts (digits left, spelled runs joined, spelled digits joined to any beside them); what they find across a rewritten piece is mapped back to source characters and added.
-Base spans always stay; a span within a base span of its kind is not added, a wider one is.
+The same detectors read the normalised texts (digits left, spelled runs joined, spelled digits joined to any beside them, letters that
+look like digits read as digits); what they find across a rewritten piece is mapped back to source characters and added. Base spans
+always stay; a span within a base span of its kind is not added, a wider one is.
 
-Null or empty text: no spans. Spans count code points, end exclusive, in the whole text. Each pattern is entered only where a run
-starts, so texts of a megabyte cost linear time. Repeated rows give equal rows; an empty table gives none.
+Null or empty text: no spans. Spans count code points, end exclusive, in the whole text, and of spans with one start (ties) the kind
+listed first comes first. Each pattern is entered only where a run starts, so texts of a megabyte cost linear time, also where they are
+one word. Repeated rows give equal rows, other columns change nothing, an empty table gives no rows.
+
+``_HINTS`` only saves time: a text that matches none of them is one that no transducer rewrites, since every edit starts from a character
+of ``_rewritten_class`` or leaves a match of a hint in the text as it is (each hint is its transducer's pattern with parts left out).
 """
 
 from __future__ import annotations
@@ -64,24 +69,23 @@ _MIXED = re.compile(rf"(?<!\w){_ITEM}(?:{_SEPARATOR}{_ITEM})+", re.I)
 _WORD_OR_DIGITS = re.compile(rf"(?:{_ANY_DIGIT}|[0-9]+)(?!\w)", re.I)
 
 
-def _any_of(words) -> str:
-    """A pattern for the words, branched by the first letter."""
-    by_first: dict[str, list[str]] = {}
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        by_first.setdefault(w[0], []).append(w[1:])
-    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
-
-
-_at, _dot, _end = "|".join(AT_WORDS), "|".join(DOT_WORDS), _any_of(ENDINGS)
+_at, _dot, _ENDINGS = "|".join(AT_WORDS), "|".join(DOT_WORDS), frozenset(ENDINGS)
 _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
 #: Bracketed at: a sign of its own. A spelled at needs a spelled or plain dot and a known ending after it. A plain dot before a
 #: capital and one small letter ends a sentence ("at noon.It was").
 _BRACKET_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_at}|@){_CLOSE})(?=[A-Za-z0-9])", re.I)
 _BRACKET_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_dot}|\.){_CLOSE})(?=[A-Za-z0-9])", re.I)
-_SPELLED_MAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(\x20(?:{_at})\x20|\x20?@\x20?)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\x20({_dot})\x20|\.(?!(?-i:[A-Z][a-z])(?![A-Za-z0-9])))({_end})(?![A-Za-z0-9])", re.I)
+_AT = re.compile(rf"\x20(?:{_at})\x20|\x20?@\x20?", re.I)
+_LABEL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"
+_BEHIND = re.compile(rf"\x20(?:{_dot})\x20\Z", re.I)
+_SITE = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9-]++)*+", re.I)
+#: Between two labels: a spelled dot, or a plain one.
+_STEP = re.compile(rf"\x20({_dot})\x20|\.", re.I)
+_SENTENCE = re.compile(r"[A-Z][a-z](?![A-Za-z0-9])")
 _PIECE = re.compile(rf"\x20(?:{_at})\x20|\x20?@\x20?|\x20(?:{_dot})\x20", re.I)
+#: A run of digits in which some letters stand for digits.
+_LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_DIGITS_WITH_LETTERS = re.compile(r"(?<![A-Za-z0-9])[OolI]*+[0-9][0-9OolI]*+(?![A-Za-z])")
 #: RE2 patterns that a text must match to be rewritten at all; linear and over whole batches.
 _HINTS = (
     r"[\[({<] ?(?i:" + f"{_at}|{_dot}" + r"|@|\.) ?[\])}>]",
@@ -90,6 +94,7 @@ _HINTS = (
     r"(?i) (?:" + _dot + r") [a-z0-9_%+-]+(?:[a-z0-9._%+-]| (?:" + _dot + r") )*@",
     r"(?i)(?:" + _ANY_DIGIT + r")[ ,.;/\t\n-]{1,3}(?:" + _ANY_DIGIT + r"|[0-9])",
     r"(?i)[0-9][ ,.;/\t\n-]{1,3}(?:" + _ANY_DIGIT + r")",
+    r"[0-9][OolI]|[OolI][0-9]",
 )
 
 
@@ -259,20 +264,64 @@ def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _local_start(text: str, at: int) -> int:
+    """Where the local part that ends at ``at`` begins: labels back to back with plain or spelled dots; ``at`` itself if there is none."""
+    start = at
+    while True:
+        p = start
+        if p < at:
+            if text[p - 1 : p] == ".":
+                p -= 1
+            elif m := _BEHIND.search(text, max(0, p - 12), p):
+                p = m.start()
+            else:
+                return start
+        q = p
+        while q and text[q - 1] in _LABEL:
+            q -= 1
+        if q == p:
+            return start
+        start = q
+
+
+def _site_end(text: str, at: int) -> tuple[int, str, str]:
+    """(end, last dot as spelled, last label) of the longest site from ``at`` on that ends in a known ending; end -1 if there is none."""
+    m = _SITE.match(text, at)
+    best = (-1, "", "")
+    if m:
+        for step in _STEP.finditer(text, at, m.end()):
+            label = re.match(r"[A-Za-z0-9-]+", text[step.end() : step.end() + 64])
+            if not label or label[0].lower() not in _ENDINGS:
+                continue
+            # a plain dot before a capital and one small letter ends a sentence
+            if step[1] is None and _SENTENCE.match(text, step.end()):
+                continue
+            best = (step.end() + len(label[0]), (step[1] or "").lower(), label[0].lower())
+    return best
+
+
 def _spelled_mail(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _SPELLED_MAIL.finditer(text):
-        if m[2] and m[2].lower() == "point" and m[1].strip().lower() == "at" and m[3].lower() in WORDS_TOO:
+    edits: list[tuple[int, int, str]] = []
+    for m in _AT.finditer(text):
+        start = _local_start(text, m.start())
+        if start == m.start() or edits and start < edits[-1][1]:
             continue
-        for p in _PIECE.finditer(text, m.start(), m.end()):
-            new = "@" if p.start() == m.start(1) else "."
+        end, dot, last = _site_end(text, m.end())
+        if end < 0 or dot == "point" and m[0].strip().lower() == "at" and last in WORDS_TOO:
+            continue
+        for p in _PIECE.finditer(text, start, end):
+            new = "@" if p.start() == m.start() else "."
             if p[0] != new:
                 edits.append((p.start(), p.end(), new))
     return edits
 
 
+def _letters(text: str) -> list[tuple[int, int, str]]:
+    return [(k, k + 1, _LETTERS[text[k]]) for m in _DIGITS_WITH_LETTERS.finditer(text) for k in range(m.start(), m.end()) if text[k] in _LETTERS]
+
+
 def normalised(text: str) -> list[Rewritten]:
-    """The readings of a text: digits as they are, runs of spelled digits joined, spelled digits joined to any digits beside them."""
+    """The readings of a text: digits as they are, spelled runs joined, spelled digits joined to any digits beside them, letters as digits."""
     out = Rewritten(text)
     if not text.isascii():
         out.apply(_characters(out.text))
@@ -280,7 +329,7 @@ def normalised(text: str) -> list[Rewritten]:
     out.apply([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
     out.apply(_spelled_mail(out.text))
     readings = [out]
-    for edits in (_digits(out.text), _mixed_digits(out.text)):
+    for edits in (_digits(out.text), _mixed_digits(out.text), _letters(out.text)):
         if edits:
             more = Rewritten(out.text)
             more.pieces = list(out.pieces)
@@ -330,17 +379,17 @@ def _hinted(column):
 def _scan(batch):
     release()
     column = batch.column("text")
-    out: list[list] = [[] for _ in range(7)]
+    out: list[list] = [[] for _ in range(8)]
     for text, hint in zip(column.to_pylist(), _hinted(column), strict=True):
         base, found = spans(text or "", bool(hint))
         counts = [sum(k == kind for _, _, k in base) for kind in KINDS]
-        for column_out, value in zip(out, [*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found) - len(base)], strict=True):
+        for column_out, value in zip(out, [*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found) - len(base), len(found)], strict=True):
             column_out.append(value)
     return out
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return map_rows(docs.select("doc_id", "text"), _scan, added, ["doc_id"])
 
 

@@ -494,6 +494,9 @@ def test_clean_texts_stay(text):
     ("card 4412 4730 1489 448 two", "card", "4412 4730 1489 448 two"), ("ip 192.168. one. five", "ip", "192.168. one. five"), ("un 192[.]168.1.1 x", "ip", "192[.]168.1.1"),
     ("ask john at site.com.", "email", "john at site.com"), ("john @ site.com", "email", "john @ site.com"), ("bob dot smith@site.com", "email", "bob dot smith@site.com"),
     *[(f"anna at mail dot site dot {e} x", "email", f"anna at mail dot site dot {e}") for e in "ca au jp br pl ru se dev app museum xyz".split()],
+    ("pay 44l2 473O 1489 4482 now", "card", "44l2 473O 1489 4482"), ("host 1O.2l.3.4 up", "ip", "1O.2l.3.4"), ("৪৪১২ 4730 1489 4482", "card", "৪৪১২ 4730 1489 4482"), ("441² 4730 1489 4482", "card", "441² 4730 1489 4482"),
+    ("1๙2.168.1.5", "ip", "1๙2.168.1.5"), ("bob@exⅰample.com", "email", "bob@exⅰample.com"), ("anna at mail dot example dot shop", "email", "anna at mail dot example dot shop"),
+    (f"{'n' * 90} at {'.'.join('abcdefgh')} dot com", "email", f"{'n' * 90} at {'.'.join('abcdefgh')} dot com"),
 ])
 def test_ordinary_disguises(spark, text, kind, source):
     at = text.index(source)
@@ -509,7 +512,7 @@ def test_hints_cover_the_transducers():
     import pyarrow as pa
 
     r = random.Random(4)
-    items = ["bob", "mail", "com", "ca", "dev", " at ", " ät ", " @ ", "@", " dot ", " punkt ", ".", " ", "[at]", "(dot)", "plus", "one", "vier", "+1", "415", "555", "0132", "192", " , ", "-", "; ", "x"]
+    items = ["bob", "mail", "com", "ca", "dev", " at ", " ät ", " @ ", "@", " dot ", " punkt ", ".", " ", "[at]", "(dot)", "plus", "one", "vier", "+1", "415", "555", "0132", "192", " , ", "-", "; ", "x", "44l2", "473O", " 1489 4482", "l", "৪", "ⅰ", "﹫", "²", "é"]
     texts = ["".join(r.choice(items) for _ in range(r.randint(3, 14))) for _ in range(60_000)]
     texts += [" ".join(r.choice(["plus", "one", "vier", "415", "5", "01"]) for _ in range(r.randint(3, 12))) for _ in range(10_000)]
     hints = pii._hinted(pa.array(texts))
