@@ -3,21 +3,25 @@
 A document's set: its distinct 5-word shingles (ASCII lower case) as 64-bit hashes; documents with equal sets are one node. The global
 order of shingles is: those that few documents share before those that many share (*heavy* ones), by hash within both.
 
-1. One pass reads all texts: set size and signature per document, and packed counts of the lower half of each set by hash, from which
-   each fragment of the hash range counts how many nodes hold a shingle. The heaviest (HEAVY nodes or more, at most MOST_HEAVY shingles)
-   go to the end of the order. Any fixed choice gives the same links; a good one gives few candidates.
+1. One pass reads all texts: set size and 128-bit signature per document, and the lower half of each set by hash, from which it is counted
+   how many documents hold a shingle (partial sums before the shuffle). The heaviest (HEAVY or more, at most MOST_HEAVY shingles) go to
+   the end of the order. Any fixed choice gives the same links; a good one gives few candidates. A node goes by half of its signature, or
+   by the other half where two sets share the first one.
 2. A second pass emits each node's prefix in that order: two sets of Jaccard 0.8 share a shingle of their prefixes. Shingles with more
    than one node are kept.
 3. Per shingle, every node is compared with the list's first node only (a star, never all pairs). The sets of the nodes concerned are
    cut into fragments of the global order; partial overlaps are counted per pair and fragment and summed per pair.
 4. Linked nodes contract to components. Lists whose nodes still lie in several components are then compared across components: lists of
-   up to SMALL nodes as pairs, under the length and position bounds, counted likewise; longer ones in blocks of BLOCK nodes or BLOCK_SHINGLES shingles,
-   each fragment's partial overlaps as a product of incidence matrices, summed over the fragments, of which only links that join
-   components leave the task. A link between two nodes of one component cannot change a component, so no link is lost.
+   up to SMALL nodes as pairs, under the length and position bounds, counted likewise; longer ones in blocks of BLOCK nodes or
+   BLOCK_SHINGLES shingles, each fragment's partial overlaps as a product of incidence matrices, summed over the fragments, of which only
+   links that join components leave the task. Where a list makes more than one block, first each node's shingles that another component of
+   the list holds are counted: they bound its overlaps, and so the sizes of sets that it can link with. Blocks are cut by size, and only
+   blocks whose sizes and bounds allow a link meet. Many alike nodes that are all just short of linking are dropped there, in linear time.
+   A link between two nodes of one component cannot change a component, so no link is lost.
 
 Null or empty text: no shingles, linked with nothing. Null doc_id: counted, component null, linked with nothing. Rows that repeat a
-doc_id: each a row of the result; equal texts fall into one node like copies. Long texts: arrays of 8 bytes a shingle, one text at a
-time. Empty table: no rows.
+doc_id: each a row of the result; equal texts fall into one node like copies. Ties: none, the smallest id names a component. Long texts:
+arrays of 8 bytes a shingle, one text at a time. Columns other than doc_id and text are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -37,19 +41,20 @@ WORDS = 5
 HEAVY, MOST_HEAVY = 8, 1 << 20
 FRAGMENTS = 8
 SMALL, BLOCK, COLUMNS = 12, 400, 8192
+#: Set sizes of one class of a long list differ by this factor at most.
+RATIO = 1.03
 #: Shingles of a block, and documents read at once.
 BLOCK_SHINGLES, ROWS = 400_000, 400
 #: Wanted documents up to this count are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
 MOST_WANTED = 1_000_000
 #: Bytes of text hashed at once.
 PIECE = 1 << 19
-_LOW = np.uint64(0xFFFFFFFF)
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9F8C54E36A2D1B75  # odd, so it has an inverse modulo 2^64
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Longer words (bytes) are hashed one by one.
+LONG_WORD = 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,20 +64,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word, from running sums of the bytes times powers of a base."""
-    buf = np.frombuffer(b" " + raw + b" ", np.uint8)
-    if len(_powers["up"]) < len(buf):
-        n = max(len(buf), 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
+    """Hash and start of every word: all words at once, eight bytes after eight bytes through a mixing step."""
+    from xxhash import xxh3_64_intdigest
+
+    padded = b" " + raw + b" " * 8
+    buf = np.frombuffer(padded, np.uint8)
+    eight = np.ndarray(len(buf) - 7, "<u8", padded, strides=(1,))
     space = _SPACE[buf]
     start, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers["up"][: len(buf)], out=run[1:])
-    h = (run[end] - run[start]) * _powers["down"][start]
-    return _mixed(h ^ ((end - start).astype(np.uint64) << np.uint64(56))), start - 1
+    size = end - start
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    who = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[who], size[who]
+    while len(who):
+        chunk = eight[at]
+        part = left < 8
+        chunk[part] &= (np.uint64(1) << (left[part].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[who] = _mixed(h[who] ^ chunk)
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxh3_64_intdigest(padded[start[k] : end[k]])
+    return h, start - 1
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -125,17 +138,30 @@ def shingles(text: str | None) -> np.ndarray:
     return shingle_sets([text])[0]
 
 
-def signature(tokens: np.ndarray) -> int:
-    from xxhash import xxh3_64_intdigest
+def signature(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent numbers of a set; ``bits`` of the first (tests give few)."""
+    from xxhash import xxh3_128_intdigest
+
+    both = xxh3_128_intdigest(tokens.tobytes())
+    return both % (1 << 64) % (1 << bits) - (1 << 63), (both >> 64) - (1 << 63)
+
+
+class _Names:
+    """A node's number: the first half of the signature, or the second where different sets share the first."""
+
+    def __init__(self, clashes: frozenset[int], bits: int):
+        self.clashes, self.bits = clashes, bits
 
-    return int(np.uint64(xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
+    def __call__(self, tokens: np.ndarray) -> int:
+        one, two = signature(tokens, self.bits)
+        return two if one in self.clashes else one
 
 
-def _read(fragments: int):
-    """Pass 1: a row (doc_id, n, sig) per document; per batch and fragment a row (frag, blob) of 32-bit upper halves."""
+def _read(bits: int):
+    """Pass 1: a row (doc_id, n, sig, sig2) per document; per batch a row (low) of the lower halves of its sets."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("frag", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
     def run(batches):
         release()
@@ -144,46 +170,27 @@ def _read(fragments: int):
                 batch = big.slice(at, ROWS)
                 sizes, sigs, halves, seen = [], [], [], set()
                 for tokens in shingle_sets(batch.column("text").to_pylist()):
-                    sig = signature(tokens) if len(tokens) else None
+                    sig = signature(tokens, bits) if len(tokens) else (None, None)
                     sizes.append(len(tokens))
                     sigs.append(sig)
-                    if sig is not None and sig not in seen:
+                    if len(tokens) and sig not in seen:
                         seen.add(sig)
                         halves.append(tokens[: (len(tokens) + 1) // 2])
-                none = pa.nulls(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                one, two = zip(*sigs, strict=True)
+                none = pa.nulls(batch.num_rows).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), none], schema=schema)
                 if halves:
-                    tokens = np.concatenate(halves)
-                    frag = (tokens % np.uint64(fragments)).astype(np.int64)
-                    order = np.argsort(frag, kind="stable")
-                    upper, frag = (tokens >> np.uint64(32)).astype(np.uint32)[order], frag[order]
-                    starts = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
-                    ends = np.append(starts[1:], len(frag))
-                    blobs = pa.array([upper[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
-                    none = pa.nulls(len(starts)).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(frag[starts], pa.int32()), blobs], schema=schema)
+                    low = pa.ListArray.from_arrays(pa.array([0, sum(map(len, halves))], pa.int32()), pa.array(np.concatenate(halves).view(np.int64)))
+                    none = pa.nulls(1).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, none, none, low], schema=schema)
 
     return run
 
 
-def _count(table):
-    """One fragment: its shingles in HEAVY blobs' documents or more, as keys (upper half, fragment)."""
-    import pyarrow as pa
-
-    schema = pa.schema([("key", pa.int64()), ("nodes", pa.int64())])
-    if not table.num_rows:
-        return schema.empty_table()
-    upper = np.sort(np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("blob")]))
-    start = np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]]))
-    count = np.diff(np.append(start, len(upper)))
-    much = count >= HEAVY
-    key = (upper[start][much].astype(np.uint64) << np.uint64(32)) | np.uint64(table.column("frag")[0].as_py())
-    return pa.table([key.view(np.int64), count[much]], schema=schema)
-
-
 def heavy_shingles(read: DataFrame) -> np.ndarray:
-    """Sorted keys of the heaviest shingles, at most MOST_HEAVY of them."""
-    counted = cut(read.where("frag IS NOT NULL").select("frag", "blob").groupBy("frag").applyInArrow(_count, "key long, nodes long"))
+    """The heaviest shingles, sorted, at most MOST_HEAVY of them."""
+    counted = read.where("low IS NOT NULL").select(F.explode("low").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("nodes"))
+    counted = cut(counted.where(F.col("nodes") >= HEAVY))
     levels = counted.groupBy(F.floor(F.log2("nodes")).alias("level")).count().orderBy(F.desc("level")).collect()  # at most 40 rows
     total, least = 0, HEAVY
     for r in levels:
@@ -191,35 +198,34 @@ def heavy_shingles(read: DataFrame) -> np.ndarray:
         if total > MOST_HEAVY:
             least = 2 ** (r["level"] + 1)
             break
-    keys = counted.where(F.col("nodes") >= least).select("key").toArrow().column("key").to_numpy()
+    keys = counted.where(F.col("nodes") >= least).select("t").toArrow().column("t").to_numpy()
     return np.sort(keys.view(np.uint64)) if len(keys) else np.zeros(0, np.uint64)
 
 
-def _is_heavy(tokens: np.ndarray, heavy: np.ndarray, fragments: int) -> np.ndarray:
+def _is_heavy(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     if not len(heavy):
         return np.zeros(len(tokens), bool)
-    key = (tokens & ~_LOW) | (tokens % np.uint64(fragments))
-    return heavy[np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)] == key
+    return heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
 
 
 def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray, fragments: int) -> np.ndarray:
+def prefix(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the global order that a set of Jaccard 0.8 cannot all miss."""
     p = prefix_length(len(tokens))
     look = min(len(tokens), 2 * p + 16)
-    light = tokens[:look][~_is_heavy(tokens[:look], heavy, fragments)]
+    light = tokens[:look][~_is_heavy(tokens[:look], heavy)]
     if len(light) < p and look < len(tokens):
-        light = tokens[~_is_heavy(tokens, heavy, fragments)]
+        light = tokens[~_is_heavy(tokens, heavy)]
     if len(light) >= p:
         return light[:p]
-    dark = tokens[_is_heavy(tokens, heavy, fragments)]
+    dark = tokens[_is_heavy(tokens, heavy)]
     return np.concatenate([light, dark])[:p]
 
 
-def _prefixes(held, fragments: int):
+def _prefixes(held, name: _Names):
     """Pass 2: rows (t, node, n, pos), once per node and batch."""
     import pyarrow as pa
 
@@ -232,10 +238,10 @@ def _prefixes(held, fragments: int):
             for at in range(0, big.num_rows, ROWS):
                 parts, sigs, sizes, seen = [], [], [], set()
                 for tokens in shingle_sets(big.slice(at, ROWS).column("text").to_pylist()):
-                    if not len(tokens) or (sig := signature(tokens)) in seen:
+                    if not len(tokens) or (sig := name(tokens)) in seen:
                         continue
                     seen.add(sig)
-                    parts.append(prefix(tokens, heavy, fragments))
+                    parts.append(prefix(tokens, heavy))
                     sigs.append(sig)
                     sizes.append(len(tokens))
                 if parts:
@@ -249,17 +255,17 @@ def _prefixes(held, fragments: int):
     return run
 
 
-def _fragmented(held, fragments: int):
+def _fragmented(held, name: _Names):
     """The sets of texts whose node is wanted, cut at fixed points of the global order: light shingles by hash range, then heavy ones."""
 
     def compute(batch):
         out = []
         for tokens, node in zip(shingle_sets(batch.column("text").to_pylist()), batch.column("node").to_pylist(), strict=True):
-            if not len(tokens) or signature(tokens) != node:  # another row under the same doc_id
+            if not len(tokens) or name(tokens) != node:  # another row under the same doc_id
                 out.append([])
                 continue
             k = (tokens >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
-            k += FRAGMENTS * _is_heavy(tokens, held.value, fragments)
+            k += FRAGMENTS * _is_heavy(tokens, held.value)
             values = tokens.view(np.int64)
             out.append([{"k": int(i), "s": values[k == i].tolist()} for i in np.unique(k)])
         return [out]
@@ -335,32 +341,40 @@ def _block(table):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, bits: int = 64):
         self.docs = docs.select("doc_id", "text")
         spark = docs.sparkSession
         small_batches(spark)
-        self.fragments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        schema = "doc_id long, n long, sig long, frag int, blob binary"
-        read = staged(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(self.fragments), schema))
-        self.sizes = staged(read.where("frag IS NULL").select("doc_id", "n", "sig"))
+        read = staged(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(bits), "doc_id long, n long, sig long, sig2 long, low array<long>"))
         self.heavy = spark.sparkContext.broadcast(heavy_shingles(read))
+        rows = read.where("n IS NOT NULL")
+        # two sets with one first half: about one for 10^10 documents
+        halves = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
+        clashes = frozenset(r["sig"] for r in halves.where("lo < hi").select("sig").collect())
+        node = F.when(F.col("sig").isin(list(clashes)), F.col("sig2")).otherwise(F.col("sig")) if clashes else F.col("sig")
+        self.sizes = staged(rows.select("doc_id", "n", node.alias("node"), "sig"))
+        if clashes and not self.sizes.groupBy("node").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").isEmpty():
+            raise ValueError("three sets share halves of their signatures")
         discard(read, free=True)
+        self.name = _Names(clashes, bits)
         self.repeats = not self.sizes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-        self.first = self.sizes.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
+        self.first = self.sizes.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
 
     def live(self) -> DataFrame:
         """Prefix rows of the shingles that two nodes or more have there, with the list's first node."""
-        rows = self.docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(self.heavy, self.fragments), "t long, node long, n int, pos int")
-        w = W.partitionBy("t")
-        me = F.struct("node", "n", "pos")
-        rows = rows.withColumn("lead", F.min(me).over(w)).withColumn("hi", F.max("node").over(w))
-        return staged(rows.where(F.col("lead.node") < F.col("hi")).drop("hi"))
+        rows = staged(self.docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(self.heavy, self.name), "t long, node long, n int, pos int"))
+        ends = rows.groupBy("t").agg(F.min("node").alias("lead"), F.max("node").alias("hi"))
+        shared = staged(ends.where("lead < hi").select("t", "lead"))
+        out = staged(rows.join(shared, "t"))
+        discard(shared)
+        discard(rows, free=True)
+        return out
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, parts) of the nodes (column sig): their sets from one of their texts, cut into fragments."""
-        wanted = cut(nodes.join(self.first, "sig").select(F.col("first").alias("doc_id"), F.col("sig").alias("node")))
+        """(node, parts) of the nodes: their sets from one of their texts, cut into fragments."""
+        wanted = cut(nodes.join(self.first, "node").select(F.col("first").alias("doc_id"), "node"))
         texts = self.docs.join(bounded_broadcast(wanted, wanted.count(), MOST_WANTED), "doc_id").select("node", "text")
-        made = map_rows(texts, _fragmented(self.heavy, self.fragments), "parts array<struct<k int, s array<long>>>", ["node"], rows=200)
+        made = map_rows(texts, _fragmented(self.heavy, self.name), "parts array<struct<k int, s array<long>>>", ["node"], rows=200)
         made = made.where(F.size("parts") > 0)
         # rows that repeat a doc_id and its text give the same set twice
         return staged(made.dropDuplicates(["node"]) if self.repeats else made)
@@ -375,15 +389,45 @@ class _Join:
         return summed.where(9 * F.col("common") >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
     def block_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links across components among the nodes of each group (gid, node, n, comp), block by block: a node goes once to every pair of
-        blocks that its own is part of."""
-        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-        sized = rows.groupBy("gid").agg(blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        """Links across components among the nodes of each group (gid, node, n, comp), block by block."""
         whole = sets.select("node", F.flatten(F.transform("parts", lambda x: x["s"])).alias("s"))
-        placed = rows.join(sized.where("lo < hi"), "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(whole, "node")
-        return placed.groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long")
+        sized = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _blocks().alias("blocks"))
+        sized = staged(sized.where("lo < hi").select("gid", "blocks"))
+        rows = staged(rows.join(sized, "gid"))
+        one = rows.where("blocks = 1").select("gid", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"), "node", "comp")
+        placed = one.unionByName(self.in_blocks(rows.where("blocks > 1").drop("blocks"), whole))
+        return placed.join(whole, "node").groupBy("gid", "i", "j").applyInArrow(_block, "a long, b long")
+
+    def in_blocks(self, rows: DataFrame, whole: DataFrame) -> DataFrame:
+        """(gid, i, j, block, node, comp): the nodes of large groups, once for every pair of blocks that may hold a link.
+
+        A node with m shingles that other components of its group hold links only with sets of up to ``reach`` shingles, as
+        9 * overlap >= 4 * (sum of sizes) and the overlap is m at most.
+        """
+        each = rows.join(whole, "node").select("gid", "node", "n", "comp", F.explode("s").alias("s"))
+        held = each.groupBy("gid", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        common = staged(held.where("lo < hi").select("gid", "s"))
+        mass = each.join(common, ["gid", "s"]).groupBy("gid", "node", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
+        able = staged(mass.select(
+            "gid", "node", "n", "comp", F.floor(F.col("m") * 9 / 4 - F.col("n")).alias("reach"), F.floor(F.log("n") / F.log(F.lit(RATIO))).alias("class")
+        ).where(5 * F.col("reach") >= 4 * F.col("n")))
+        classes = staged(able.groupBy("gid", "class").agg(F.min("n").alias("least"), F.max("reach").alias("reach"), _blocks().alias("blocks")))
+        side = lambda x: classes.select("gid", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "least", "reach", "blocks")])
+        meet = (F.col("class_a") <= F.col("class_b")) & (F.col("least_a") <= F.col("reach_b")) & (F.col("least_b") <= F.col("reach_a"))
+        pairs = side("a").join(side("b"), "gid").where(meet & (4 * F.col("least_b") <= 5 * RATIO * F.col("least_a") + 5))
+        block = lambda x, k: F.shiftleft(F.col(f"class_{x}").cast("long"), 32) + k
+        spread = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{x}") - 1))
+        pairs = pairs.withColumn("ka", spread("a")).withColumn("kb", spread("b"))
+        pairs = pairs.select("gid", block("a", F.col("ka")).alias("i"), block("b", F.col("kb")).alias("j")).where("i <= j")
+        ends = staged(pairs.select("gid", "i", "j", F.col("i").alias("block")).union(pairs.where("i < j").select("gid", "i", "j", F.col("j").alias("block"))))
+        able = able.join(classes.select("gid", "class", "blocks"), ["gid", "class"])
+        able = able.withColumn("block", F.shiftleft(F.col("class").cast("long"), 32) + F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return able.join(ends, ["gid", "block"]).select("gid", "i", "j", "block", "node", "comp")
+
+
+def _blocks() -> F.Column:
+    """Blocks that a group's nodes make."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
 
 
 def _paired(rows: DataFrame) -> DataFrame:
@@ -393,26 +437,28 @@ def _paired(rows: DataFrame) -> DataFrame:
     return rows.select(*ordered).distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    join = _Join(docs)
+    join = _Join(docs, bits)
     live = join.live()
-    star = live.where(F.col("node") != F.col("lead.node")).where(_possible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    tested = staged(_paired(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))))
-    nodes = lambda pairs: pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    # the first node's own row in each list
+    leads = staged(live.where(F.col("node") == F.col("lead")).groupBy("t").agg(F.min("n").alias("lead_n"), F.min("pos").alias("lead_pos")))
+    star = live.where(F.col("node") != F.col("lead")).join(leads, "t").where(_possible(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
+    tested = staged(_paired(star.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))))
+    discard(leads)
+    nodes = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = join.sets(nodes(tested))
     linked = cut(join.links(tested, sets))
     comps = components(linked)
 
-    comp = F.coalesce("comp", "node")
-    placed = live.join(comps, "node", "left").select("t", "node", "n", "pos", comp.alias("comp"), F.col("lead.node").alias("lead"))
-    w = W.partitionBy("t")
-    home = F.max(F.when(F.col("node") == F.col("lead"), F.col("comp"))).over(w)
-    placed = placed.withColumn("home", home).withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w))
-    mixed = placed.where("lo < hi").select("t", "node", "n", "pos", "comp", "lead", "home").distinct()
-    mixed = staged(mixed.withColumn("long", F.count(F.lit(1)).over(w) > SMALL))
-    del placed
+    placed = staged(live.distinct().join(comps, "node", "left").select("t", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), "lead"))
     discard(live, free=True)
+    home = F.max(F.when(F.col("node") == F.col("lead"), F.col("comp")))
+    lists = placed.groupBy("t").agg(home.alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count(F.lit(1)) > SMALL).alias("long"))
+    lists = staged(lists.where("lo < hi").select("t", "home", "long"))
+    mixed = staged(placed.join(lists, "t"))
+    discard(lists)
+    discard(placed)
 
     short = mixed.where("NOT long").withColumn("out", F.col("comp") != F.col("home"))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "comp")]
@@ -424,20 +470,20 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # lists of one near-copy group mostly have the same lead; those whose lead is itself in an earlier list go with that one
     lists = mixed.where("long").select("lead", "node", "n", "comp").distinct()
-    up = lists.groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("up"))
+    up = staged(lists.groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("up")))
     grouped = staged(lists.join(up, "lead", "left").select(F.least("lead", "up").alias("gid"), "node", "n", "comp").distinct())
+    discard(mixed)
     wanted = nodes(more).union(grouped.select("node")).distinct()
-    rest = join.sets(wanted.join(sets.select(F.col("node").alias("sig")), "sig", "left_anti"))
+    rest = join.sets(wanted.join(sets.select("node"), "node", "left_anti"))
     sets = sets.unionByName(rest)
     found = cut(join.links(more, sets).union(join.block_links(grouped, sets)))
     comps = components(linked.union(found))
 
-    named = join.first.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
-    named = cut(named)
-    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    names = named.join(least, "comp").select("sig", "component_id")
-    out = join.sizes.join(names, "sig", "left")
-    alone = F.col("sig").isNull() | F.col("doc_id").isNull()
+    named = staged(join.first.join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
+    least = staged(named.groupBy("comp").agg(F.min("first").alias("component_id")))
+    names = staged(named.join(least, "comp").select("node", "component_id"))
+    out = join.sizes.join(names, "node", "left")
+    alone = F.col("node").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -416,6 +416,49 @@ def test_jaccard_borderline_group(spark, monkeypatch):
     assert {k: v["component_id"] for k, v in by_id(jaccard_join.op6(spark.createDataFrame(data, DOCS).repartition(3))).items()} == expected
 
 
+def test_words_that_sums_of_powers_confuse():
+    """A word of 1,024 letters and its complement, equal under any polynomial modulo 2^64, and words around the eight-byte steps."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = [one, two, *("abcdefghijklmnopq"[:n] for n in range(1, 18)), "abcdefgh\0", "x" * 64, "x" * 65, "é" * 40]
+    h, start = jaccard_join._word_hashes(" ".join([*words, *words]).encode())
+    assert (h[: len(words)] == h[len(words) :]).all() and len(set(h.tolist())) == len(words) and start[0] == 0
+    assert not len(np.intersect1d(*jaccard_join.shingle_sets([f"{one} b c d e", f"{two} b c d e"])))
+
+
+def test_jaccard_with_clashing_signatures(docs, data):
+    expected = components_of(sets_of(data))
+    got = jaccard_join.groups(docs, bits=3).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+
+
+def _listed(spark, sets):
+    """One long list whose nodes hold the given sets, each a component of its own."""
+    rows = spark.createDataFrame([(1, k, len(s), k) for k, s in enumerate(sets)], "gid long, node long, n int, comp long")
+    return rows, spark.createDataFrame([(k, [{"k": 0, "s": sorted(s)}]) for k, s in enumerate(sets)], "node long, parts array<struct<k int, s array<long>>>")
+
+
+def test_alike_nodes_short_of_linking_never_meet(spark):
+    for n in (500, 1500):
+        rows, sets = _listed(spark, [[*range(170), *range(1000 + 30 * k, 1030 + 30 * k)] for k in range(n)])
+        whole = sets.select("node", F.flatten(F.transform("parts", lambda x: x["s"])).alias("s"))
+        assert jaccard_join._Join.in_blocks(None, rows, whole).count() == 0
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
+    r = random.Random(2)
+    sets = [r.sample(range(100), r.choice([70, 75, 80, 88, 95])) for _ in range(80)]
+    rows, whole = _listed(spark, sets)
+    join = object.__new__(jaccard_join._Join)
+    got = components(join.block_links(rows, whole))
+    expected = {k: v for k, v in components_of({k: frozenset(s) for k, s in enumerate(sets)}).items()}
+    comps = {x["node"]: x["comp"] for x in got.collect()}
+    assert {k: comps.get(k, k) for k in expected} == expected and len(set(expected.values())) > 1
+
+
 def test_overlap_matrix():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 2**63, 40).astype(np.uint64) * np.uint64(2)) for _ in range(3)]

@@ -1,8 +1,10 @@
 """The pipeline's stages against brute-force versions of their decisions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
-from test_llm_operators import DOCS, components_of, corpus, sets_of
+from test_llm_operators import DOCS, components_of, corpus, prose, sets_of
 
 import corpus_pipeline
 from duebook.llm import fertility, mixing, pii
@@ -11,7 +13,9 @@ from duebook.llm import fertility, mixing, pii
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
-    extra = [(1000, "mail me at bob@mail.example.com or +1 (017) 555-7713 when the river and the house are ready today", "en", "s1", 0)]
+    # words like those of the other texts: the quality rules judge it by the table's own bands
+    usual = prose(random.Random(3), 80)
+    extra = [(1000, f"{usual} bob@mail.example.com or +1 (017) 555-7713 {usual[::-1].split()[0][::-1]}", "en", "s1", 0)]
     spark.createDataFrame([*corpus(seed=7, n=60), *extra], DOCS).write.parquet(f"{at}/documents.parquet")
     return at
 
