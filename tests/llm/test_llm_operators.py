@@ -655,6 +655,51 @@ def test_shard_bytes_are_near_equal(spark, shards):
     assert len(sums) == shards and max(sums) - min(sums) <= 5 * 201
 
 
+def _memory_tree(rows, shards):
+    """(tree, leaf of every row) by sorting each node's rows in memory."""
+    tree, leaf = {}, {}
+    shift = kd_shards.HASH_BITS - kd_shards.FINE_BITS
+
+    def split(node, rows, n):
+        if n == 1 or not rows:
+            leaf.update({r["doc_id"]: node for r in rows})
+            return
+        d = max(kd_shards.DIMENSIONS, key=lambda d: (max(r[d] for r in rows) - min(r[d] for r in rows), -kd_shards.DIMENSIONS.index(d)))
+        groups = defaultdict(int)
+        for r in rows:
+            groups[r[d], r["h"] >> shift] += r["size"]
+        wanted, before = sum(groups.values()) * (n // 2) / n, 0
+        for (cell, fine), part in sorted(groups.items()):
+            if before + part > wanted:
+                break
+            before += part
+        key = (cell << kd_shards.HASH_BITS) + (fine + (2 * (wanted - before) > part) << shift)
+        tree[node] = (d, key)
+        left = [r for r in rows if (r[d] << kd_shards.HASH_BITS) + r["h"] < key]
+        split(2 * node, left, n // 2)
+        split(2 * node + 1, [r for r in rows if (r[d] << kd_shards.HASH_BITS) + r["h"] >= key], n - n // 2)
+
+    split(1, rows, shards)
+    return tree, leaf
+
+
+@pytest.mark.parametrize("shards", [2, 7, 16])
+def test_kd_tree_against_memory(docs, shards):
+    slim = kd_shards._slim(docs)
+    rows, tree, numbers = kd_shards.kd_tree(slim, shards)
+    expected, leaf = _memory_tree(slim.collect(), shards)
+    assert tree == expected
+    assert {r["doc_id"]: r["node"] for r in rows.collect()} == leaf and sorted(numbers.values()) == list(range(shards))
+    assert len({d for d, _ in tree.values()}) > 1 or shards == 2
+
+
+def test_texts_are_cells_by_their_whole_value(spark):
+    rows = [(k, "x" * 9, "en", f"https://site-{k % 20:02}.example/", 0) for k in range(400)]
+    slim = kd_shards._slim(spark.createDataFrame(rows, DOCS))
+    cells = {r["doc_id"] % 20: r["src"] for r in slim.collect()}
+    assert [cells[k] for k in range(20)] == sorted(set(cells.values())) and len(set(cells.values())) == 20
+
+
 def test_shards_from_target_bytes(spark):
     rows = [(k, "x" * 99, "en", "s", 0) for k in range(1000)]
     assert kd_shards.kd_shards(spark.createDataFrame(rows, DOCS), target_bytes=10_000).select("shard").distinct().count() == 10
