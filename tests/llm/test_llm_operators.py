@@ -602,8 +602,8 @@ def embeddings(spark, ids, x):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BOUND_SAMPLE", 64)
     monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "CHUNK", 300)
     monkeypatch.setattr(ann, "FIRST", 2)
     r = np.random.default_rng(0)
     x = (r.standard_normal((1500, 24)) + 2 * r.standard_normal((12, 24))[r.integers(0, 12, 1500)]).astype(np.float32)
@@ -611,7 +611,7 @@ def test_neighbours(spark, monkeypatch):
     ids = r.permutation(3000)[:1500]
     expected = neighbours(ids, x.astype(float))
     got = defaultdict(list)
-    for row in ann.search(embeddings(spark, ids, x), F.col("vec_id") % 20 == 0, 20, lists=16).orderBy("query_id", "rank").collect():
+    for row in ann.search(embeddings(spark, ids, x), F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
         got[row["query_id"]].append(row)
     assert set(got) == set(expected)
     hits = 0
@@ -623,6 +623,37 @@ def test_neighbours(spark, monkeypatch):
     assert hits / sum(map(len, expected.values())) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_recall_with_shipped_constants(spark, clusters):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((8000, 32))
+    if clusters:
+        x = 0.5 * x + 2 * r.standard_normal((clusters, 32))[r.integers(0, clusters, len(x))]
+    x = x.astype(np.float32)
+    expected = neighbours(np.arange(8000), x.astype(float))
+    got = defaultdict(set)
+    for row in ann.op8(embeddings(spark, np.arange(8000), x).repartition(4)).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    assert all(len(v) == 20 for v in got.values()) and set(got) == set(expected)
+    assert sum(len(got[q] & {i for i, _ in e}) for q, e in expected.items()) / (20 * len(expected)) >= 0.95
+
+
+def test_queries_whose_lists_are_short_go_through_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST", 1)
+    monkeypatch.setattr(ann, "FINE", 0.0)
+    monkeypatch.setattr(ann, "COARSE", 0.0)
+    x = np.random.default_rng(1).standard_normal((60, 4))
+    got = ann.search(embeddings(spark, np.arange(60), x), F.col("vec_id") % 20 == 0, 20).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in got) == [(0, 20), (20, 20), (40, 20)]
+
+
+def test_embeddings_with_further_columns(spark):
+    x = np.random.default_rng(1).standard_normal((40, 3))
+    df = embeddings(spark, np.arange(40), x)
+    more = df.withColumns({n: F.lit(1) for n in ("v", "q", "lst", "cid", "score", "bound", "place")})
+    assert ann.op8(more).orderBy("query_id", "rank").collect() == ann.op8(df).orderBy("query_id", "rank").collect()
+
+
 def test_neighbours_of_few_and_bad_vectors(spark):
     good = {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [0.5, 0.5], 20: [0.0, 2.0]}
     rows = [*good.items(), *good.items(), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (40, [1.0]), (None, [1.0, 1.0])]
