@@ -8,9 +8,16 @@ article or main element only. Second pass: each page is read again and gives the
 article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments). A page without that path, or
 without a host, gives the text at its own best path.
 
-Null or empty html: empty text. Unclosed tags, broken references and cut pages are read as browsers would. Repeated pages vote as often
-as they occur, but their copies are no repeats. An empty table gives no rows. Scores are combined per batch before the shuffle; the texts
-of a path, a hash each, are compared per host, path and hash, so a host with a third of all pages is spread; the winners are one row per host, broadcast up to ``MOST_HOSTS`` and joined by shuffle beyond.
+Classes and ids that name such a kind as a whole ("cookie-notice", "site-header") drop their element. Those that only hold such a word
+("related-work", "entry-header") count like links when containers are scored and stay where the chosen container holds them; a header
+element inside article or main stays too.
+
+Null or empty html: empty text. Null url: no host. Unclosed tags, broken references and cut pages are read as browsers would. Pages of any
+length and depth are read whole; a long path goes by a hash of its upper part. Repeated pages vote as often as they occur, but their copies
+are no repeats. Ties: the first path in order. Other columns are not read. An empty table gives no rows. Scores are combined per batch
+before the shuffle; the texts of a path, a hash each, are compared per host, path and hash, so a host with a third of all pages is spread;
+what meets in one task are the distinct paths of a host. The winners are one row per host, broadcast up to ``MOST_HOSTS`` and joined by
+shuffle beyond.
 """
 
 from __future__ import annotations
@@ -19,15 +26,15 @@ import hashlib
 import html
 import re
 from collections import Counter
-from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import bounded_broadcast, cut, map_rows
+from duebook.llm.common import bounded_broadcast, cut, map_rows, small_batches
 
 MOST_HOSTS = 200_000
-DEEPEST = 64
+#: Characters of a path from which on its upper part is a hash.
+LONG_PATH = 400
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,9 +44,14 @@ BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption captio
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table".split())
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?\d*|adverts?|advertisement|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|forms?|headers?|masthead|menus?|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|notifications?|pagination|popups?|promos?|promoted|related|replies|respond|share|sharing|sidebars?|social|sponsor(?:ed|s)?|subscribe|widgets?)(?=$|[\s_-])", re.I)
+_KIND = (
+    "ads?#*|adverts?|advertisement|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|forms?|headers?|masthead|menus?|modal|nav|navbar|"
+    "navigation|newsletter|notices?|notifications?|pagination|popups?|promos?|promoted|related|replies|respond|share|sharing|sidebars?|social|sponsor(?:ed|s)?|subscribe|widgets?")
+_WHERE = "site|page|global|top|bottom|left|right|main|primary|secondary|mobile|cookie|side|user|reader|ad|share|social|menu|nav"
+_PART = "slot|unit|box|bar|block|area|list|container|wrapper|wrap|item|items|links?|section|banner|notice|form|menu|widget|button|buttons|popup|modal|overlay|label|posts|articles|stories|thread|content|inner|#+"
+#: The word in a class, and a class that is the word with where it is and what part of it.
+UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_KIND})(?=$|[\s_-])".replace("#", r"\d"), re.I)
+SURELY = re.compile(rf"(?:(?:{_WHERE})[_-]+)*(?:{_KIND})(?:[_-]+(?:{_PART}|{_WHERE}))*".replace("#", r"\d"), re.I)
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -50,15 +62,20 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "drop", "link", "depth", "up")
+    __slots__ = ("tag", "path", "parent", "drop", "link", "within", "up")
 
     def __init__(self, tag, path, parent, drop, link):
         self.tag, self.path, self.parent, self.drop, self.link = tag, path, parent, drop, link
-        self.depth = parent.depth + 1 if parent is not None else 0
+        self.within = parent is not None and parent.within or tag in ("article", "main")
         # the nearest element that can be a container: itself, or what holds its block
         self.up = parent.up if parent is not None and (tag in BLOCK or tag in INLINE) else self
 
 
+def _path(above: str, segment: str) -> str:
+    path = f"{above}/{segment}"
+    return path if len(path) <= LONG_PATH else f"~{hashlib.blake2b(path.encode('utf-8', 'replace'), digest_size=16).hexdigest()}/{segment[:40]}"
+
+
 def read(page: str) -> list[tuple[_Element, str]]:
     """The page's texts in order with the elements that hold them; a text of "\\n" stands for a block's edge. Dropped parts are left out."""
     stack = [_Element("", "", None, False, False)]
@@ -99,22 +116,21 @@ def read(page: str) -> list[tuple[_Element, str]]:
             if tag == "body":
                 pop_to({"head"}, ())
             top = stack[-1]
-            kinds, drop = "", top.drop or tag in NEVER
+            kinds, drop, doubt = "", top.drop or tag in NEVER and not (tag == "header" and top.within), False
             if m["attrs"].strip("/ \t\n\r\f"):
                 for a in _ATTR.finditer(m["attrs"]):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if name == "class":
                         kinds = ".".join(sorted(set(re.sub(r"\d+", "#", html.unescape(value)).split()))).replace("/", "%2f")
-                        drop |= tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
-                    elif name == "id":
-                        drop |= tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
+                    if name in ("class", "id"):
+                        if tag not in ("html", "body", "article", "main") and UNWANTED.search(value):
+                            drop |= any(map(SURELY.fullmatch, value.split()))
+                            doubt = True
                     elif name == "role":
                         drop |= value.lower() in _ROLES
                     elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                         drop = True
-            # deeper elements share the path of the last one that has its own
-            path = top.path + "/" + tag + ("." + kinds if kinds else "") if top.depth < DEEPEST else top.path
-            stack.append(_Element(tag, path, top, drop, top.link or tag == "a"))
+            stack.append(_Element(tag, _path(top.path, tag + ("." + kinds if kinds else "")), top, drop, top.link or doubt or tag == "a"))
         if edge and not stack[-1].drop:
             out.append((stack[-1], "\n"))
     if at < len(page) and not stack[-1].drop:
@@ -140,10 +156,6 @@ def best(found: dict[str, int]) -> str:
     return min(found, key=lambda p: (-found[p], p), default="")
 
 
-#: Paths from an article or main element on.
-_WITHIN = re.compile(r"/(?:article|main)(?=[./]|\Z)")
-
-
 def own(parts: list[tuple[_Element, str]]) -> dict[str, tuple[int, int, int]]:
     """By path of a container: characters outside links and within links of its own blocks, and a hash of the text outside links."""
     texts: dict[str, list[str]] = {}
@@ -158,30 +170,53 @@ def own(parts: list[tuple[_Element, str]]) -> dict[str, tuple[int, int, int]]:
     return {p: (sum(map(len, t)), links[p], _hash("\n".join(t))) for p, t in texts.items()}
 
 
+def above(parts: list[tuple[_Element, str]]) -> dict[str, tuple[str, bool]]:
+    """By path of a container and of all around it: the path above, and whether it lies in an article or main element."""
+    found: dict[str, tuple[str, bool]] = {}
+    for element, _ in parts:
+        e = element.up
+        while e is not None and e.path not in found:
+            found[e.path] = (e.parent.path if e.parent is not None else "", e.within)
+            e = e.parent
+    return found
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def climb(found: dict[str, tuple[int, int]], winner: str, several: bool) -> str:
+def climb(found: dict[str, tuple[int, int]], up: dict[str, tuple[str, bool]], winner: str, several: bool) -> str:
     """The highest ancestor of ``winner`` up to which the text that each step adds is mostly neither links nor repeated.
 
-    ``found``: by path, characters of the pages' own text and of links and repeated text. Not ``several``: within article or main only.
+    ``found``: by path, characters of the pages' own text and of links and repeated text. ``up``: by path, the path above and whether it is
+    within article or main. Not ``several``: within those only.
     """
-    at = highest = winner
+    line, at = {winner: 0}, winner
     while at:
-        up = at.rpartition("/")[0]
-        if not several and not _WITHIN.search(up):
+        at = up[at][0]
+        line[at] = len(line)
+    steps = [[0, 0] for _ in line]  # what each ancestor adds to the one below it
+    reach: dict[str, int] = dict(line)
+    for p, (f, o) in found.items():
+        chain = []
+        while p not in reach:
+            chain.append(p)
+            p = up[p][0]
+        for c in chain:
+            reach[c] = reach[p]
+        steps[reach[p]][0] += f
+        steps[reach[p]][1] += o
+    highest = winner
+    for p, k in line.items():
+        if not k:
+            continue
+        if not several and not up[p][1]:
             break
-        fresh = other = 0
-        for p, (f, o) in found.items():
-            if (p == up or p.startswith(up + "/")) and not (p == at or p.startswith(at + "/")):
-                fresh += f
-                other += o
+        fresh, other = steps[k]
         if fresh > other:
-            highest = up
+            highest = p
         elif other:
             break
-        at = up
     return highest
 
 
@@ -203,11 +238,9 @@ def text_at(parts: list[tuple[_Element, str]], path: str) -> str | None:
     return " ".join("".join(hits).split()) if hits else None
 
 
-def host(url: str | None) -> str | None:
-    try:
-        return urlsplit(url or "").hostname
-    except ValueError:
-        return None
+def host(url: Column) -> Column:
+    """Scheme, user and port off, lower case; empty without a host."""
+    return F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@\s]*)", 1))
 
 
 def _votes(batches):
@@ -216,8 +249,8 @@ def _votes(batches):
     for pdf in batches:
         summed: Counter = Counter()
         texts: dict = {}
-        for url, page in zip(pdf["url"], pdf["html"], strict=True):
-            where = host(url)
+        lines: dict = {}
+        for where, page in zip(pdf["x__host"], pdf["html"], strict=True):
             if where and page:
                 parts, whole = read(page), _hash(page)
                 for path, n in scores(parts).items():
@@ -225,10 +258,13 @@ def _votes(batches):
                 for path, (chars, links, key) in own(parts).items():
                     c, n, low, high = texts.get((where, path, key), (0, 0, whole, whole))
                     texts[where, path, key] = c + chars, n + links, min(low, whole), max(high, whole)
-        rows = [(h, p, None, n, 0, 0, None, None) for (h, p), n in summed.items()]
-        rows += [(h, p, key, 0, *x) for (h, p, key), x in texts.items()]
-        columns = ["host", "path", "key", "score", "chars", "links", "low", "high"]
-        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[2:]})
+                for path, line in above(parts).items():
+                    lines[where, path] = line
+        rows = [(h, p, *lines[h, p], None, n, 0, 0, None, None) for (h, p), n in summed.items()]
+        rows += [(h, p, *lines[h, p], key, 0, *x) for (h, p, key), x in texts.items()]
+        rows += [(h, p, *line, None, 0, 0, 0, None, None) for (h, p), line in lines.items() if (h, p) not in summed]
+        columns = ["host", "path", "up", "within", "key", "score", "chars", "links", "low", "high"]
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[4:]})
 
 
 def _climbed(pdf):
@@ -237,19 +273,22 @@ def _climbed(pdf):
     winner = best({p: n for p, n in zip(pdf["path"], pdf["score"], strict=True) if n > 0})
     several = pdf["low"].min() != pdf["high"].max()
     found = {p: (int(f), int(o)) for p, f, o in zip(pdf["path"], pdf["fresh"], pdf["other"], strict=True)}
-    paths = [climb(found, winner, several)] if (pdf["score"] > 0).any() else []
+    up = {p: (u, bool(w)) for p, u, w in zip(pdf["path"], pdf["up"], pdf["within"], strict=True)}
+    paths = [climb(found, up, winner, several)] if (pdf["score"] > 0).any() else []
     return pd.DataFrame({"host": pdf["host"].iloc[:1].repeat(len(paths)), "path": paths})
 
 
 def consensus(pages: DataFrame) -> DataFrame:
     """(host, path): the ancestor climbed to from the path with the highest summed score on each host; of equals, the first in order."""
-    added = "host string, path string, key long, score long, chars long, links long, low long, high long"
-    votes = pages.select("url", "html").mapInPandas(_votes, added)
+    small_batches(pages.sparkSession)
+    added = "host string, path string, up string, within boolean, key long, score long, chars long, links long, low long, high long"
+    votes = pages.select(host(F.col("url")).alias("x__host"), "html").mapInPandas(_votes, added)
     sums = [F.sum(c).alias(c) for c in ("score", "chars", "links")]
-    summed = votes.groupBy("host", "path", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+    # the same path has the same one above it
+    summed = votes.groupBy("host", "path", "up", "within", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
     # a text on unlike pages is repeated; what is not is the pages' own
     repeated = F.when(F.col("low") != F.col("high"), F.col("chars")).otherwise(0)
-    paths = summed.groupBy("host", "path").agg(
+    paths = summed.groupBy("host", "path", "up", "within").agg(
         F.sum("score").alias("score"), F.sum(F.col("chars") - repeated).alias("fresh"), F.sum(F.col("links") + repeated).alias("other"),
         F.min("low").alias("low"), F.max("high").alias("high"))
     return paths.groupBy("host").applyInPandas(_climbed, "host string, path string")
@@ -261,7 +300,8 @@ def _extract(batch):
         parts = read(page or "")
         text = text_at(parts, path) if path is not None else None
         if not text:
-            path = climb({p: x[:2] for p, x in own(parts).items()}, best(scores(parts)), False)
+            found = {p: x[:2] for p, x in own(parts).items()}
+            path = climb(found, above(parts), best(scores(parts)), False) if found else ""
             text = text_at(parts, path)
         texts.append(text or "")
         used.append(path)
@@ -270,10 +310,9 @@ def _extract(batch):
 
 def extract(pages: DataFrame, *keep: str) -> DataFrame:
     """``keep``, text, n_chars and the path that gave the text."""
-    paths = cut(consensus(pages)).select(F.col("host").alias("x__host"), F.col("path").alias("x__path"))
-    # the same host as `host`, on the JVM: scheme, user and port off, lower case
-    x_host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)", 1))
-    joined = pages.withColumn("x__host", x_host).join(bounded_broadcast(paths, paths.count(), MOST_HOSTS), "x__host", "left")
+    paths = cut(consensus(pages.select("url", "html"))).select(F.col("host").alias("x__host"), F.col("path").alias("x__path"))
+    pages = pages.select(*dict.fromkeys([*keep, "url", "html"]))
+    joined = pages.withColumn("x__host", host(F.col("url"))).join(bounded_broadcast(paths, paths.count(), MOST_HOSTS), "x__host", "left")
     return map_rows(joined.select(*keep, "html", "x__path"), _extract, "text string, n_chars long, path string", list(keep))
 
 

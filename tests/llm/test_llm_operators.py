@@ -276,6 +276,54 @@ def test_html_keeps_the_article_around_the_largest_container(spark):
     assert [got[k]["text"] for k in range(len(pages))] == expected
 
 
+def test_html_keeps_titles_and_sections_of_the_article(spark):
+    page = """<html><body><header>Site</header><article><header class="entry-header"><h1>Title {n}</h1></header><p>{body}</p>
+<div class="related-work"><p>Earlier work {n} on this</p></div><div class="related">See also</div><div class="sidebar-left">Side</div><footer>Tags</footer></article></body></html>"""
+    pages = [(n, f"http://[2001:db8::1]:80/{n}", page.format(n=n, body=f"word{n} text " * 30)) for n in range(4)]
+    pages += [(10 + n, f"//user@H.example/{n}", page.format(n=n, body=f"word{n} text " * 30)) for n in range(4)]
+    got = by_id(html_main.op4(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    for k, r in got.items():
+        assert r["text"] == f"Title {k % 10} " + (f"word{k % 10} text " * 30).strip() + f" Earlier work {k % 10} on this"
+        assert r["path"] == "/html/body/article"
+
+
+def test_html_deep_containers_stay_apart(spark):
+    page = "<html>" + "<div class=deep>" * 150 + "<div class=body><p>{body}</p></div><div class=links><a href=x>{links}</a></div>" + "</div>" * 150
+    pages = [(n, f"http://h.example/{n}", page.format(body=f"word{n} text " * 30, links="next page " * 20)) for n in range(3)]
+    got = by_id(html_main.op4(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert [got[n]["text"] for n in range(3)] == [(f"word{n} text " * 30).strip() for n in range(3)]
+    long = "<p>" + "long words of one page " * 100_000
+    assert html_main.op4(spark.createDataFrame([(1, "http://h", long)], "page_id long, url string, html string")).first()["n_chars"] == 2_299_999
+
+
+def _page(r, host, n):
+    """(html, text): an article of random blocks among random boilerplate, and its text as built."""
+    words = lambda k: " ".join(f"{r.choice('abcdefgh')}{r.randrange(500)}x" for _ in range(k))
+    blocks, texts = [], []
+    for _ in range(r.randint(2, 7)):
+        kind, text = r.choice(["p", "h2", "blockquote", "li", "pre"]), words(r.randint(5, 40))
+        shown = text.replace("a1", "<b>a1</b>").replace("x b", "x &#98;").replace("x c", "x\n\t <i>c</i>")
+        if r.random() < 0.3:
+            text, shown = f"{text} & <{n}>", f"{shown} &amp; &lt;{n}&gt;"
+        blocks.append(f"<{kind}>{shown}" + ("" if kind == "p" and r.random() < 0.5 else f"</{kind}>"))
+        texts.append(text)
+        if r.random() < 0.3:
+            blocks.append(r.choice([f"<aside>{words(4)}</aside>", f"<script>{words(3)}</script>", f'<div class="ad-slot">{words(5)}</div>', f"<form>{words(2)}<input></form>", "<!-- x -->"]))
+    menu = "".join(f"<li><a href=/{k}>{host} {k}</a>" for k in range(6))
+    body = f'<header>{host}</header><nav><ul>{menu}</ul></nav><div class="{host}-{n}"><main id=m><div class=text>{"".join(blocks)}</div></main></div><footer>&copy; {host}</footer>'
+    return f"<html><head><title>{words(3)}</title></head><body>{body}</body></html>", " ".join(texts)
+
+
+def test_html_of_generated_pages(spark):
+    r = random.Random(8)
+    made = [(n, f"https://{host}.example/{n}", *_page(r, host, n)) for n, host in enumerate(["one", "two", "three"] * 20)]
+    rows = [x[:3] for x in made]
+    df = spark.createDataFrame([*rows, *rows[:10]], "page_id long, url string, html string")
+    for df in (df, df.withColumns({c: F.lit("x") for c in ("text", "path", "host", "x__path", "n_chars", "score")})):
+        got = html_main.op4(df).collect()
+        assert len(got) == 70 and {x["page_id"]: x["text"] for x in got} == {n: " ".join(t.split()) for n, _, _, t in made}
+
+
 @pytest.mark.parametrize("page", ["<p" * 2000, "<!--" * 500, '<a href="' * 1000, "<script>" * 300, "<<<>>>", "<p>a<b>c</p>d"])
 def test_html_broken_pages(page):
     html_main.text_at(html_main.read(page), html_main.best(html_main.scores(html_main.read(page))))
