@@ -1,37 +1,62 @@
 """The corpus pipeline: quality rules, one document per near-duplicate group, personal data out, sources mixed, text encoded.
 
 ``run`` applies the stages to ``documents``. Each stage's rows are written as Parquet to the shared folder and read again by the next, so
-an executor lost later costs no earlier stage. All stages but the last return the columns of documents.
+an executor lost later costs no earlier stage. All stages but the last return the columns of documents. The tables that a stage has left in
+the shared folder go when the next stage is called: by then its rows have been written, as the contract of a stage says.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from duebook.llm import fertility, jaccard_join, mixing, pii, sp_backend
-from duebook.llm.common import staged, table
+from duebook.llm.common import discard, remove, staged, table, taken
+
+_left: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the one before has left."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _left:
+            remove(spark, path)
+        taken()
+        out = work(spark, docs, sf_dir)
+        _left[:] = taken()
+        return out
+
+    run.__doc__ = work.__doc__
+    return run
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return fertility.kept_documents(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of every group linked by shingle Jaccard 0.8 or more."""
     return jaccard_join.one_of_each(docs)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by the kind in brackets; n_chars follows the text."""
     return pii.redacted(docs)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents left out, taken once or taken twice."""
     return mixing.repeated(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, beside the documents' columns but the text itself."""
     keep = [c for c in docs.columns if c != "text"]
@@ -51,9 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

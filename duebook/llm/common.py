@@ -41,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths of the tables staged since ``taken`` was last called.
+_made: list[str] = []
+
+
+def taken() -> list[str]:
+    """The paths of the staged tables made so far, for those who know when they can go."""
+    found = _made[:]
+    _made.clear()
+    return found
+
+
 def staged(df: DataFrame) -> DataFrame:
     """As ``cut``, as a Parquet table: smaller, and later steps read only the columns they use."""
     spark = df.sparkSession
@@ -48,19 +59,31 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
+    _made.append(path)
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(df: DataFrame, free: bool = False) -> None:
     """Delete a staged table that nothing reads any more; ``free``: let Spark drop the shuffle files of finished steps as well."""
+    remove(df.sparkSession, df.stage_path)
+    if df.stage_path in _made:
+        _made.remove(df.stage_path)
+    if free:
+        free_shuffles(df.sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
     import gc
 
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if free:
-        gc.collect()
-        jvm.System.gc()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def bounded_broadcast(small: DataFrame, rows: int, most: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duebook.llm.common import bounded_broadcast, cut, discard, map_rows, release, same_columns, small_batches, staged
+from duebook.llm.common import bounded_broadcast, cut, discard, free_shuffles, map_rows, release, same_columns, small_batches, staged
 from duebook.llm.components import components
 
 WORDS = 5
@@ -365,6 +365,7 @@ class _Join:
         rows = staged(self.docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(self.heavy, self.name), "t long, node long, n int, pos int"))
         ends = rows.groupBy("t").agg(F.min("node").alias("lead"), F.max("node").alias("hi"))
         shared = staged(ends.where("lead < hi").select("t", "lead"))
+        free_shuffles(rows.sparkSession)
         out = staged(rows.join(shared, "t"))
         discard(shared)
         discard(rows, free=True)
