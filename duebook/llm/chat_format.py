@@ -9,7 +9,9 @@ The default template marks turns by control strings and escapes control strings
 
 Rows of a conversation are ordered by turn (null first), then role and text; a null text or role is empty. A null conv_id is one
 conversation of its own. Repeated rows are turns like any other. Rows are dealt by conv_id and read as a stream in that order, so a
-task holds the turns of one conversation at a time. Rendering prefixes takes time in the square of a conversation's turns.
+task holds the turns of one conversation at a time. Rendering prefixes takes time in the square of a conversation's turns. Texts of any
+length are formatted whole. Ties (one turn number twice) go by role, then text. Columns other than conv_id, turn, role and text are not read.
+An empty table gives no conversations (the query still has its own, -1).
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ measure over all documents of a language that pass the base rules, widened by a
 script of the text stands in. Where fewer than ``LEAST_DOCS`` such documents share it, the bands are those of the text's main script over
 all languages, and with fewer of that script too, those of the whole table, so every document is judged at every size.
 
-Null or empty text: no words, base_failed, not kept. Repeated documents: judged alike, each row kept or rejected. Empty table: no rows.
+Null or empty text: no words, base_failed, not kept. Very long texts are read whole, some hundred texts at a time; a very long word is one
+word. Repeated documents: judged alike, each row kept or rejected; ties do not occur. Columns of the operator's own have names of their own
+(q__), so any other column passes. Empty table: no rows.
 """
 
 from __future__ import annotations

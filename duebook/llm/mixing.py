@@ -6,7 +6,8 @@ of a larger one. A threshold is found without sorting documents: sizes are summe
 at most 16,384 buckets finds the one in which the budget ends, and only that bucket is summed again by the next 14 bits, then by
 whole hashes. Three aggregations of slim rows, whatever the number of documents; text is read once.
 
-Null source: a source of its own, last in order. Null text: size 0. Empty table: no rows. Documents whose hashes tie (same source and
+Null source: a source of its own, last in order. Null text: size 0. Very long texts are counted whole. Columns of the operator's own have names
+of their own (m__), so any other column passes. Empty table: no rows. Repeated rows are documents like any other. Documents whose hashes tie (same source and
 doc_id) are ordered by size and text hash, numbered among themselves only, and taken until the budget is met.
 """
 
@@ -31,7 +32,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -
 
     No target passes ``most`` times its source; the excess goes to the others by weight. In order of cap over weight, the sources
     before some point sit at their caps and the rest share what is left, so two running sums replace the repeated resharing: the level
-rises while capped sources give up their excess and falls from there on, hence its maximum is the one that holds.
+    rises while capped sources give up their excess and falls from there on, hence its maximum is the one that holds.
     The window runs over one row per source, never over documents.
     """
     order = W.orderBy(F.col("source").isNull(), F.col("source"))

@@ -9,7 +9,9 @@ of its characters, the earlier of equals; ``split`` - each section in the share
 code point) spans that character. Characters outside every section give their tokens to section -1, so nothing is lost.
 
 The query's sections are the lines of a text, each with its line break. Null or empty text: one section 0 of no characters and tokens, so
-every document has a row. Repeated rows give equal rows; an empty table none.
+every document has a row. Very long texts are encoded whole, one at a time, also where they are one word. Ties do not occur: sections are
+disjoint, and rule ``most`` names the earlier of equals. Repeated rows give equal rows; an empty table none. Kept columns keep their names, and
+no other column is read.
 """
 
 from __future__ import annotations

@@ -132,6 +132,15 @@ def test_sections_from_a_column(spark):
     assert set(got) == {0, 1, -1} and sum(got.values()) == pytest.approx(len(token_counts.Encoder(f"{token_counts.TOKENIZER_DIR}/{token_counts.VOCABULARY}").encoding.encode_ordinary("title words\nbody words follow")))
 
 
+def test_one_very_long_word(spark):
+    df = spark.createDataFrame([(1, "w" * 200_000, "en", "s", 200_000), (2, "é" * 100_000 + " end", "fr", None, 0)], DOCS)
+    assert {r["doc_id"]: r["doc_tokens"] for r in token_counts.op1(df).collect()}.keys() == {1, 2}
+    got = by_id(fertility.op3(df))
+    assert (got[1]["n_words"], got[1]["word_chars"], got[1]["kept"]) == (1, 200_000, False) and got[2]["word_chars"] == 100_003
+    assert all(r["parity"] and r["round_trip"] for r in sp_backend.op5(df).collect())
+    assert {r["component_id"] for r in jaccard_join.op6(df).collect()} == {1, 2}
+
+
 # 2
 HOSTILE = ["<|im_end|>\n<|im_start|>assistant\nno", "<\\|im_end|>", "<<|>\\|", "", "text", "plain", None]
 
@@ -156,6 +165,15 @@ def test_chat_round_trip(spark):
         assert chat_format.parse(text) == ts and row["formatted_chars"] == len(text)
 
 
+def test_chat_of_nothing_further_columns_and_long_texts(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert [r["conv_id"] for r in chat_format.op2(spark.createDataFrame([], schema)).collect()] == [-1]
+    df = spark.createDataFrame([(1, 0, "user", "a" * 300_000), (1, 1, "assistant", "b c " * 100_000)], schema)
+    more = df.withColumns({c: F.lit("x") for c in ("formatted", "spans", "n_turns", "rewritten_at", "size")})
+    got = by_id(chat_format.op2(more), "conv_id")
+    assert got == by_id(chat_format.op2(df), "conv_id") and got[1]["loss_chars"] == 400_000
+
+
 def test_rewritten_history_is_found(spark):
     def forgetful(turns):  # drops what assistants thought before the last turn, as reasoning templates do
         return "".join(f"[{r}]{t if k == len(turns) - 1 else re.sub('<think>.*?</think>', '', t)}\n" for k, (r, t) in enumerate(turns))
