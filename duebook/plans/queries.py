@@ -50,9 +50,33 @@ def _counted(df: DataFrame, spec: dict) -> Column:
     return F.count_if(condition(df, spec))
 
 
-def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rank 1..n in the rows' order; the frame is an aggregated or limited one."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("rank", *df.columns)
+def _ranked(df: DataFrame, by: list[tuple[str, bool]], few: bool) -> DataFrame:
+    """Rank 1..n in the order of (column, ascending), missing values last; columns of one row differ in the order's columns.
+
+    ``few`` rows, after a limit, are ranked in one window. Any number is ranked bucket by bucket: buckets by the first two columns follow the
+    order, their counts - few rows - give each its start, and a window inside each gives the places.
+    """
+    order = [_order(c, up) for c, up in by]
+    if few:
+        return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("rank", *df.columns)
+    heads = {f"__b{k}": _bucket(df, c, up) for k, (c, up) in enumerate(by[:2])}
+    rows = df.withColumns(heads)
+    before = W.orderBy(*heads).rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(*heads).agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    place = F.row_number().over(W.partitionBy(*heads).orderBy(*order))
+    return rows.join(starts, [*heads]).withColumn("rank", (F.col("__start") + place).cast("int")).select("rank", *df.columns).orderBy("rank")
+
+
+def _bucket(df: DataFrame, name: str, ascending: bool) -> Column:
+    """A whole number that never falls along the order: the size of a number in steps of about a hundredth, the first two characters of a text."""
+    c = F.col(f"`{name}`")
+    if kind(df, name) == "number":
+        x = c.cast("double")
+        at = F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * 64)
+    else:
+        text = c.cast("string")
+        at = F.ascii(text).cast("long") * 0x110000 + F.ascii(F.substring(text, 2, 1))
+    return F.coalesce(at if ascending else -at, F.lit(1 << 60)).cast("long")
 
 
 def run_aggregation(df: DataFrame, spec: dict) -> DataFrame:
@@ -72,16 +96,14 @@ def run_aggregation(df: DataFrame, spec: dict) -> DataFrame:
         out = out.where(c != v if op == "!=" else COMPARE[op](c, v))
     label = f"{keys[0]} ({keys[1]})" if len(keys) == 2 else keys[0]
     shown = F.concat(F.trim(F.col(keys[0]).cast("string")), F.lit(" ("), F.trim(F.col(keys[1]).cast("string")), F.lit(")")) if len(keys) == 2 else F.col(keys[0])
-    by = [m["label"] for m in metrics_of(spec)][:1]
-    order = [_order(by[0], spec.get("sort_asc") is not False)] if by else []
-    order += [F.asc_nulls_last(k) for k in keys]
+    by = [(m["label"], spec.get("sort_asc") is not False) for m in metrics_of(spec)][:1] + [(k, True) for k in keys]
     try:
         limit = int(spec.get("limit") or 0)
     except (TypeError, ValueError):
         limit = 0
     if limit > 0:
-        out = out.orderBy(*order).limit(limit)
-    ranked = _ranked(out, order)
+        out = out.orderBy(*[_order(c, up) for c, up in by]).limit(limit)
+    ranked = _ranked(out, by, limit > 0)
     return ranked.select("rank", shown.alias(label), *[f"`{c}`" for c in known])
 
 
@@ -105,33 +127,36 @@ def _aggregated(df: DataFrame, a: dict) -> Column:
 def run_plan(df: DataFrame, plan: list[dict]) -> DataFrame:
     """The steps one after the other - group_aggregate, filter, derive, sort, limit - and ranks in the final order."""
     refuse(plan_problems(df.columns, plan))
-    order: list[Column] = []
-    grouped = False
+    by: list[tuple[str, bool]] = []
+    grouped = few = False
     for step in plan:
         op = step["op"].lower()
         if op == "group_aggregate":
             keys = [resolve(df.columns, k) for k in _as_list(step["group_by"])]
             made = [_aggregated(df, a).alias(a["alias"]) for a in step["aggregations"]]
             df = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(*made)
-            order, grouped = [F.asc_nulls_last(k) for k in keys], True
+            by, grouped, few = [(k, True) for k in keys], True, False
         elif op == "filter":
             df = df.where(conjunction(df, step.get("conditions") or []))
         elif op == "derive":
             df = df.withColumn(step["column"], arithmetic(step["expr"], df.columns))
         elif op == "sort":
-            ties = [c for c in order if grouped] or ([F.asc_nulls_last("loan_no")] if "loan_no" in df.columns else [])
-            order = [_order(resolve(df.columns, step["by"]), bool(step.get("ascending", False))), *ties]
-            df = df.orderBy(*order)
+            ties = by if grouped else [("loan_no", True)] if "loan_no" in df.columns else []
+            first = resolve(df.columns, step["by"])
+            by = [(first, bool(step.get("ascending", False))), *[t for t in ties if t[0] != first]]
+            df = df.orderBy(*[_order(c, up) for c, up in by])
         elif op == "limit":
             try:
                 n = int(step.get("n"))
             except (TypeError, ValueError):
                 n = 0
             if n > 0:
-                df, grouped = df.limit(n), True
-    if "rank" in df.columns or not grouped:  # ranking a whole snapshot would sort it in one task
+                df, grouped, few = df.limit(n), True, True
+    if "rank" in df.columns or not grouped:  # rows of the snapshot itself get no ranks before a limit
         return df
-    return _ranked(df, order or [F.lit(1)])
+    if not by:
+        return df.withColumn("rank", F.row_number().over(W.orderBy(F.lit(1)))).select("rank", *df.columns)
+    return _ranked(df, by, few)
 
 
 def single_answer(df: DataFrame, spec: dict) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import book
 
@@ -12,7 +14,7 @@ def npa(alias, column):
 
 @pytest.fixture
 def moves(spark):
-    data = [("A", "NPA", "NPA"), ("A", "NPA", "STD"), ("B", "NPA", "STD"), ("C", "NPA", "STD"), ("C", "NPA", "SMA-1"), ("C", "NPA", "NPA"), (None, "NPA", "NPA")]
+    data = [("Q", "NPA", "NPA")] * 3 + [("Q", "NPA", "STD"), ("R", "NPA", "SMA-1"), ("R", "NPA", "STD"), ("T", "NPA", "1-30 DPD"), ("S", "NPA", "SMA-2"), (None, "NPA", "NPA")] + [("S", "NPA", "NPA")] * 2
     return spark.createDataFrame(data, "unit string, prev_bucket string, curr_bucket string")
 
 
@@ -20,10 +22,10 @@ SPEC = {"group_by": "Unit", "counts": [npa("before", "prev_bucket"), npa("after"
 
 
 def test_reduction_order_limit_having(moves):
-    assert [(r["rank"], r["unit"], r["cut"]) for r in run_aggregation(moves, SPEC).collect()] == [(1, "B", 100.0), (2, "C", 66.67), (3, "A", 50.0)]
-    assert [r["unit"] for r in run_aggregation(moves, {**SPEC, "limit": 2}).collect()] == ["B", "C"]
-    assert [r["unit"] for r in run_aggregation(moves, {**SPEC, "having": [{"alias": "before", "op": ">=", "value": 2}]}).collect()] == ["C", "A"]
-    assert single_answer(moves, SPEC).first()["unit"] == "B"
+    units = lambda **more: [r["unit"] for r in run_aggregation(moves, {**SPEC, **more}).collect()]
+    assert [(r["rank"], r["unit"], r["cut"]) for r in run_aggregation(moves, SPEC).collect()] == [(1, "R", 100.0), (2, "T", 100.0), (3, "S", 33.33), (4, "Q", 25.0)]
+    assert units(limit=3) == ["R", "T", "S"] and units(having=[{"alias": "before", "op": ">=", "value": 3}]) == ["S", "Q"]
+    assert single_answer(moves, SPEC).first()["unit"] == "R"
 
 
 def test_counts_of_every_kind(spark):
@@ -87,3 +89,15 @@ def test_rankings(spark):
     got = contextual_rankings(book(spark, [{}, {"unit": "B", "region_name": "EAST"}, {"unit": "B", "arrears_emi": 4.0}])).collect()
     assert [(r["name"], r["value"]) for r in got if r["ranking"] == "branches"] == [("B", 2.0), ("ALPHA", 1.0)]
     assert [(r["name"], r["value"]) for r in got if r["ranking"] == "bucket_share"] == [("STD", 66.7), ("NPA", 33.3)]
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("limit", [0, 7])
+def test_ranks_in_buckets_follow_the_order(spark, ascending, limit):
+    r = random.Random(6)
+    made = [(f"{r.choice(['', 'a', 'ab', 'é', 'zz'])}{k:03}", r.choice([None, 0.0, 0.0, -3.5, 1e9, 12.25, r.uniform(-50, 50)])) for k in range(150)]
+    df = spark.createDataFrame(made, "k string, v double").repartition(5)
+    plan = [{"op": "group_aggregate", "group_by": ["k"], "aggregations": [{"alias": "v", "func": "max", "column": "v"}]}, {"op": "sort", "by": "v", "ascending": ascending}]
+    got = [(x["rank"], x["k"]) for x in run_plan(df, plan + ([{"op": "limit", "n": limit}] if limit else [])).orderBy("rank").collect()]
+    expected = sorted(made, key=lambda x: (x[1] is None, (x[1] or 0) * (1 if ascending else -1), x[0]))
+    assert got == [(n, k) for n, (k, _) in enumerate(expected[: limit or None], 1)]
