@@ -3,8 +3,9 @@
 Two public vocabularies read every word of every text (a word with the space before it; white space itself yields no tokens). Each
 distinct word is encoded once per worker and then looked up, so a document costs array arithmetic only. Bands are quartiles of each
 measure over all documents of a language that pass the base rules, widened by a multiple of their distance. Without a language the main
-script of the text stands in. Where fewer than ``LEAST_DOCS`` such documents share it, the bands are those of the text's main script over
-all languages, and with fewer of that script too, those of the whole table, so every document is judged at every size.
+script of the text stands in. A language's quartiles are drawn towards those of the text's main script over all languages as if PRIOR further
+documents had them, and a script's towards the whole table's, so every document is judged at every size and no count of documents
+switches anything.
 
 Null or empty text: no words, base_failed, not kept. Very long texts are read whole, some hundred texts at a time; a very long word is one
 word. Repeated documents: judged alike, each row kept or rejected; ties do not occur. Columns of the operator's own have names of their own
@@ -26,7 +27,7 @@ SYMBOLS, SPACE = b"#*$%&|<>", bytes([0x20, *range(0x09, 0x0E)])
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Band: quartiles widened by WIDTH times their distance, taken as at least the floor (bands of near-constant measures stay open).
 #: WIDTH and SHORT are fitted on half of the labels and held against the other half (README).
-WIDTH, LEAST_DOCS = 2.0, 50
+WIDTH, PRIOR = 2.0, 50
 FLOORS = {"chars_per_token": 0.08, "chars_per_token_2": 0.06, "byte_share": 0.02, "entropy": 0.3}
 #: Short texts scatter more: a text of n words may lie sqrt(1 + SHORT / n) times as far outside the quartiles.
 SHORT = 200.0
@@ -183,23 +184,25 @@ def measured(docs: DataFrame, keep: list[str], folder: str = TOKENIZER_DIR) -> D
 
 
 def _bands(rows: DataFrame, failed: Column) -> DataFrame:
-    """Bands for every language (or script without one) and script in the table, from the narrowest group with enough documents."""
+    """Bands for every language (or script without one) and script in the table."""
     # values rounded to thousandths: the exact quartiles then come from a bounded number of counts, combined before the shuffle
     quartiles = [F.percentile(F.round(f"q__{m}", 3), F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m in FLOORS]
     passed = rows.where(~failed)
 
     def level(name: str, *keys: str) -> DataFrame:
-        enough = (F.count(F.lit(1)) >= LEAST_DOCS).alias("enough")
-        stats = passed.groupBy(*keys).agg(enough, *quartiles)
-        stats = stats.where("enough") if keys else stats
-        return stats.select(*keys, F.struct(*FLOORS).alias(name))
+        stats = passed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *quartiles)
+        return stats.select(*keys, F.struct("n", *FLOORS).alias(name))
+
+    def drawn(name: str, m: str, k: int, towards: Column) -> Column:
+        n = F.coalesce(F.col(f"{name}.n"), F.lit(0))
+        return (n * F.coalesce(F.col(f"{name}.{m}")[k], F.lit(0.0)) + PRIOR * towards) / (n + PRIOR)
 
     pairs = rows.select("q__group", "q__script").distinct()
     pairs = pairs.join(level("x__group", "q__group"), "q__group", "left").join(level("x__script", "q__script"), "q__script", "left")
-    pairs = pairs.crossJoin(F.broadcast(level("x__all"))).select("q__group", "q__script", F.coalesce("x__group", "x__script", "x__all").alias("x"))
+    pairs = pairs.crossJoin(F.broadcast(level("x__all")))  # one row
     columns = []
     for m, floor in FLOORS.items():
-        low, high = F.col(f"x.{m}")[0], F.col(f"x.{m}")[1]
+        low, high = (drawn("x__group", m, k, drawn("x__script", m, k, F.col(f"x__all.{m}")[k])) for k in (0, 1))
         columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), (WIDTH * F.greatest(high - low, F.lit(floor))).alias(f"reach_{m}")]
     return cut(pairs.select("q__group", "q__script", *columns))
 

@@ -158,10 +158,10 @@ class _Names:
 
 
 def _read(bits: int):
-    """Pass 1: a row (doc_id, n, sig, sig2) per document; per batch a row (low) of the lower halves of its sets."""
+    """Pass 1: a row (doc_id, x, n, sig, sig2) per document; per batch a row (low) of the lower halves of its sets."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("low", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
     def run(batches):
         release()
@@ -178,11 +178,11 @@ def _read(bits: int):
                         halves.append(tokens[: (len(tokens) + 1) // 2])
                 one, two = zip(*sigs, strict=True)
                 none = pa.nulls(batch.num_rows).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("x"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), none], schema=schema)
                 if halves:
                     low = pa.ListArray.from_arrays(pa.array([0, sum(map(len, halves))], pa.int32()), pa.array(np.concatenate(halves).view(np.int64)))
                     none = pa.nulls(1).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, none, low], schema=schema)
+                    yield pa.RecordBatch.from_arrays([none, none, none, none, none, low], schema=schema)
 
     return run
 
@@ -345,14 +345,15 @@ class _Join:
         self.docs = docs.select("doc_id", "text")
         spark = docs.sparkSession
         small_batches(spark)
-        read = staged(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(bits), "doc_id long, n long, sig long, sig2 long, low array<long>"))
+        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+        read = staged(rows.mapInArrow(_read(bits), "doc_id long, x long, n long, sig long, sig2 long, low array<long>"))
         self.heavy = spark.sparkContext.broadcast(heavy_shingles(read))
         rows = read.where("n IS NOT NULL")
         # two sets with one first half: about one for 10^10 documents
         halves = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
         clashes = frozenset(r["sig"] for r in halves.where("lo < hi").select("sig").collect())
         node = F.when(F.col("sig").isin(list(clashes)), F.col("sig2")).otherwise(F.col("sig")) if clashes else F.col("sig")
-        self.sizes = staged(rows.select("doc_id", "n", node.alias("node"), "sig"))
+        self.sizes = staged(rows.select("doc_id", "x", "n", node.alias("node"), "sig"))
         if clashes and not self.sizes.groupBy("node").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").isEmpty():
             raise ValueError("three sets share halves of their signatures")
         discard(read, free=True)
@@ -440,6 +441,11 @@ def _paired(rows: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
+    return grouped(docs, bits).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """Per row: doc_id, x (a hash of its text), n, component_id, and comp, the component's own number, null for rows linked with nothing."""
     join = _Join(docs, bits)
     live = join.live()
     # the first node's own row in each list
@@ -472,20 +478,20 @@ def groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     # lists of one near-copy group mostly have the same lead; those whose lead is itself in an earlier list go with that one
     lists = mixed.where("long").select("lead", "node", "n", "comp").distinct()
     up = staged(lists.groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("up")))
-    grouped = staged(lists.join(up, "lead", "left").select(F.least("lead", "up").alias("gid"), "node", "n", "comp").distinct())
+    gathered = staged(lists.join(up, "lead", "left").select(F.least("lead", "up").alias("gid"), "node", "n", "comp").distinct())
     discard(mixed)
-    wanted = nodes(more).union(grouped.select("node")).distinct()
+    wanted = nodes(more).union(gathered.select("node")).distinct()
     rest = join.sets(wanted.join(sets.select("node"), "node", "left_anti"))
     sets = sets.unionByName(rest)
-    found = cut(join.links(more, sets).union(join.block_links(grouped, sets)))
+    found = cut(join.links(more, sets).union(join.block_links(gathered, sets)))
     comps = components(linked.union(found))
 
     named = staged(join.first.join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp")))
     least = staged(named.groupBy("comp").agg(F.min("first").alias("component_id")))
-    names = staged(named.join(least, "comp").select("node", "component_id"))
+    names = staged(named.join(least, "comp").select("node", "component_id", "comp"))
     out = join.sizes.join(names, "node", "left")
     alone = F.col("node").isNull() | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "x", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~alone, F.col("comp")).alias("comp"))
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -494,9 +500,16 @@ def op6(docs: DataFrame) -> DataFrame:
 
 @same_columns
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every group, and all without doc_id; of rows that repeat its doc_id, one."""
-    found = cut(groups(docs))
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """One row of every group: of its smallest doc_id, and where that has several of the group's texts, the one with the smallest hash.
+
+    Rows without doc_id or without words are in no group and stay, as do unlike texts under one doc_id; of rows that repeat one another, one.
+    """
+    found = cut(grouped(docs).where("comp IS NOT NULL"))
+    best = cut(found.where("doc_id = component_id").groupBy("comp").agg(F.min("x").alias("best")))
+    gone = found.join(best, "comp").where((F.col("doc_id") != F.col("component_id")) | (F.col("x") != F.col("best"))).select("doc_id", F.col("x").alias("j__x")).distinct()
+    keyed = docs.withColumn("j__x", F.xxhash64("text"))
+    kept = keyed.join(gone, ["doc_id", "j__x"], "left_anti")
+    again = cut(found.groupBy("doc_id", F.col("x").alias("j__x")).count().where("count > 1").drop("count"))
+    if not again.isEmpty():
+        kept = kept.join(again, ["doc_id", "j__x"], "left_anti").unionByName(kept.join(again, ["doc_id", "j__x"], "left_semi").dropDuplicates(["doc_id", "j__x"]))
+    return kept.select(*docs.columns)

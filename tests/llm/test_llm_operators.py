@@ -243,6 +243,19 @@ def test_fertility_rejects_symbols_and_tables(spark):
     assert not any(got[k]["kept"] for k in range(300, 312)) and sum(got[k]["kept"] for k in range(312, 324)) <= 2
 
 
+def test_fertility_has_no_least_count(spark):
+    """One more document of a language changes no verdict on junk."""
+    r = random.Random(11)
+    words = [r.choice("bdfglmnprst") + r.choice("aeiou") + r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(300)]
+    text = lambda: " ".join(r.choice(words) for _ in range(80))
+    junk = " ".join(chr(0x1D400 + r.randrange(500)) + chr(0x2600 + r.randrange(200)) for _ in range(60))
+    normal = [(k, text(), "en", "s", 0) for k in range(150)]
+    for n in (1, 48, 49, 50, 51):
+        rows = [*normal, *((1000 + k, text(), "xx", "s", 0) for k in range(n - 1)), (9999, junk, "xx", "s", 0)]
+        got = by_id(fertility.op3(spark.createDataFrame(rows, DOCS)))
+        assert not got[9999]["base_failed"] and not got[9999]["kept"] and all(got[1000 + k]["kept"] for k in range(n - 1))
+
+
 def test_fertility_judges_rare_languages(spark):
     r = random.Random(6)
     normal = [" ".join(syllables(r, r.randint(60, 500))) for _ in range(100)]

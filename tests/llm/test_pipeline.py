@@ -58,3 +58,11 @@ def test_stages_on_nulls_and_repeats(spark):
     assert sorted((r["doc_id"] or 0) for r in dedupe(spark, docs, "").collect()) == [0, 0, 1]
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, docs, "").count() >= 0
+
+
+def test_unlike_texts_under_one_id_are_judged_apart(spark):
+    a, b, c = ("one two three four five six " * 3, "seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon zeta")
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (7, c), (7, ""), (7, ""), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect())
+    assert got == sorted([(0, a), (1, a), (5, b), (5, c), (7, ""), (7, "")])
