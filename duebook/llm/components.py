@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook.llm.common import discard, staged
 
 
-def _flat(parents: DataFrame) -> DataFrame:
+#: Rows of a task: a step's table has as many files as its rows need, however many partitions the session gives a shuffle.
+TASK_ROWS = 250_000
+
+
+def _flat(parents: DataFrame, parts: int) -> DataFrame:
     """(u, p) with p the root of u's tree: parents are jumped over, which halves every tree's depth, until nothing moves."""
     while True:
         above = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jumped = staged(parents.join(above, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+        jumped = staged(parents.join(above, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")).coalesce(parts))
         discard(parents)
         parents = jumped
         if parents.where("moved").isEmpty():
@@ -29,21 +35,23 @@ def components(links: DataFrame) -> DataFrame:
     small and sizes known; hot nodes are pre-aggregated or sit on the large side of a join, which AQE splits.
     """
     links = staged(links.select("a", "b").where(F.col("a") != F.col("b")).distinct())
-    labels = staged(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node")))
+    parts = max(1, math.ceil(2 * links.count() / TASK_ROWS))
+    put = lambda rows: staged(rows.coalesce(parts))
+    labels = put(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node")))
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pick = staged(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("u"), "p"))
+        pick = put(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("u"), "p"))
         back = pick.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         root = (F.col("pp") == F.col("u")) & (F.col("u") < F.col("p"))
-        tops = _flat(staged(pick.join(back, "p").select("u", F.when(root, F.col("u")).otherwise(F.col("p")).alias("p"))))
+        tops = _flat(put(pick.join(back, "p").select("u", F.when(root, F.col("u")).otherwise(F.col("p")).alias("p"))), parts)
         discard(pick)
         tops_of = lambda c: tops.select(F.col("u").alias(c), F.col("p").alias("top"))
-        named = staged(labels.join(tops_of("comp"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+        named = put(labels.join(tops_of("comp"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
         one = links.join(tops_of("a"), "a").select(F.col("top").alias("a"), "b")
         two = one.join(tops_of("b"), "b").select("a", F.col("top").alias("b"))
-        left = staged(two.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = put(two.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         for table in (labels, links, tops):
             discard(table)
         labels, links = named, left
     least = labels.groupBy("comp").agg(F.min("node").alias("least"))
-    return staged(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
+    return put(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
