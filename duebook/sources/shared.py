@@ -12,7 +12,8 @@ def folder(spark: SparkSession) -> str:
     """A new path in ``spark.checkpoint.dir``; a temporary folder stands in on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     return f"{named}/table-{uuid.uuid4().hex}"
