@@ -21,6 +21,9 @@ OPERATORS = {
     "op8_adaptive_scan": ("ann", "op8", "embeddings"),
     "op9_kd_shards": ("kd_shards", "op9", "documents"),
     "op10_mix_sources": ("mixing", "op10", "documents"),
+    "op11_prefix_trie": ("prefix_trie", "op11", "conversations"),
+    "op12_periodic_runs": ("periodic_runs", "op12", "documents"),
+    "op13_license_scan": ("license_scan", "op13", "documents"),
 }
 
 
@@ -34,6 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from duebook.llm import chat_format, mixing
+    from duebook.llm import chat_format, mixing, prefix_trie
 
-    return {"op2_chat_format": chat_format.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op10_mix_sources": mixing.SQL, "op11_prefix_trie": prefix_trie.SQL}
