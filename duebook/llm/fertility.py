@@ -2,10 +2,12 @@
 
 Two public vocabularies read every word of every text (a word with the space before it; white space itself yields no tokens). Each
 distinct word is encoded once per worker and then looked up, so a document costs array arithmetic only. Bands are quartiles of each
-measure over all documents of a language that pass the base rules, widened by a multiple of their distance. Without a language the main
-script of the text stands in. A language's quartiles are drawn towards those of the text's main script over all languages as if PRIOR further
-documents had them, and a script's towards the whole table's, so every document is judged at every size and no count of documents
-switches anything.
+measure over the documents of one language in one script (of those without a language in that script) that pass the base rules, widened by a
+multiple of their distance. They are drawn towards those of the script over all languages as if PRIOR further documents had them, and reach
+back to the language's own by its weight; a script's are widened the more, the fewer its documents are. No document is measured against those of
+another script: in a rare script only what lies far from the rest is rejected, and a text alone in its script is kept. Texts
+without letters of a known script go by all of their language, drawn towards the whole table. So every document is judged at every size; ``n_band`` says
+by how many documents of its language, ``n_script`` by how many of its script.
 
 Null or empty text: no words, base_failed, not kept. Very long texts are read whole, some hundred texts at a time; a very long word is one
 word. Repeated documents: judged alike, each row kept or rejected; ties do not occur. Columns of the operator's own have names of their own
@@ -27,15 +29,22 @@ SYMBOLS, SPACE = b"#*$%&|<>", bytes([0x20, *range(0x09, 0x0E)])
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Band: quartiles widened by WIDTH times their distance, taken as at least the floor (bands of near-constant measures stay open).
 #: WIDTH and SHORT are fitted on half of the labels and held against the other half (README).
-WIDTH, PRIOR = 2.0, 50
+WIDTH = 2.0
+#: A language weighs as much as its script from so many documents on. Of n documents of a script, the reach is 1 + FEW / n times as wide.
+PRIOR, FEW = 10, 10
 FLOORS = {"chars_per_token": 0.08, "chars_per_token_2": 0.06, "byte_share": 0.02, "entropy": 0.3}
 #: Short texts scatter more: a text of n words may lie sqrt(1 + SHORT / n) times as far outside the quartiles.
 SHORT = 200.0
 #: The pattern that goes with the byte-level vocabularies (fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: First code points of scripts, for texts without a language.
-SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"),
-           (0x700, "other"), (0x900, "indic"), (0xE00, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
+#: First code points of scripts (blocks of symbols, forms and private use are of none).
+SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"),
+           (0x780, "thaana"), (0x7C0, "nko"), (0x800, "samaritan"), (0x860, "syriac"), (0x870, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"),
+           (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"), (0x1400, "canadian"), (0x1680, "other"), (0x1780, "khmer"),
+           (0x1800, "mongolian"), (0x18B0, "canadian"), (0x1900, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2E80, "han"), (0x3000, "other"), (0x3040, "kana"), (0x3130, "hangul"),
+           (0x3190, "other"), (0x3400, "han"), (0xA000, "yi"), (0xA4D0, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x323B0, "other"))
+#: Scripts that say nothing of a text's language.
+UNKNOWN = ("none", "other")
 #: Words a worker keeps between batches.
 MOST_WORDS = 200_000
 
@@ -184,7 +193,7 @@ def measured(docs: DataFrame, keep: list[str], folder: str = TOKENIZER_DIR) -> D
 
 
 def _bands(rows: DataFrame, failed: Column) -> DataFrame:
-    """Bands for every language (or script without one) and script in the table."""
+    """Bands for every pair of language (or script without one) and script in the table."""
     # values rounded to thousandths: the exact quartiles then come from a bounded number of counts, combined before the shuffle
     quartiles = [F.percentile(F.round(f"q__{m}", 3), F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m in FLOORS]
     passed = rows.where(~failed)
@@ -193,22 +202,29 @@ def _bands(rows: DataFrame, failed: Column) -> DataFrame:
         stats = passed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *quartiles)
         return stats.select(*keys, F.struct("n", *FLOORS).alias(name))
 
-    def drawn(name: str, m: str, k: int, towards: Column) -> Column:
-        n = F.coalesce(F.col(f"{name}.n"), F.lit(0))
-        return (n * F.coalesce(F.col(f"{name}.{m}")[k], F.lit(0.0)) + PRIOR * towards) / (n + PRIOR)
-
-    pairs = rows.select("q__group", "q__script").distinct()
+    pairs = rows.select("q__group", "q__script").distinct().join(level("x__pair", "q__group", "q__script"), ["q__group", "q__script"], "left")
     pairs = pairs.join(level("x__group", "q__group"), "q__group", "left").join(level("x__script", "q__script"), "q__script", "left")
     pairs = pairs.crossJoin(F.broadcast(level("x__all")))  # one row
-    columns = []
+    unknown = F.col("q__script").isin(*UNKNOWN)
+    pairs = pairs.withColumns({"own": F.when(unknown, F.col("x__group")).otherwise(F.col("x__pair")), "wide": F.when(unknown, F.col("x__all")).otherwise(F.col("x__script"))})
+    n, n_wide = (F.coalesce(F.col(f"{c}.n"), F.lit(0)) for c in ("own", "wide"))
+    weight = n / (n + PRIOR)
+    columns = [n.cast("long").alias("q__n_band"), n_wide.cast("long").alias("q__n_script")]
     for m, floor in FLOORS.items():
-        low, high = (drawn("x__group", m, k, drawn("x__script", m, k, F.col(f"x__all.{m}")[k])) for k in (0, 1))
-        columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), (WIDTH * F.greatest(high - low, F.lit(floor))).alias(f"reach_{m}")]
+        edges = []
+        for k, outer in ((0, F.least), (1, F.greatest)):
+            far = F.col(f"wide.{m}")[k]
+            own = F.coalesce(F.col(f"own.{m}")[k], far)
+            drawn = weight * own + (1 - weight) * far
+            edges.append((drawn, outer(drawn, weight * own + (1 - weight) * drawn)))
+        (low, lowest), (high, highest) = edges
+        reach = WIDTH * (1 + F.lit(FEW) / F.greatest(n_wide, F.lit(1))) * F.greatest(high - low, F.lit(floor))
+        columns += [lowest.alias(f"low_{m}"), highest.alias(f"high_{m}"), reach.alias(f"reach_{m}")]
     return cut(pairs.select("q__group", "q__script", *columns))
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Adds q__base_failed and q__kept."""
+    """Adds q__base_failed, q__n_band, q__n_script and q__kept."""
     failed = (F.col("q__n_words") < LEAST_WORDS) | (100 * F.col("q__n_repeat_words") > MOST_REPEAT_PERCENT * F.col("q__n_words"))
     rows = rows.withColumn("q__base_failed", failed)
     bands = _bands(rows, failed)
@@ -218,12 +234,12 @@ def judged(rows: DataFrame) -> DataFrame:
         reach = scatter * F.col(f"reach_{m}")
         inside &= F.coalesce(F.col(f"q__{m}").between(F.col(f"low_{m}") - reach, F.col(f"high_{m}") + reach), F.lit(True))
     joined = rows.join(bounded_broadcast(bands, bands.count(), 10_000), ["q__group", "q__script"], "left")
-    return joined.withColumn("q__kept", ~F.col("q__base_failed") & inside).select(*rows.columns, "q__kept")
+    return joined.withColumn("q__kept", ~F.col("q__base_failed") & inside).select(*rows.columns, "q__n_band", "q__n_script", "q__kept")
 
 
 def op3(docs: DataFrame) -> DataFrame:
     rows = judged(measured(docs, ["doc_id"]))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "chars_per_token_2", "byte_share", "entropy")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "chars_per_token_2", "byte_share", "entropy", "n_band", "n_script")
     return rows.select("doc_id", *[F.col(f"q__{n}").alias(n) for n in names])
 
 

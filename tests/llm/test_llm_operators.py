@@ -256,6 +256,33 @@ def test_fertility_has_no_least_count(spark):
         assert not got[9999]["base_failed"] and not got[9999]["kept"] and all(got[1000 + k]["kept"] for k in range(n - 1))
 
 
+HAN = "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生自会那后能对着事其里所去行过家十用发天如然作方成者多日都三小军"
+RUSSIAN = "и в не на я быть он с что а по это она этот к но они мы весь который из у свой вы так за тот о год от один день человек время мочь сказать очень первый дело".split()
+OTHERS = {"thai": "กขคงจชซญดตถทธนบปผพฟภมยรลวศสหอ", "georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "ethiopic": "ሀለሐመሠረሰሸቀበተቸኀነኘአከኸወዐዘዠየደጀገጠጨጰጸፀፈፐ"}
+
+
+@pytest.mark.parametrize("n", [1, 5, 20, 50, 200])
+@pytest.mark.parametrize("named", [True, False])
+def test_fertility_keeps_rare_scripts_at_every_size(spark, n, named):
+    """Few good texts in another script stay amid many in Latin script; junk amid them goes once there are some to tell it from."""
+    r = random.Random(n)
+    made = [(k, " ".join(syllables(r, r.randint(40, 400))), r.choice(["en", "de"]), "s", 0) for k in range(300)]
+    text = {
+        "zh": lambda: " ".join("".join(r.choice(HAN) for _ in range(r.randint(1, 3))) for _ in range(r.randint(30, 400))),
+        "ru": lambda: " ".join(r.choice(RUSSIAN) for _ in range(r.randint(30, 400))),
+    } | {lang: lambda letters=letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(r.randint(30, 400))) for lang, letters in OTHERS.items()}
+    first = {lang: 1000 * (k + 1) for k, lang in enumerate(text)}
+    made += [(first[lang] + k, make(), lang if named else None, "s", 0) for lang, make in text.items() for k in range(n)]
+    junk = " ".join(w + r.choice(["***", "###", "$$$"]) for w in (text["ru"]() + " ").split() * 1)
+    made.append((9999, junk, "ru" if named else None, "s", 0))
+    got = by_id(fertility.op3(spark.createDataFrame(made, DOCS)))
+    for lang, at in first.items():
+        assert sum(got[at + k]["kept"] for k in range(n)) >= 0.95 * n, lang
+    assert got[9999]["n_band"] == n + 1 and not got[9999]["base_failed"]
+    if n >= 5:
+        assert not got[9999]["kept"]
+
+
 def test_fertility_judges_rare_languages(spark):
     r = random.Random(6)
     normal = [" ".join(syllables(r, r.randint(60, 500))) for _ in range(100)]
