@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from duebook.functions import columns as c
 from duebook.functions import predicates as p
 from duebook.operators import alerts, branches, kpis, migration, priority, report, scorecard
+from duebook.plans import checks
 from duebook.plans import queries as q
+from duebook.schema import HEADERS, MANDATORY, canonical
 from duebook.sources import ingest, shared
 from duebook.sources.loanbook import AS_OF, CURR_SQL, PREV_SQL, loan_book
 
@@ -347,6 +350,17 @@ def roll_kpis(curr, prev):
     return migration.migration_kpis(curr, prev)
 
 
+@query(SQL["roll_kpis"].removeprefix(f"WITH {BOTH}"), "apart")
+def roll_kpis_stored(curr, prev):
+    """The same from two months of a table that is dealt and sorted by loan number; the earlier one is written twice, the second time whole."""
+    spark, name = curr.sparkSession, f"months_{uuid.uuid4().hex}"
+    columns = ("loan_no", "curr_bucket")
+    ingest.create_months(spark, name, curr.select(*columns), 16, shared.folder(spark, name))
+    for df, month in ((prev.limit(0), "2001-10"), (prev, "2001-10"), (curr, "2001-11")):
+        ingest.write_month(df.select(*columns), name, month)
+    return migration.migration_kpis(ingest.read_month(spark, name, "2001-11"), ingest.read_month(spark, name, "2001-10"))
+
+
 @query("SELECT loan_no FROM curr WHERE loan_no NOT IN (SELECT loan_no FROM prev)", "apart")
 def new_entries(curr, prev):
     return migration.new_entries(curr, prev)
@@ -503,8 +517,6 @@ def priority_rankings(curr):
 # ingest and report
 def _as_extract(df: DataFrame) -> DataFrame:
     """A snapshot as its text extract: source headers, padded or in lower case, numbers and serial dates as text."""
-    from duebook.schema import HEADERS, canonical
-
     back = {canonical(h): h for h in HEADERS}
     out = []
     for k, f in enumerate(x for x in df.schema if x.name in back):
@@ -546,6 +558,94 @@ def ingest_csv_files(curr):
     return c.dated(made.select("loan_no", "unit", "ag_date", "last_receipt_date", "tenure", "closing_arrears", "collection", "strike", "curr_bucket"))
 
 
+def _files(curr: DataFrame, prev: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Extracts as CSV, loaded in order: the current one, one that lacks columns, one that is not there, the previous one."""
+    spark = curr.sparkSession
+    paths = [shared.folder(spark) for _ in range(4)]
+    _as_extract(curr).write.option("header", True).csv(paths[0])
+    curr.select(F.col("loan_no").alias("Loan No"), F.col("unit").alias("Unit")).write.option("header", True).csv(paths[1])
+    _as_extract(prev).write.option("header", True).csv(paths[3])
+    return *ingest.load_files(spark, paths), paths
+
+
+@query("""SELECT CAST(loan_no AS VARCHAR) AS loan_no, unit, curr_bucket FROM curr UNION ALL
+SELECT CAST(loan_no AS VARCHAR), unit, curr_bucket FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)""", "apart")
+def ingest_many_files(curr, prev):
+    """Of a loan in several files the row of the first file; files that cannot be used are left out."""
+    return _files(curr, prev)[0].select("loan_no", "unit", "curr_bucket")
+
+
+@query("""SELECT 1 AS file, 'missing columns: ' AS error, (SELECT COUNT(*) FROM curr) + (SELECT COUNT(*) FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)) AS loaded
+UNION ALL SELECT 2, 'cannot be read: ', (SELECT COUNT(*) FROM curr) + (SELECT COUNT(*) FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr))""", "apart")
+def ingest_file_errors(curr, prev):
+    """What was wrong with the files that were left out, beside the loans that the others gave."""
+    made, errors, paths = _files(curr, prev)
+    names = curr.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "path string, file int")
+    found = errors.join(F.broadcast(names), "path").select("file", F.regexp_extract("error", "^[^:]*: ", 0).alias("error"))
+    return found.crossJoin(F.broadcast(made.agg(F.count(F.lit(1)).alias("loaded"))))  # one row
+
+
+@query("\nUNION ALL ".join(f"SELECT '{h}' AS header, '{canonical(h)}' AS column, TRUE AS present, COUNT({canonical(h)}) AS filled FROM curr" for h in MANDATORY))
+def mandatory_filled(curr):
+    """Whether an extract has the mandatory columns, and in how many rows each holds something."""
+    return ingest.mandatory_columns(_as_extract(curr))
+
+
+@query("SELECT loan_no, unit, (SELECT COUNT(*) FROM curr) AS total FROM curr ORDER BY loan_no LIMIT 1000")
+def rows_preview(curr):
+    """The first thousand rows by loan number and how many there are, from one pass."""
+    shown, n = c.preview(curr.select("loan_no", "unit"), 1000, ("loan_no",))
+    return curr.sparkSession.createDataFrame(shown, curr.select("loan_no", "unit").schema).withColumn("total", F.lit(n).cast("long"))
+
+
+@query("SELECT CAST(loan_no AS VARCHAR) AS loan_no, unit, COALESCE(strike, '') AS strike, COALESCE(strftime(ag_date, '%Y-%m-%d'), '') AS ag_date, CAST(due_day AS VARCHAR) AS due_day FROM curr")
+def rows_as_text(curr):
+    return c.as_text(c.dated(curr.select("loan_no", "unit", "strike", "ag_date", "due_day")))
+
+
+@query("SELECT loan_no, unit, curr_bucket FROM curr", "both")
+def rows_distinct_names(curr, prev):
+    """A join that repeats columns, each name once."""
+    left, right = curr.select("loan_no", "unit", "curr_bucket"), curr.select("loan_no", "unit").toDF("k", "u")
+    return c.distinct_names(left.join(right, F.col("loan_no") == F.col("k")).toDF("loan_no", "unit", "curr_bucket", "loan_no", "unit"))
+
+
+@query("""SELECT ROW_NUMBER() OVER (ORDER BY unit) AS rank, unit, COUNT(*) FILTER (tenure >= 36) AS long_tenure, COUNT(*) FILTER (tenure IS DISTINCT FROM 12) AS other_tenure,
+  COUNT(*) AS no_number FROM curr GROUP BY unit""")
+def agg_text_numbers(curr):
+    """Numeric comparisons of columns that hold text: numbers in it count, what is none differs from every number."""
+    rows = curr.withColumns({"tenure": F.concat(F.lit(" "), F.col("tenure").cast("string")), "note": F.concat(F.lit("n/a "), "unit")})
+    count = lambda alias, column, op, value: {"alias": alias, "column": column, "op": op, "value": value}
+    return q.run_aggregation(rows, {"group_by": "Unit", "counts": [count("long_tenure", "tenure", ">=", 36), count("other_tenure", "tenure", "!=", 12), count("no_number", "note", "!=", 5)]})
+
+
+@query("SELECT ROW_NUMBER() OVER (ORDER BY loans DESC, cust_name) AS rank, cust_name, loans, soh FROM (SELECT cust_name, COUNT(*) AS loans, CAST(SUM(soh) AS DOUBLE) AS soh FROM curr GROUP BY cust_name)")
+def agg_customers(curr):
+    """Ranks of as many groups as there are customers."""
+    spec = {"group_by": "cust_name", "counts": [{"alias": "loans", "column": "__total__"}], "sums": [{"alias": "soh", "column": "SOH"}], "metrics": [{"expr": "loans", "label": "n"}], "sort_asc": False}
+    return q.run_aggregation(curr, spec).drop("n")
+
+
+_SPECS = {
+    "good": ("filter", {"conditions": [{"column": "Arrears / EMI", "op": ">", "value": 2}], "sort_by": "loan_no"}),
+    "zone": ("filter", {"conditions": [{"column": "zone", "op": "like", "value": 1}, {"column": "curr_bucket", "op": "bucket_worse_than", "value": "old_bucket"}]}),
+    "keys": ("aggregation", {"counts": [{"column": "unit", "value": "A"}], "metrics": [{"expr": "npa / n", "label": "share"}], "having": [{"alias": "total", "op": "~"}]}),
+    "steps": ("plan", [{"op": "group_aggregate", "group_by": ["unit"], "aggregations": [{"func": "median", "alias": "m", "column": "pos"}]}, {"op": "sort", "by": "loan_no"}, {"op": "pivot"}]),
+}
+_PROBLEMS = (
+    ("zone", 1, "unknown column ''zone''"), ("zone", 2, "unknown op ''like''"), ("zone", 3, "unknown column ''old_bucket''"),
+    ("keys", 1, "group_by is missing"), ("keys", 2, "an aggregation has no alias"), ("keys", 3, "undefined name ''n''"), ("keys", 4, "undefined name ''npa''"),
+    ("keys", 5, "having: undefined alias ''total''"), ("keys", 6, "having: unknown op ''~''"),
+    ("steps", 1, "step 1 (group_aggregate): unknown function ''median''"), ("steps", 2, "step 2 (sort): unknown column ''loan_no''"), ("steps", 3, "step 3 (pivot): unknown operation ''pivot''"),
+)
+
+
+@query("\nUNION ALL ".join(f"SELECT '{name}' AS spec, {k} AS place, '{text}' AS problem, COUNT(*) AS rows_waiting FROM curr" for name, k, text in _PROBLEMS))
+def spec_problems(curr):
+    """Everything wrong with specs over the book's columns, a row each, beside the rows that they would have read."""
+    return checks.problems(curr.sparkSession, curr, _SPECS).crossJoin(F.broadcast(curr.agg(F.count(F.lit(1)).alias("rows_waiting"))))  # one row
+
+
 @query("""SELECT '2001-11' AS snapshot_month, CAST(loan_no AS VARCHAR) AS loan_no, curr_bucket FROM curr UNION ALL
 SELECT '2001-10', CAST(loan_no AS VARCHAR), curr_bucket FROM prev""", "apart")
 def snapshot_roundtrip(curr, prev):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
@@ -56,9 +56,15 @@ def with_soh(df: DataFrame) -> DataFrame:
     return df.withColumn("soh", sum(parts[1:], parts[0]) if parts else F.lit(0.0))
 
 
+def first_bucket(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    """(loan_no, ``name``, and aggregates ``more``): the bucket of each loan's first row in the frame's order."""
+    rows = df.where(F.col("loan_no").isNotNull()).select("loan_no", "curr_bucket", F.monotonically_increasing_id().alias("__row"))
+    return rows.groupBy("loan_no").agg(F.min_by("curr_bucket", "__row").alias(name), *more)
+
+
 def with_prev_bucket(curr: DataFrame, prev: DataFrame) -> DataFrame:
-    """Adds prev_bucket by loan number from the whole previous snapshot; one previous row per loan."""
-    before = prev.where(F.col("loan_no").isNotNull()).groupBy("loan_no").agg(F.min("curr_bucket").alias("prev_bucket"))
+    """Adds prev_bucket by loan number from the whole previous snapshot; of repeated loans the first row counts."""
+    before = first_bucket(prev, "prev_bucket")
     return curr.join(before, "loan_no", "left")
 
 
@@ -116,9 +122,19 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return plain.select(*[F.col(f"c{k}").alias(df.columns[k]) for k in keep])
 
 
-def preview(df: DataFrame, rows: int = 1000) -> tuple[DataFrame, int]:
-    """The first rows, and how many there are."""
-    return df.limit(rows), df.count()
+def preview(df: DataFrame, rows: int = 1000, order: tuple[str, ...] = ()) -> tuple[list[Row], int]:
+    """The first rows - in the frame's order, or in one given - and how many there are, from one pass.
+
+    The count is observed beside the rows; each task keeps its first ones, so no task stops before the count is whole.
+    """
+    seen, at = Observation(), F.monotonically_increasing_id()
+    found = df.observe(seen, F.count(F.lit(1)).alias("total"))
+    if order:
+        first = found.orderBy(*order).limit(rows)
+    else:
+        found = found.withColumn("__at", at).where(F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) < rows)
+        first = found.orderBy("__at").limit(rows).drop("__at")
+    return first.collect(), seen.get["total"]
 
 
 def bucket_frame(spark) -> DataFrame:

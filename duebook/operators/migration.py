@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.functions.columns import ratio_pct, rounded, score
+from duebook.functions.columns import first_bucket, ratio_pct, rounded, score
 from duebook.schema import SCORES
 
 
 def _buckets(df: DataFrame, name: str) -> DataFrame:
-    """One bucket per loan; a loaded snapshot has one row per loan, and of repeated rows the least name counts."""
-    return df.where(F.col("loan_no").isNotNull()).groupBy("loan_no").agg(F.min("curr_bucket").alias(name), F.lit(True).alias(f"has_{name}"))
+    """One bucket per loan; a loaded snapshot has one row per loan, and of repeated rows the first counts."""
+    return first_bucket(df, name, F.lit(True).alias(f"has_{name}"))
 
 
 def compared(curr: DataFrame, prev: DataFrame) -> DataFrame:

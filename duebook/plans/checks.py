@@ -1,7 +1,16 @@
-"""What is wrong with a spec, before anything runs: every problem found, against the columns each step leaves."""
+"""What is wrong with a spec, before anything runs: every problem found, against the columns each step leaves.
+
+A check is a rule of the table ``RULES``: what it looks at in a spec, when that is wrong, and what it says. Rules know the columns that are there
+(``there``) and the names made so far (``made``); they say nothing about the order in which steps are read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+
 from duebook.functions.expression import names
 from duebook.functions.predicates import SpecError
 from duebook.schema import canonical
@@ -15,35 +24,93 @@ def _as_list(x) -> list:
     return [] if x is None else list(x) if isinstance(x, (list, tuple)) else [x]
 
 
-def _missing(columns, name) -> bool:
-    return not isinstance(name, str) or not name or (name not in columns and canonical(name) not in columns)
+def _lower(x) -> str:
+    return (x or "").lower()
 
 
-def condition_problems(columns, conditions) -> list[str]:
-    found = []
-    for c in conditions or []:
-        if _missing(columns, c.get("column")):
-            found.append(f"unknown column {c.get('column')!r}")
-        if c.get("op") not in CONDITION_OPS:
-            found.append(f"unknown op {c.get('op')!r}")
-        value = c.get("value")
-        ref = value.get("col") if isinstance(value, dict) else value if str(c.get("op")).startswith("bucket_") else None
-        if ref is not None and _missing(columns, ref):
-            found.append(f"unknown column {ref!r}")
-    return found
+class Scope(NamedTuple):
+    """The columns a part of a spec can use, and the names that the parts before it have made."""
+
+    there: tuple[str, ...]
+    made: tuple[str, ...] = ()
+
+    def lacks(self, name: Any) -> bool:
+        return not isinstance(name, str) or not name or (name not in self.there and canonical(name) not in self.there)
+
+
+class Rule(NamedTuple):
+    """``find`` gives what is wrong in a part of a spec; ``says`` words it."""
+
+    find: Callable[[Any, Scope], Iterable[Any]]
+    says: str
+
+
+def _unknown(*keys: str) -> Rule:
+    return Rule(lambda part, scope: [c for k in keys for c in _as_list(part.get(k)) if scope.lacks(c)], "unknown column {!r}")
+
 
+def _needed(key: str, says: str) -> Rule:
+    return Rule(lambda part, _: [] if _as_list(part.get(key)) else [key], says)
 
-def _expression_problems(text, known) -> list[str]:
+
+def _one_of(key: str, known: set[str], says: str, default: str | None = None, fold: bool = False) -> Rule:
+    value = lambda part: _lower(part.get(key)) if fold else part.get(key) or default
+    return Rule(lambda part, _: [value(part)] if value(part) not in known else [], says)
+
+
+def _compared(part: dict, scope: Scope) -> list:
+    """Columns that a condition's value names, as ``{"col": name}`` or by a comparison of buckets."""
+    value = part.get("value")
+    named = [value.get("col")] if isinstance(value, dict) else [value] if str(part.get("op")).startswith("bucket_") and value is not None else []
+    return [c for c in named if scope.lacks(c)]
+
+
+def _undefined(part: dict, scope: Scope) -> list:
     try:
-        return [f"undefined name {n!r} in {text!r}" for n in sorted(names(text) - set(known))]
-    except SpecError as e:
-        return [str(e)]
+        return sorted(names(part.get("expr") or "") - set(scope.made))
+    except SpecError:
+        return []
 
 
-def filter_problems(columns, spec: dict) -> list[str]:
-    found = condition_problems(columns, spec.get("conditions"))
-    found += [f"unknown column {c!r}" for c in _as_list(spec.get("sort_by")) + _as_list(spec.get("display_columns")) if _missing(columns, c)]
-    return found
+def _unreadable(part: dict, _: Scope) -> list:
+    try:
+        names(part.get("expr") or "")
+        return []
+    except SpecError as e:
+        return [e]
+
+
+CONDITION = (
+    Rule(lambda part, scope: [part.get("column")] if scope.lacks(part.get("column")) else [], "unknown column {!r}"),
+    _one_of("op", CONDITION_OPS, "unknown op {!r}"),
+    Rule(_compared, "unknown column {!r}"),
+)
+EXPRESSION = (Rule(_undefined, "undefined name {!r}"), Rule(_unreadable, "{}"))
+COUNTED = (Rule(lambda part, scope: [part.get("column")] if _lower(part.get("func")) != "count" and scope.lacks(part.get("column")) else [], "unknown column {!r}"),)
+NAMED = (Rule(lambda part, _: [] if part.get("alias") else [part], "an aggregation has no alias"),)
+
+#: The rules by the kind of part they are for.
+RULES: dict[str, tuple[Rule, ...]] = {
+    "condition": CONDITION,
+    "filter": (_unknown("sort_by", "display_columns"),),
+    "grouping": (_needed("group_by", "group_by is missing"), _unknown("group_by")),
+    "count": (*NAMED, ),
+    "sum": (*NAMED, Rule(lambda part, scope: [part.get("column")] if scope.lacks(part.get("column")) else [], "unknown column {!r}")),
+    "metric": EXPRESSION,
+    "having": (
+        Rule(lambda part, scope: [part.get("alias")] if part.get("alias") not in scope.made else [], "having: undefined alias {!r}"),
+        _one_of("op", HAVING_OPS, "having: unknown op {!r}", ">="),
+    ),
+    "aggregations": (_needed("aggregations", "aggregations are missing"),),
+    "aggregation": (_one_of("func", FUNCTIONS, "unknown function {!r}", fold=True), *NAMED, *COUNTED),
+    "derive": (*EXPRESSION, _needed("column", "derive has no column")),
+    "sort": (Rule(lambda part, scope: [part.get("by")] if scope.lacks(part.get("by")) else [], "unknown column {!r}"),),
+    "limit": (),
+}
+
+
+def _broken(kind: str, part: Any, scope: Scope) -> list[str]:
+    return [rule.says.format(x) for rule in RULES[kind] for x in rule.find(part, scope)]
 
 
 def metrics_of(spec: dict) -> list[dict]:
@@ -53,65 +120,92 @@ def metrics_of(spec: dict) -> list[dict]:
     return [{"expr": spec["metric"], "label": spec.get("metric_label") or "Metric"}] if spec.get("metric") else []
 
 
-def aggregation_problems(columns, spec: dict) -> list[str]:
-    keys = _as_list(spec.get("group_by"))
-    found = [] if keys else ["group_by is missing"]
-    found += [f"unknown column {k!r}" for k in keys if _missing(columns, k)]
-    known = []
+Part = tuple[str, Any, Scope]
+
+
+def _conditions(found: list | None, scope: Scope) -> Iterator[Part]:
+    return (("condition", c, scope) for c in found or [])
+
+
+def _filter_parts(spec: dict, scope: Scope) -> Iterator[Part]:
+    yield from _conditions(spec.get("conditions"), scope)
+    yield "filter", spec, scope
+
+
+def _aggregation_parts(spec: dict, scope: Scope) -> Iterator[Part]:
+    yield "grouping", spec, scope
     for c in spec.get("counts") or []:
-        known.append(c.get("alias"))
+        yield "count", c, scope
         if c.get("column") != "__total__":
-            found += condition_problems(columns, [{**c, "op": c.get("op") or "=="}])
+            yield "condition", {**c, "op": c.get("op") or "=="}, scope
     for s in spec.get("sums") or []:
-        known.append(s.get("alias"))
-        if _missing(columns, s.get("column")):
-            found.append(f"unknown column {s.get('column')!r}")
-    if any(not k for k in known):
-        found.append("an aggregation has no alias")
+        yield "sum", s, scope
+    made = [x.get("alias") for x in [*(spec.get("counts") or []), *(spec.get("sums") or [])]]
     for m in metrics_of(spec):
-        found += _expression_problems(m.get("expr") or "", known)
-        known.append(m.get("label"))
+        yield "metric", m, Scope(scope.there, tuple(made))
+        made.append(m.get("label"))
     for h in spec.get("having") or []:
-        if h.get("alias") not in known:
-            found.append(f"having: undefined alias {h.get('alias')!r}")
-        if (h.get("op") or ">=") not in HAVING_OPS:
-            found.append(f"having: unknown op {h.get('op')!r}")
-    return found
+        yield "having", h, Scope(scope.there, tuple(made))
+
+
+def _group_parts(step: dict, scope: Scope) -> Iterator[Part]:
+    yield "grouping", step, scope
+    yield "aggregations", step, scope
+    for a in step.get("aggregations") or []:
+        yield "aggregation", a, scope
+        yield from _conditions(a.get("where"), scope)
+
+
+def _after_grouping(step: dict, scope: Scope) -> tuple[str, ...]:
+    keys = [c if c in scope.there else canonical(c) for c in _as_list(step.get("group_by")) if isinstance(c, str)]
+    return (*keys, *(a.get("alias") for a in step.get("aggregations") or []))
+
+
+def _same(step: dict, scope: Scope) -> tuple[str, ...]:
+    return scope.there
+
+
+#: By operation of a plan: the parts that rules look at, and the columns that the step leaves.
+STEPS: dict[str, tuple[Callable[[dict, Scope], Iterable[Part]], Callable[[dict, Scope], tuple[str, ...]]]] = {
+    "group_aggregate": (_group_parts, _after_grouping),
+    "filter": (lambda step, scope: _conditions(step.get("conditions"), scope), _same),
+    "derive": (lambda step, scope: [("derive", step, Scope(scope.there, scope.there))], lambda step, scope: (*scope.there, step.get("column"))),
+    "sort": (lambda step, scope: [("sort", step, scope)], _same),
+    "limit": (lambda step, scope: [("limit", step, scope)], _same),
+}
+
+
+def filter_problems(columns, spec: dict) -> list[str]:
+    return [p for part in _filter_parts(spec, Scope(tuple(columns))) for p in _broken(*part)]
+
+
+def aggregation_problems(columns, spec: dict) -> list[str]:
+    return [p for part in _aggregation_parts(spec, Scope(tuple(columns))) for p in _broken(*part)]
 
 
 def plan_problems(columns, plan: list[dict]) -> list[str]:
-    found, columns = [] if plan else ["the plan is empty"], list(columns)
+    found, scope = [] if plan else ["the plan is empty"], Scope(tuple(columns))
     for k, step in enumerate(plan or [], 1):
-        op, here = (step.get("op") or "").lower(), []
-        if op == "group_aggregate":
-            keys = _as_list(step.get("group_by"))
-            here += [] if keys else ["group_by is missing"]
-            here += [f"unknown column {c!r}" for c in keys if _missing(columns, c)]
-            here += [] if step.get("aggregations") else ["aggregations are missing"]
-            for a in step.get("aggregations") or []:
-                f = (a.get("func") or "").lower()
-                if f not in FUNCTIONS:
-                    here.append(f"unknown function {f!r}")
-                if not a.get("alias"):
-                    here.append("an aggregation has no alias")
-                if f != "count" and _missing(columns, a.get("column")):
-                    here.append(f"unknown column {a.get('column')!r}")
-                here += condition_problems(columns, a.get("where"))
-            columns = [c if c in columns else canonical(c) for c in keys if isinstance(c, str)] + [a.get("alias") for a in step.get("aggregations") or []]
-        elif op == "filter":
-            here += condition_problems(columns, step.get("conditions"))
-        elif op == "derive":
-            here += _expression_problems(step.get("expr") or "", columns)
-            here += [] if step.get("column") else ["derive has no column"]
-            columns.append(step.get("column"))
-        elif op == "sort":
-            here += [f"unknown column {step.get('by')!r}"] if _missing(columns, step.get("by")) else []
-        elif op != "limit":
-            here.append(f"unknown operation {op!r}")
-        found += [f"step {k} ({op}): {p}" for p in here]
+        op = _lower(step.get("op"))
+        if op not in STEPS:
+            found.append(f"step {k} ({op}): unknown operation {op!r}")
+            continue
+        parts, left = STEPS[op]
+        found += [f"step {k} ({op}): {p}" for part in parts(step, scope) for p in _broken(*part)]
+        scope = Scope(left(step, scope))
     return found
 
 
+#: Problems of a spec by its kind.
+KINDS = {"filter": filter_problems, "aggregation": aggregation_problems, "plan": plan_problems}
+
+
+def problems(spark: SparkSession, df: DataFrame, specs: dict[str, tuple[str, Any]]) -> DataFrame:
+    """(spec, place, problem) for everything wrong with the named specs (kind, spec) over the columns of ``df``; no rows if all can run."""
+    rows = [(name, k, text) for name, (kind, spec) in specs.items() for k, text in enumerate(KINDS[kind](df.columns, spec), 1)]
+    return spark.createDataFrame(rows, "spec string, place int, problem string")
+
+
 def refuse(problems: list[str]) -> None:
     if problems:
         raise SpecError("; ".join(problems))

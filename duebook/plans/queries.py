@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duebook.functions import ranks
 from duebook.functions.columns import dated, number, pair_label, rounded
 from duebook.functions.expression import arithmetic
 from duebook.functions.predicates import COMPARE, condition, conjunction, kind, resolve
@@ -53,30 +54,12 @@ def _counted(df: DataFrame, spec: dict) -> Column:
 def _ranked(df: DataFrame, by: list[tuple[str, bool]], few: bool) -> DataFrame:
     """Rank 1..n in the order of (column, ascending), missing values last; columns of one row differ in the order's columns.
 
-    ``few`` rows, after a limit, are ranked in one window. Any number is ranked bucket by bucket: buckets by the first two columns follow the
-    order, their counts - few rows - give each its start, and a window inside each gives the places.
+    ``few`` rows, after a limit, are ranked in one window; any number by ranges, and then the result is written once and read back.
     """
     order = [_order(c, up) for c, up in by]
     if few:
-        return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("rank", *df.columns)
-    heads = {f"__b{k}": _bucket(df, c, up) for k, (c, up) in enumerate(by[:2])}
-    rows = df.withColumns(heads)
-    before = W.orderBy(*heads).rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy(*heads).agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    place = F.row_number().over(W.partitionBy(*heads).orderBy(*order))
-    return rows.join(starts, [*heads]).withColumn("rank", (F.col("__start") + place).cast("int")).select("rank", *df.columns).orderBy("rank")
-
-
-def _bucket(df: DataFrame, name: str, ascending: bool) -> Column:
-    """A whole number that never falls along the order: the size of a number in steps of about a hundredth, the first two characters of a text."""
-    c = F.col(f"`{name}`")
-    if kind(df, name) == "number":
-        x = c.cast("double")
-        at = F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * 64)
-    else:
-        text = c.cast("string")
-        at = F.ascii(text).cast("long") * 0x110000 + F.ascii(F.substring(text, 2, 1))
-    return F.coalesce(at if ascending else -at, F.lit(1 << 60)).cast("long")
+        return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("rank", *[f"`{c}`" for c in df.columns])
+    return ranks.ranked(df, order).orderBy("rank")
 
 
 def run_aggregation(df: DataFrame, spec: dict) -> DataFrame:

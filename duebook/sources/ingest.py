@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, NumericType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from duebook.functions.columns import number, with_buckets, with_soh
 from duebook.schema import ALIASES, DATES, FLOWS, HEADERS, MANDATORY, NUMBERS, SNAPSHOT, UPPER, canonical
+from duebook.sources import shared
 
 #: Truncated headers are completed from this length on.
 LEAST_PREFIX = 15
+#: Files that ``load_files`` reads at once.
+FILES_AT_ONCE = 8
 
 
 class IngestError(ValueError):
     """A file that cannot be used."""
 
 
+#: A raw row's place: number of the path it was read by, file, block in the file, row in the block. Loading uses it up.
+PLACE, LINE = "__place", "__line"
+#: Columns that reading adds.
+OWN = (PLACE, LINE)
+
+
 def read_raw(spark: SparkSession, path: str | list[str], kind: str = "csv") -> DataFrame:
-    """Files of one kind as they are; CSV columns stay text."""
-    if kind == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return spark.read.format(kind).load(path)
+    """Files of one kind as they are, with every row's ``PLACE``; CSV columns stay text.
+
+    Each path is read on its own, so headers may differ; of a folder or pattern the files go by name.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False) if kind == "csv" else spark.read
+    frames = []
+    for k, p in enumerate([path] if isinstance(path, str) else path):
+        frame = reader.format(kind).load(p)
+        frames.append(_with_place(frame, k))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _with_place(frame: DataFrame, number: int) -> DataFrame:
+    where = F.struct(
+        F.lit(number).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),  # rises along a block, as one task reads it
+    )
+    return frame.select(*[F.col(f"`{c}`") for c in frame.columns], where.alias(PLACE))
 
 
 def match_headers(found: list[str]) -> dict[str, str]:
@@ -53,10 +82,13 @@ def match_headers(found: list[str]) -> dict[str, str]:
 
 def with_canonical_names(df: DataFrame) -> DataFrame:
     """Known headers under their canonical names; unknown columns pass, stripped and in canonical spelling if that is free."""
-    matched = match_headers(df.columns)
+    matched = match_headers([c for c in df.columns if c not in OWN])
     used = {canonical(h) for h in matched.values()}
     names = []
     for c in df.columns:
+        if c in OWN:
+            names.append(c)
+            continue
         name = canonical(matched[c]) if c in matched else canonical(c.strip()) or "column"
         while c not in matched and name in used:
             name += "_x"
@@ -110,15 +142,24 @@ def _typed(df: DataFrame) -> DataFrame:
     return made.select(*SNAPSHOT.names, *[f"`{c}`" for c in made.columns if c not in SNAPSHOT.names])
 
 
+def _typed_in_place(df: DataFrame, number: int = 0) -> DataFrame:
+    """``_typed`` with ``PLACE``: that of the files the rows come from, or the frame's own order."""
+    if PLACE not in df.columns:
+        df = df.withColumn(PLACE, F.struct(F.lit(number).alias("path"), F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row")))
+    return _typed(df)
+
+
 def load(df: DataFrame) -> DataFrame:
     """A raw extract as a snapshot: names, mandatory columns, types, buckets, exposure; of rows that repeat a loan number the first."""
-    return first_per_loan(_typed(df).withColumn("__row", F.monotonically_increasing_id()), "__row").drop("__row")
+    return first_per_loan(_typed_in_place(df))
 
 
-def first_per_loan(df: DataFrame, *order: str) -> DataFrame:
-    """The first row, in a unique order, of every loan number; rows without one all stay, each dealt by its own place."""
-    w = W.partitionBy("loan_no", F.when(F.col("loan_no").isNull(), F.struct(*order))).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n")
+def first_per_loan(df: DataFrame) -> DataFrame:
+    """The first row, by ``PLACE``, of every loan number; rows without one all stay. Repeats are dropped before the shuffle as well as after it."""
+    columns = [c for c in df.columns if c not in (PLACE, "loan_no")]
+    alone = F.when(F.col("loan_no").isNull(), F.col(PLACE))
+    first = df.groupBy("loan_no", alone.alias("__alone")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), PLACE).alias("__first"))
+    return first.select(*[F.col("loan_no") if c == "loan_no" else F.col("__first")[c].alias(c) for c in df.columns if c != PLACE])
 
 
 def load_many(frames: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
@@ -126,21 +167,113 @@ def load_many(frames: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
     good, errors = [], []
     for k, (name, frame) in enumerate(frames.items()):
         try:
-            good.append(_typed(frame).withColumn("__file", F.lit(k)).withColumn("__row", F.monotonically_increasing_id()))
+            made = _typed_in_place(frame, k)
+            good.append(made.withColumn(PLACE, F.col(PLACE).withField("path", F.lit(k))))
         except IngestError as e:
             errors.append(f"{name}: {e}")
     if not good:
         raise IngestError("no usable extract; " + "; ".join(errors))
-    union = good[0]
-    for g in good[1:]:
-        union = union.unionByName(g, allowMissingColumns=True)
-    return first_per_loan(union, "__file", "__row").drop("__file", "__row"), errors
+    return first_per_loan(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), good)), errors
+
+
+ERRORS = "path string, line string, error string"
+
+
+def load_files(spark: SparkSession, paths: list[str], kind: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """(snapshot, errors): the files that can be read, in order, the first row per loan kept; and a row for all that could not be used.
+
+    Every file is read once, typed, and written to the shared folder; whatever fails there - no such file, a missing column, bytes that do not
+    decode, a compressed file cut short - leaves out this file and no other. Lines of a CSV file that do not fit its header are errors of
+    their own (``line`` is their text) and their other lines stay. Few files are read at a time, each by as many tasks as it has blocks.
+    """
+
+    def one(k: int) -> tuple[DataFrame | None, DataFrame | None, str | None]:
+        try:
+            raw = read_raw(spark, paths[k], kind)
+            if kind == "csv":  # once more with the header as a schema, which tells the lines that do not fit it
+                names = [c for c in raw.columns if c != PLACE]
+                lines = spark.read.schema(StructType([StructField(c, StringType()) for c in (*names, LINE)])).option("columnNameOfCorruptRecord", LINE)
+                raw = _with_place(lines.option("header", True).csv(paths[k]), k)
+            else:
+                raw = raw.withColumn(LINE, F.lit(None).cast("string"))
+            made = shared.written(_typed(raw))
+            bad = made.where(F.col(LINE).isNotNull()).select(F.lit(paths[k]).alias("path"), F.col(LINE).alias("line"), F.lit("does not fit the header").alias("error"))
+            return made.where(F.col(LINE).isNull()).drop(LINE).withColumn(PLACE, F.col(PLACE).withField("path", F.lit(k))), bad, None
+        except IngestError as e:
+            return None, None, str(e)
+        except PySparkException as e:
+            return None, None, f"cannot be read: {e.getCondition() or type(e).__name__}"
+        except Py4JJavaError as e:
+            return None, None, f"cannot be read: {e.java_exception.getClass().getSimpleName()}"
+
+    scope = copy_context()
+    with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
+        found = list(pool.map(lambda k: scope.copy().run(one, k), range(len(paths))))
+    good = [made for made, _, _ in found if made is not None]
+    errors = spark.createDataFrame([(paths[k], None, e) for k, (_, _, e) in enumerate(found) if e], ERRORS)
+    errors = reduce(DataFrame.unionByName, [errors, *[bad for _, bad, _ in found if bad is not None]])
+    if not good:
+        raise IngestError("no usable file; " + "; ".join(f"{paths[k]}: {e}" for k, (_, _, e) in enumerate(found)))
+    return first_per_loan(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), good)), errors
+
+
+def mandatory_columns(df: DataFrame) -> DataFrame:
+    """(header, column, present, filled): the mandatory columns of an extract, and in how many rows each holds something; one pass."""
+    df = with_canonical_names(df)
+    there = [(h, canonical(h), canonical(h) in df.columns) for h in MANDATORY]
+    counts = df.agg(*[(F.count(canonical(h)) if here else F.lit(0).cast("long")).alias(c) for h, c, here in there])
+    rows = F.array(*[F.struct(F.lit(h).alias("header"), F.lit(c).alias("column"), F.lit(here).alias("present"), F.col(c).alias("filled")) for h, c, here in there])
+    return counts.select(F.inline(rows))
 
 
 def write_snapshot(df: DataFrame, path: str, month: str) -> None:
-    """A month's partition of the snapshot table; written again, it replaces the former one and no other."""
-    rows = df.withColumn("snapshot_month", F.lit(month))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_month").parquet(path)
+    """A month's partition of the snapshot table; written again, it replaces the former one and no other, also by no rows at all.
+
+    The rows are written beside the table first and take the place of the former ones when they are complete (Spark's ``_SUCCESS`` marks that),
+    so a write that fails changes nothing.
+    """
+    spark, at = df.sparkSession, f"{path}/snapshot_month={month}"
+    key = uuid.uuid4().hex
+    new, old = f"{path}/_new-{key}", f"{path}/_old-{key}"
+    try:
+        df.write.parquet(new)
+    except BaseException:
+        shared.remove(spark, new)
+        raise
+    if shared.exists(spark, at):
+        shared.move(spark, at, old)
+    shared.move(spark, new, at)
+    shared.remove(spark, old)
+
+
+def create_months(spark: SparkSession, table: str, df: DataFrame, buckets: int, path: str | None = None) -> None:
+    """A catalog table of monthly snapshots with the columns of ``df``, dealt and sorted by loan number: joins of months need no shuffle."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    place = f"LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE {table} ({columns}, snapshot_month STRING) USING parquet PARTITIONED BY (snapshot_month) CLUSTERED BY (loan_no) SORTED BY (loan_no) INTO {int(buckets)} BUCKETS {place}")
+
+
+def write_month(df: DataFrame, table: str, month: str) -> None:
+    """Replace a month of such a table; the rows are computed before the former ones go, and no rows empty the month."""
+    spark = df.sparkSession
+    with shared.Tables():
+        rows = shared.written(df)
+        rows = rows.repartition(_buckets(spark, table), "loan_no")  # one file per bucket
+        view = f"month_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(view)
+        columns = ", ".join(f"`{c}`" for c in spark.table(table).columns if c != "snapshot_month")
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (snapshot_month = '{month}') SELECT {columns} FROM {view}")
+        spark.catalog.dropTempView(view)
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    return int(found["data_type"])
+
+
+def read_month(spark: SparkSession, table: str, month: str) -> DataFrame:
+    """One month of a table of months; the filter prunes the others, the buckets stay."""
+    return spark.table(table).where(F.col("snapshot_month") == month)
 
 
 def read_snapshot(spark: SparkSession, path: str, month: str) -> DataFrame:

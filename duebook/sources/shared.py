@@ -1,22 +1,86 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Tables written to the folder that the driver and all executors share, and who owns them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
-def folder(spark: SparkSession) -> str:
-    """A new path in ``spark.checkpoint.dir``; a temporary folder stands in on a local master only."""
+
+class Tables:
+    """Owns the tables that are written while it is open (``with Tables(): ...``) and removes them when it is closed.
+
+    What it computed must be collected or written elsewhere before that. Tables written outside any scope stay readable, and
+    are removed when the application ends, as are those of a scope that is never closed.
+    """
+
+    def __init__(self) -> None:
+        self._held: list[tuple[SparkSession, str, str | None]] = []
+
+    def __enter__(self) -> Tables:
+        self._token = _open.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.reset(self._token)
+        self.close()
+
+    def hold(self, spark: SparkSession, path: str, name: str | None = None) -> None:
+        self._held.append((spark, path, name))
+
+    def close(self) -> None:
+        for spark, path, name in self._held:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(spark, path)
+        self._held.clear()
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder; the parent of ``to`` is made if it is missing."""
+    fs, at = _file_system(spark, path)
+    target = _file_system(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(at, target):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def folder(spark: SparkSession, name: str | None = None) -> str:
+    """A new path in ``spark.checkpoint.dir``, owned by the open scope; a temporary folder stands in on a local master only.
+
+    ``name``: of a catalog table that will lie there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
-    return f"{named}/table-{uuid.uuid4().hex}"
+    path = f"{named}/table-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    if scope := _open.get():
+        scope.hold(spark, path, name)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -48,8 +48,22 @@ def test_dates_text_and_names(spark):
     assert str(c.dated(df).first()["t"]) == "2024-01-02"
     assert c.as_text(df).first()[:] == ("2024-01-02 10:00:00", "1", "")
     assert c.distinct_names(spark.sql("SELECT 1 AS a, 2 AS a, 3 AS b")).columns == ["a", "b"]
-    shown, n = c.preview(spark.range(10), 3)
-    assert shown.count() == 3 and n == 10
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_preview_and_total_come_from_one_job(spark, parts):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("preview"))
+    df = spark.range(0, 5000, 1, parts)
+    before = jobs()
+    spark.sparkContext.setJobGroup("preview", "")
+    try:
+        shown, n = c.preview(df, 3)
+        assert [r["id"] for r in shown] == [0, 1, 2] and n == 5000 and jobs() - before == 1
+        shown, n = c.preview(df.select((-F.col("id")).alias("id")), 2, ("id",))
+        assert [r["id"] for r in shown] == [-4999, -4998] and n == 5000
+        assert c.preview(df.limit(0), 3) == ([], 0)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_arithmetic(spark):

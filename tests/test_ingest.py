@@ -7,7 +7,7 @@ from pyspark.sql.types import StringType
 
 from duebook.plans.queries import run_filter
 from duebook.schema import DATES, HEADERS, MANDATORY, NUMBERS, SNAPSHOT, TEXTS, canonical
-from duebook.sources import ingest
+from duebook.sources import ingest, shared
 
 
 def extract(spark, changes=None, n=1):
@@ -75,6 +75,114 @@ def test_a_month_written_again_replaces_itself(spark, tmp_path):
     assert [ingest.read_snapshot(spark, f"{tmp_path}/t", m).count() for m in ("2024-01", "2024-02")] == [1, 3]
 
 
+def csv(path, loans, header=None):
+    names = header or ["Loan No", *[h for h in MANDATORY if h != "Loan No"]]
+    lines = [",".join(names)] + [",".join([loan, *[unit if h == "Unit" else "46082" if h == "Ag_Date" else "1" for h in names[1:]]]) for loan, unit in loans]
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_of_two_files_in_one_read_the_first_named_wins(spark, tmp_path):
+    small = csv(tmp_path / "z.csv", [("1", "FIRST")])
+    large = csv(tmp_path / "a.csv", [(str(k), "SECOND") for k in range(3000)])
+    for paths, won in (([small, large], "FIRST"), ([large, small], "SECOND")):
+        got = ingest.load(ingest.read_raw(spark, paths))
+        assert got.count() == 3000 and got.where("loan_no = '1'").first()["unit"] == won
+        assert "__place" not in got.columns
+    assert ingest.load(ingest.read_raw(spark, str(tmp_path))).where("loan_no = '1'").first()["unit"] == "SECOND"  # by name
+
+
+def test_within_a_file_the_first_line_wins_across_blocks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        path = csv(tmp_path / "a.csv", [(str(k % 700), f"U{k}") for k in range(2100)])
+        raw = ingest.read_raw(spark, path)
+        assert raw.rdd.getNumPartitions() > 5
+        assert {(r["loan_no"], r["unit"]) for r in ingest.load(raw).collect()} == {(str(k), f"U{k}") for k in range(700)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_that_cannot_be_read_are_errors_of_their_own(spark, tmp_path):
+    import gzip
+
+    good = csv(tmp_path / "good.csv", [("1", "A"), ("2", "B")])
+    (tmp_path / "good.csv").write_text((tmp_path / "good.csv").read_text() + "3,only\n")
+    lacks = csv(tmp_path / "lacks.csv", [("4", "D")], ["Loan No", "Unit"])
+    cut = tmp_path / "cut.csv.gz"
+    csv(tmp_path / "whole.csv", [(str(k), "E") for k in range(50_000)])
+    cut.write_bytes(gzip.compress((tmp_path / "whole.csv").read_bytes())[:-2000])
+    later = csv(tmp_path / "later.csv", [("1", "LATE"), ("5", "F")])
+    with shared.Tables():
+        got, errors = ingest.load_files(spark, [good, lacks, str(cut), f"{tmp_path}/absent.csv", later])
+        assert rows(got, "loan_no", "unit") == [("1", "A"), ("2", "B"), ("5", "F")]
+        found = {r["path"].rsplit("/")[-1]: (r["line"], r["error"]) for r in errors.collect()}
+    assert set(found) == {"good.csv", "lacks.csv", "cut.csv.gz", "absent.csv"} and found["good.csv"] == ("3,only", "does not fit the header")
+    assert "Strike" in found["lacks.csv"][1] and "PATH_NOT_FOUND" in found["absent.csv"][1] and "cannot be read" in found["cut.csv.gz"][1]
+    with pytest.raises(ingest.IngestError, match="absent"):
+        ingest.load_files(spark, [f"{tmp_path}/absent.csv"])
+
+
+def test_parquet_files_keep_their_order(spark, tmp_path):
+    for name, pos in (("b", "5"), ("a", "7")):
+        extract(spark, {"POS": pos}).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    got, errors = ingest.load_files(spark, [f"{tmp_path}/b", f"{tmp_path}/a"], "parquet")
+    assert rows(got, "loan_no", "pos") == [("A", 5.0)] and errors.count() == 0
+
+
+def test_mandatory_columns_are_counted(spark):
+    found = {r["header"]: (r["present"], r["filled"]) for r in ingest.mandatory_columns(extract(spark, {"POS": None}, n=2).drop("Strike")).collect()}
+    assert len(found) == len(MANDATORY) and found["Strike"] == (False, 0) and found["POS"] == (True, 0) and found["Loan No"] == (True, 2)
+
+
+def test_an_empty_month_replaces_the_former_one(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    ingest.write_snapshot(spark.range(3), path, "2024-01")
+    ingest.write_snapshot(spark.range(2), path, "2024-02")
+    ingest.write_snapshot(spark.range(0), path, "2024-01")
+    assert [ingest.read_snapshot(spark, path, m).count() for m in ("2024-01", "2024-02")] == [0, 2]
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    ingest.write_snapshot(spark.range(3), path, "2024-01")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|Division by zero"):
+        ingest.write_snapshot(spark.range(3).select((F.lit(1) / (F.col("id") - 2)).cast("long").alias("id")), path, "2024-01")
+    assert ingest.read_snapshot(spark, path, "2024-01").count() == 3
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("_new") or p.name.startswith("_old")] == []
+
+
+def test_months_join_without_a_shuffle(spark):
+    from duebook.operators import migration
+
+    data = {"2024-01": [(f"L{k}", "STD") for k in range(50)], "2024-02": [(f"L{k}", "NPA" if k % 2 else "STD") for k in range(10, 60)]}
+    with shared.Tables():
+        frames = {m: spark.createDataFrame(x, "loan_no string, curr_bucket string") for m, x in data.items()}
+        ingest.create_months(spark, "months_test", frames["2024-01"], 4, shared.folder(spark, "months_test"))
+        for m, df in frames.items():
+            ingest.write_month(df, "months_test", m)
+        curr, prev = (ingest.read_month(spark, "months_test", m) for m in ("2024-02", "2024-01"))
+        got = migration.migration_kpis(curr, prev)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SinglePartition" in plan  # only the last, one-row step moves rows
+        assert tuple(got.first()) == tuple(migration.migration_kpis(frames["2024-02"], frames["2024-01"]).first())
+        ingest.write_month(frames["2024-01"].limit(0), "months_test", "2024-01")
+        assert ingest.read_month(spark, "months_test", "2024-01").count() == 0 and curr.count() == 50
+    assert not spark.catalog.tableExists("months_test")
+
+
+def test_tables_go_with_their_scope(spark):
+    with shared.Tables():
+        made = shared.written(spark.range(5))
+        path = made.inputFiles()[0].rsplit("/", 1)[0]
+        assert made.count() == 5 and shared.exists(spark, path)
+        with shared.Tables():
+            shared.written(spark.range(2))
+        assert made.count() == 5
+    assert not shared.exists(spark, path)
+
+
 def test_csv_and_partitions(spark, tmp_path):
     extract(spark).write.option("header", True).csv(f"{tmp_path}/in")
     df = ingest.load(ingest.read_raw(spark, f"{tmp_path}/in"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import book
+from pyspark.sql import functions as F
 
 from duebook.functions.predicates import SpecError
 from duebook.plans import checks
@@ -101,3 +102,38 @@ def test_ranks_in_buckets_follow_the_order(spark, ascending, limit):
     got = [(x["rank"], x["k"]) for x in run_plan(df, plan + ([{"op": "limit", "n": limit}] if limit else [])).orderBy("rank").collect()]
     expected = sorted(made, key=lambda x: (x[1] is None, (x[1] or 0) * (1 if ascending else -1), x[0]))
     assert got == [(n, k) for n, (k, _) in enumerate(expected[: limit or None], 1)]
+
+
+def test_problems_are_rows(spark):
+    df = book(spark, [{}])
+    found = checks.problems(spark, df, {"good": ("filter", {"conditions": []}), "bad": ("plan", [{"op": "sort", "by": "zone"}, {"op": "derive", "column": "x", "expr": "pos +"}]), "none": ("plan", [])})
+    assert sorted((r["spec"], r["place"]) for r in found.collect()) == [("bad", 1), ("bad", 2), ("none", 1)]
+    assert checks.problems(spark, df, {}).collect() == []
+
+
+def test_many_groups_are_ranked_in_even_ranges_from_one_evaluation(spark):
+    """Names that share their first characters, so no prefix tells them apart."""
+    from duebook.functions import ranks
+
+    n = 200_000
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(n).selectExpr("concat('Customer#', lpad(cast((id * 7919) % 200000 as string), 9, '0')) AS cust_name", "cast(id % 50 as double) AS v", "'A' AS unit")
+    df = rows.mapInArrow(counted, rows.schema)
+    spec = {"group_by": "cust_name", "counts": [{"alias": "n", "column": "__total__"}]}
+    got = run_aggregation(df, spec)
+    sample = got.where("rank IN (1, 2, 100000, 200000)").orderBy("rank").collect()
+    assert [(r["rank"], r["cust_name"]) for r in sample] == [(k, f"Customer#{k - 1:09d}") for k in (1, 2, 100_000, 200_000)]
+    assert seen.value == n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ranks.placed(rows, [F.asc("cust_name")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n"] for r in placed.groupBy(F.shiftright("__at", ranks.PLACE_BITS)).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and len(sizes) == 4 and max(sizes) <= 2 * n / len(sizes)
