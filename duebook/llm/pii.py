@@ -4,7 +4,8 @@ Base detectors read the text as it is. Then transducers rewrite disguises - look
 spelled digits, bracketed or spelled at and dot - into a normalised text and record for every rewritten piece where it came from.
 The same detectors read the normalised texts (digits left, spelled runs joined, spelled digits joined to any beside them, letters that
 look like digits read as digits); what they find across a rewritten piece is mapped back to source characters and added. Base spans
-always stay; a span within a base span of its kind is not added, a wider one is.
+always stay; a span within a base span of its kind is not added, and neither is one that digit words make wider: a number that is one
+without the word beside it is whole.
 
 Null or empty text: no spans. Spans count code points, end exclusive, in the whole text, and of spans with one start (ties) the kind
 listed first comes first. Each pattern is entered only where a run starts, so texts of a megabyte cost linear time, also where they are
@@ -49,39 +50,48 @@ AT_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "punto", "point")
 #: Endings that are common words as well: "at this point in" is no address.
 WORDS_TOO = frozenset("am as be by do in is la me my no pm so to".split())
-LOOKALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K",
-    "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
-    "․": ".", "。": ".", " ": " ", " ": " ", " ": " ",
+#: Characters that look like a letter, from the public table of confusable characters, by the letter; what NFKC folds is not listed.
+_LIKE = {
+    "a": "аɑα⍺ᴀ", "b": "Ьʙᖯ", "c": "сϲᴄⲥ", "d": "ԁᴅᏧᑯ", "e": "еҽᴇ℮", "f": "ꜰẝϝ", "g": "ɡցɢᶃ", "h": "һհᏂʜ", "i": "іıɩιɪӏꙇᎥ", "j": "јϳᴊ", "k": "кκᴋ", "l": "ʟⅼ",
+    "m": "ᴍ", "n": "ոռɴ", "o": "оοօᴏσഠ൦", "p": "рρᴘϱ", "q": "ԛգզ", "r": "гᴦʀꭇ", "s": "ѕꜱƽ", "t": "тτᴛ", "u": "սυᴜʋ", "v": "νѵᴠ", "w": "ԝաѡɯᴡ", "x": "хχᕁ", "y": "уүγʏყ", "z": "ᴢ",
+    "A": "АΑᎪᗅ", "B": "ВΒᏴᗷ", "C": "СϹᏟ", "D": "ᎠᗞᗪĐ", "E": "ЕΕᎬ", "F": "Ϝᖴ", "G": "ԌᏀ", "H": "НΗᎻᕼ", "I": "ІΙӀİⵏ", "J": "ЈᎫᒍ", "K": "КΚᏦ", "L": "Ꮮᒪ", "M": "МΜᎷᗰ",
+    "N": "ΝⲚ", "O": "ОΟՕⲞ", "P": "РΡᏢᑭ", "Q": "Ԛⵕ", "R": "ᎡᏒᖇ", "S": "ЅՏᏕ", "T": "ТΤᎢ", "U": "Սᑌ", "V": "ѴᏙᐯ", "W": "ᎳᏔԜ", "X": "ХΧⵝ", "Y": "УΥҮ", "Z": "ΖᏃ",
+    "-": "‐‑‒–−", ".": "․。", " ": "\u00a0\u2007\u202f",
 }
+LOOKALIKES = {c: letter for letter, like in _LIKE.items() for c in like}
 INVISIBLE = "­​‌‍⁠﻿"
 
 _DIGIT = {w: str(d) for words in DIGIT_WORDS for d, w in enumerate(words)} | {w: "+" for w in PLUS_WORDS}
 _ANY_DIGIT = "|".join(sorted(_DIGIT, key=len, reverse=True))
-_SEPARATOR = r"[\x20,.;/\t\n-]{1,3}"
+_SPELLED_DOT = rf"\x20(?:{'|'.join(DOT_WORDS)})\x20"
+#: Between two items of a run: little white space and signs, or a dot. A dot with white space before a capital ends a sentence.
+_SEPARATOR = rf"(?:[\x20,;/\t\n-]{{1,3}}|[\x20]?\.(?:[\x20\t\n](?!(?-i:[A-Z])))?|{_SPELLED_DOT})"
 #: Four spelled digits in a row at least, mixed with plain ones.
 _SPELLED = re.compile(rf"(?<!\w)(?:{_ANY_DIGIT})(?:{_SEPARATOR}(?:{_ANY_DIGIT}|[0-9]{{1,4}})(?!\w)){{3,}}", re.I)
-#: One spelled digit at least in a run with plain ones; whether it is an identifier is left to the detectors.
+#: One spelled digit or dot at least in a run with plain ones; whether it is an identifier is left to the detectors.
 _ITEM = rf"(?:{_ANY_DIGIT}|[0-9]{{1,19}})(?!\w)"
 _MIXED = re.compile(rf"(?<!\w){_ITEM}(?:{_SEPARATOR}{_ITEM})+", re.I)
 _WORD_OR_DIGITS = re.compile(rf"(?:{_ANY_DIGIT}|[0-9]+)(?!\w)", re.I)
+_HAS_DOT = re.compile(rf"\.|{_SPELLED_DOT}", re.I)
 
 
 _at, _dot, _ENDINGS = "|".join(AT_WORDS), "|".join(DOT_WORDS), frozenset(ENDINGS)
 _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
-#: Bracketed at: a sign of its own. A spelled at needs a spelled or plain dot and a known ending after it. A plain dot before a
-#: capital and one small letter ends a sentence ("at noon.It was").
+#: Bracketed at: a sign of its own. A spelled at needs a known ending after it, and a spelled dot, or a plain one if what stands before it looks
+#: like a mailbox (``_mailbox``). A plain dot before a capital and one small letter ends a sentence ("at noon.It was").
 _BRACKET_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_at}|@){_CLOSE})(?=[A-Za-z0-9])", re.I)
 _BRACKET_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_dot}|\.){_CLOSE})(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(rf"\x20(?:{_at})\x20|\x20?@\x20?", re.I)
 _LABEL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"
 _BEHIND = re.compile(rf"\x20(?:{_dot})\x20\Z", re.I)
+_BEHIND_ANY = re.compile(rf"\x20(?:{_dot})\x20", re.I)
 _SITE = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|\x20(?:{_dot})\x20)[A-Za-z0-9-]++)*+", re.I)
 #: Between two labels: a spelled dot, or a plain one.
 _STEP = re.compile(rf"\x20({_dot})\x20|\.", re.I)
 _SENTENCE = re.compile(r"[A-Z][a-z](?![A-Za-z0-9])")
+#: An address in one word: "anna-at-site-dot-com".
+_IN_ONE = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+]+)([-_])(?:{_at})\2([A-Za-z0-9]+(?:\2(?:{_dot})\2[A-Za-z0-9]+)+)(?![A-Za-z0-9._%+-])", re.I)
+_ONE_DOT = re.compile(rf"[-_](?:{_dot})[-_]", re.I)
 _PIECE = re.compile(rf"\x20(?:{_at})\x20|\x20?@\x20?|\x20(?:{_dot})\x20", re.I)
 #: A run of digits in which some letters stand for digits.
 _LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
@@ -90,6 +100,8 @@ _DIGITS_WITH_LETTERS = re.compile(r"(?<![A-Za-z0-9])[OolI]*+[0-9][0-9OolI]*+(?![
 _HINTS = (
     r"[\[({<] ?(?i:" + f"{_at}|{_dot}" + r"|@|\.) ?[\])}>]",
     r"(?i)(?: (?:" + _at + r") | @ ?|@ )[a-z0-9-]+(?:\.| (?:" + _dot + r") )[a-z0-9-]",
+    r"(?i)[a-z0-9][_-](?:" + _at + r")[_-][a-z0-9]+[_-](?:" + _dot + r")[_-]",
+    r"(?i)[0-9] (?:" + _dot + r") [0-9]|[0-9] (?:" + _dot + r") (?:" + _ANY_DIGIT + r")|(?:" + _ANY_DIGIT + r") (?:" + _dot + r") [0-9a-z]",
     r"(?i)@[a-z0-9.-]+ (?:" + _dot + r") [a-z0-9-]",
     r"(?i) (?:" + _dot + r") [a-z0-9_%+-]+(?:[a-z0-9._%+-]| (?:" + _dot + r") )*@",
     r"(?i)(?:" + _ANY_DIGIT + r")[ ,.;/\t\n-]{1,3}(?:" + _ANY_DIGIT + r"|[0-9])",
@@ -151,6 +163,7 @@ class Rewritten:
 
     def __init__(self, text: str):
         self.text, self.pieces = text, []  # pieces: (start, end in this text, start, end in the source), rewritten ones only
+        self.words = False  # whether words were read as digits
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans of the current text, in order and apart; later passes keep the earlier pieces' source positions."""
@@ -239,24 +252,36 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
         words = list(_WORD_OR_DIGITS.finditer(m[0]))
         for w in words:
             value = _DIGIT.get(w[0].lower(), w[0])
-            between = m[0][at : w.start()]
-            # a spelled dot between spelled numbers stays a dot, other separators go
-            out += ["." * ("." in between and not plus), value] if out else [value]
+            # a dot between spelled numbers stays a dot, other separators go
+            dot = _HAS_DOT.search(m[0], at, w.start()) and not plus
+            out += ["." if dot else "", value] if out else [value]
             plus, at = value == "+", w.end()
         edits.append((m.start(), m.end(), "".join(out)))
     return edits
 
 
+def _runs(text: str):
+    """Items of runs of spelled and plain digits; a capitalised word after plain digits begins a run of its own (it begins a sentence, or is a noun)."""
+    for m in _MIXED.finditer(text):
+        run: list[re.Match] = []
+        for w in _WORD_OR_DIGITS.finditer(text, m.start(), m.end()):
+            if run and w[0][0].isupper() and not w[0].isupper() and run[-1][0][0].isdigit():
+                yield run
+                run = []
+            run.append(w)
+        yield run
+
+
 def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for m in _MIXED.finditer(text):
-        items = list(_WORD_OR_DIGITS.finditer(text, m.start(), m.end()))
-        if all(w[0][0].isdigit() for w in items):
+    for items in _runs(text):
+        spelled_dot = re.search(_SPELLED_DOT, text[items[0].start() : items[-1].end()], re.I)
+        if all(w[0][0].isdigit() for w in items) and not spelled_dot:
             continue
-        at, plus = m.start(), False
+        at, plus = items[0].start(), False
         for w in items:
             if w.start() > at:
-                edits.append((at, w.start(), "." * ("." in text[at : w.start()] and not plus)))
+                edits.append((at, w.start(), "." if _HAS_DOT.search(text, at, w.start()) and not plus else ""))
             value = _DIGIT.get(w[0].lower(), w[0])
             if value != w[0]:
                 edits.append((w.start(), w.end(), value))
@@ -264,6 +289,34 @@ def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _in_one(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _IN_ONE.finditer(text):
+        if re.split(r"[-_]", m[3])[-1].lower() in _ENDINGS:
+            edits.append((m.end(1), m.start(3), "@"))
+            edits += [(d.start(), d.end(), ".") for d in _ONE_DOT.finditer(text, m.start(3), m.end(3))]
+    return edits
+
+
+#: Words that stand before "at" and a site's name in plain prose, and words that announce an address.
+BEFORE_A_SITE = frozenset("""
+a about all also am an and any are arrive arrived as ask available back based be been best book booked bought browse buy buying call chat check click come contact cook day
+discount done down download eat else enrol event every everyone everything find for found free from get go going good got guest he hear held help her here him his home hosted hours in info interview is it item join
+jobs know later learn less life listen listed live located look looked looking loved made me meet meeting more most much new news night not now of off offer on online only or
+order ordered our out page photo play post posted price prices programme published read register report sale save search see seen sell selling service she shop shopping shown sign site sold some
+sponsored stare stay stop store stories study subscribe talk team that the their them there they things this ticket tickets time to today together tonight up us use version video visit visited watch we web were what when where
+which who work worked working works workshop write you your
+""".split())
+
+
+def _mailbox(text: str, start: int, end: int) -> bool:
+    """Whether what stands before a spelled at and a plain site's name is a mailbox: it has digits or signs, or is no word that prose has there."""
+    local = text[start:end]
+    if any(not c.isalpha() for c in local):
+        return True
+    return local.lower() not in BEFORE_A_SITE
+
+
 def _local_start(text: str, at: int) -> int:
     """Where the local part that ends at ``at`` begins: labels back to back with plain or spelled dots; ``at`` itself if there is none."""
     start = at
@@ -307,8 +360,11 @@ def _spelled_mail(text: str) -> list[tuple[int, int, str]]:
         if start == m.start() or edits and start < edits[-1][1]:
             continue
         end, dot, last = _site_end(text, m.end())
+        spelled = "@" not in m[0]
         if end < 0 or dot == "point" and m[0].strip().lower() == "at" and last in WORDS_TOO:
             continue
+        if spelled and not dot and not _BEHIND_ANY.search(text, start, m.start()) and not _mailbox(text, start, m.start()):
+            continue
         for p in _PIECE.finditer(text, start, end):
             new = "@" if p.start() == m.start() else "."
             if p[0] != new:
@@ -327,11 +383,13 @@ def normalised(text: str) -> list[Rewritten]:
         out.apply(_characters(out.text))
     out.apply([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(out.text)])
     out.apply([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
+    out.apply(_in_one(out.text))
     out.apply(_spelled_mail(out.text))
     readings = [out]
-    for edits in (_digits(out.text), _mixed_digits(out.text), _letters(out.text)):
+    for words, edits in ((True, _digits(out.text)), (True, _mixed_digits(out.text)), (False, _letters(out.text))):
         if edits:
             more = Rewritten(out.text)
+            more.words = words
             more.pieces = list(out.pieces)
             more.apply(edits)
             readings.append(more)
@@ -348,7 +406,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         for s, e, kind in detect(new.text):
             if new.touches(s, e):
                 a, b = new.source(s, False), new.source(e, True)
-                if not any(k == kind and x <= a and b <= y for x, y, k in [*base, *found]):
+                if any(k == kind and x <= a and b <= y for x, y, k in [*base, *found]):
+                    continue
+                # a number that is whole without the digit word beside it stays as it is
+                if not new.words or not any(k == kind and a <= x and y <= b for x, y, k in [*base, *found]):
                     more.append((a, b, kind))
         found += more
     return found
