@@ -4,13 +4,15 @@ First pass: every page's containers are scored - text outside links in the block
 them - and the scores are summed per host and generalised path (tags and classes from the root, digits as #). From the path with the most
 the host climbs to the highest ancestor whose other text is rather the page's own than links or text that the host repeats on unlike pages,
 so titles, leads and further sections around the largest container stay. A host with one page knows no repeats and climbs within an
-article or main element only. Second pass: each page is read again and gives the text of the elements at its host's path, without what is never
-article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments). A page without that path, or
-without a host, gives the text at its own best path.
+article or main element, or where what a step adds is blocks of prose. Second pass: each page is read again and gives the text of the elements at its
+host's path, without what is never article text (menus, footers, sidebars, notices, adverts, scripts, styles, comments). A page without that
+path, or without a host, gives the text at its own best path.
 
-Classes and ids that name such a kind as a whole ("cookie-notice", "site-header") drop their element. Those that only hold such a word
-("related-work", "entry-header") count like links when containers are scored and stay where the chosen container holds them; a header
-element inside article or main stays too.
+Classes and ids that name such a kind as a whole ("cookie-notice", "site-header") drop their element, as do form and header elements; those that
+only hold such a word ("related-work", "entry-header") count like links when containers are scored and stay where the chosen container holds
+them. Names lie, so an element of a kind that articles have parts of as well (``GENERIC``: a form around the page, a widget that is the article, a
+post's header) is judged by what it holds: it stays if most of the page's text is in it, if it holds the page's only first heading and no menu, or,
+being a block of prose (inside article or main of any length) or named there by its id alone, if it is not mostly links. A heading's id drops nothing.
 
 Null or empty html: empty text. Null url: no host. Unclosed tags, broken references and cut pages are read as browsers would. Pages of any
 length and depth are read whole; a long path goes by a hash of its upper part. Repeated pages vote as often as they occur, but their copies
@@ -39,20 +41,26 @@ LONG_PATH = 400
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("nav header footer aside form menu dialog noscript template iframe svg math button select option object canvas audio video head".split())
+NEVER = frozenset("nav footer aside menu dialog noscript template iframe svg math button select option object canvas audio video head".split())
 BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption summary tr td th".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table".split())
 _KIND = (
-    "ads?#*|adverts?|advertisement|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|forms?|headers?|masthead|menus?|modal|nav|navbar|"
+    "ads?#*|adverts?|advertisement|advertising|banners?|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|footers?|forms?|headers?|masthead|menus?|modal|nav|navbar|"
     "navigation|newsletter|notices?|notifications?|pagination|popups?|promos?|promoted|related|replies|respond|share|sharing|sidebars?|social|sponsor(?:ed|s)?|subscribe|widgets?")
 _WHERE = "site|page|global|top|bottom|left|right|main|primary|secondary|mobile|cookie|side|user|reader|ad|share|social|menu|nav"
 _PART = "slot|unit|box|bar|block|area|list|container|wrapper|wrap|item|items|links?|section|banner|notice|form|menu|widget|button|buttons|popup|modal|overlay|label|posts|articles|stories|thread|content|inner|#+"
 #: The word in a class, and a class that is the word with where it is and what part of it.
 UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_KIND})(?=$|[\s_-])".replace("#", r"\d"), re.I)
-SURELY = re.compile(rf"(?:(?:{_WHERE})[_-]+)*(?:{_KIND})(?:[_-]+(?:{_PART}|{_WHERE}))*".replace("#", r"\d"), re.I)
-_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
+SURELY = re.compile(rf"(?P<where>(?:(?:{_WHERE})[_-]+)*)(?P<kind>{_KIND})(?:[_-]+(?:{_PART}|{_WHERE}))*".replace("#", r"\d"), re.I)
+#: Characters from which on a block outside article and main is prose whatever it is called.
+PROSE = 80
+#: Kinds that articles have parts of as well.
+GENERIC = frozenset("banner banners form forms header headers masthead related share sharing social widget widgets".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ROLES = frozenset(("navigation", "contentinfo", "complementary", "search", "dialog", "alert", "menu"))
+_SOFT_ROLES = {"banner": "banner", "form": "form"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<raw>script|style|title|textarea|xmp|noembed|noframes)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
@@ -62,10 +70,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "drop", "link", "within", "up")
-
-    def __init__(self, tag, path, parent, drop, link):
-        self.tag, self.path, self.parent, self.drop, self.link = tag, path, parent, drop, link
+    __slots__ = ("tag", "path", "parent", "drop", "link", "within", "up", "doubt", "kinds", "chars", "links", "head", "menus", "named", "block")
+
+    def __init__(self, tag, path, parent, drop, link, doubt=False, kinds=()):
+        self.tag, self.path, self.parent, self.drop, self.link, self.doubt = tag, path, parent, drop, link, doubt
+        self.kinds = kinds  # (what names it, where it says it is, kind) for each name that may drop it
+        self.chars = self.links = self.menus = 0
+        self.head = tag == "h1" and not drop
+        self.named = bool(kinds) or parent is not None and parent.named
+        self.block = tag in BLOCK or tag in INLINE and parent is not None and parent.block
         self.within = parent is not None and parent.within or tag in ("article", "main")
         # the nearest element that can be a container: itself, or what holds its block
         self.up = parent.up if parent is not None and (tag in BLOCK or tag in INLINE) else self
@@ -79,7 +92,7 @@ def _path(above: str, segment: str) -> str:
 def read(page: str) -> list[tuple[_Element, str]]:
     """The page's texts in order with the elements that hold them; a text of "\\n" stands for a block's edge. Dropped parts are left out."""
     stack = [_Element("", "", None, False, False)]
-    out, at = [], 0
+    elements, out, at = list(stack), [], 0
 
     def pop_to(tags, stop):
         for k in range(len(stack) - 1, 0, -1):
@@ -116,26 +129,65 @@ def read(page: str) -> list[tuple[_Element, str]]:
             if tag == "body":
                 pop_to({"head"}, ())
             top = stack[-1]
-            kinds, drop, doubt = "", top.drop or tag in NEVER and not (tag == "header" and top.within), False
+            classes, drop, doubt, kinds = "", top.drop or tag in NEVER, False, []
+            if tag == "form" or tag == "header" and not top.within:
+                kinds.append(("tag", "", tag))
             if m["attrs"].strip("/ \t\n\r\f"):
                 for a in _ATTR.finditer(m["attrs"]):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if name == "class":
-                        kinds = ".".join(sorted(set(re.sub(r"\d+", "#", html.unescape(value)).split()))).replace("/", "%2f")
-                    if name in ("class", "id"):
+                        classes = ".".join(sorted(set(re.sub(r"\d+", "#", html.unescape(value)).split()))).replace("/", "%2f")
+                    if name == "class" or name == "id" and tag not in _HEADINGS:
                         if tag not in ("html", "body", "article", "main") and UNWANTED.search(value):
-                            drop |= any(map(SURELY.fullmatch, value.split()))
+                            kinds += [(name, k["where"], k["kind"].lower()) for k in map(SURELY.fullmatch, value.split()) if k]
                             doubt = True
                     elif name == "role":
                         drop |= value.lower() in _ROLES
+                        if value.lower() in _SOFT_ROLES:
+                            kinds.append((name, "", _SOFT_ROLES[value.lower()]))
                     elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                         drop = True
-            stack.append(_Element(tag, _path(top.path, tag + ("." + kinds if kinds else "")), top, drop, top.link or doubt or tag == "a"))
+            stack.append(_Element(tag, _path(top.path, tag + ("." + classes if classes else "")), top, drop, top.link or tag == "a", doubt, kinds))
+            elements.append(stack[-1])
         if edge and not stack[-1].drop:
             out.append((stack[-1], "\n"))
     if at < len(page) and not stack[-1].drop:
         out.append((stack[-1], html.unescape(page[at:])))
-    return out
+    _judge(elements, out)
+    return [x for x in out if not x[0].drop]
+
+
+def _judge(elements: list[_Element], parts: list[tuple[_Element, str]]) -> None:
+    """Drop the elements whose names say so, unless what they hold says otherwise."""
+    for element, text in parts:
+        n = len(text.strip())
+        element.chars += n
+        element.links += n * element.link
+    for e in reversed(elements[1:]):  # an element comes after what holds it
+        up = e.parent
+        up.chars, up.links, up.head, up.menus = up.chars + e.chars, up.links + e.links, up.head + e.head, up.menus + e.menus + (e.tag in ("nav", "menu"))
+    page = elements[0]
+    outside = sum(e.tag == "h1" and not e.drop and not e.named for e in elements)
+    for e in elements[1:]:
+        e.drop |= e.parent.drop
+        stays = bool(e.kinds) and not e.drop and _stays(e, page, outside)
+        e.drop |= bool(e.kinds) and not stays
+        e.link |= e.parent.link or e.doubt and not stays
+
+
+def _stays(e: _Element, page: _Element, outside: int) -> bool:
+    if not all(kind in GENERIC for _, _, kind in e.kinds) or 2 * e.links > e.chars:
+        return False
+    if 2 * e.chars > page.chars:
+        return True
+    if e.tag in BLOCK and (e.within or e.chars >= PROSE):
+        return True
+    if e.within and all(by == "id" for by, _, _ in e.kinds):
+        return True
+    sited = any(where for _, where, _ in e.kinds) or e.parent.tag in ("", "html", "body") and not e.within
+    return e.head > 0 and not e.menus and (e.within or not outside and not sited)
+
+
 
 
 def scores(parts: list[tuple[_Element, str]]) -> dict[str, int]:
@@ -156,10 +208,11 @@ def best(found: dict[str, int]) -> str:
     return min(found, key=lambda p: (-found[p], p), default="")
 
 
-def own(parts: list[tuple[_Element, str]]) -> dict[str, tuple[int, int, int]]:
-    """By path of a container: characters outside links and within links of its own blocks, and a hash of the text outside links."""
+def own(parts: list[tuple[_Element, str]]) -> dict[str, tuple[int, int, int, int]]:
+    """By path of a container: characters outside links and within links of its own blocks, those outside both, and a hash of the text outside links."""
     texts: dict[str, list[str]] = {}
     links: Counter = Counter()
+    loose: Counter = Counter()
     for element, text in parts:
         if text := text.strip():
             held = texts.setdefault(element.up.path, [])
@@ -167,7 +220,9 @@ def own(parts: list[tuple[_Element, str]]) -> dict[str, tuple[int, int, int]]:
                 links[element.up.path] += len(text)
             else:
                 held.append(text)
-    return {p: (sum(map(len, t)), links[p], _hash("\n".join(t))) for p, t in texts.items()}
+                if not element.block:
+                    loose[element.up.path] += len(text)
+    return {p: (sum(map(len, t)), links[p], loose[p], _hash("\n".join(t))) for p, t in texts.items()}
 
 
 def above(parts: list[tuple[_Element, str]]) -> dict[str, tuple[str, bool]]:
@@ -185,7 +240,7 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def climb(found: dict[str, tuple[int, int]], up: dict[str, tuple[str, bool]], winner: str, several: bool) -> str:
+def climb(found: dict[str, tuple[int, int]], up: dict[str, tuple[str, bool]], winner: str) -> str:
     """The highest ancestor of ``winner`` up to which the text that each step adds is mostly neither links nor repeated.
 
     ``found``: by path, characters of the pages' own text and of links and repeated text. ``up``: by path, the path above and whether it is
@@ -210,8 +265,6 @@ def climb(found: dict[str, tuple[int, int]], up: dict[str, tuple[str, bool]], wi
     for p, k in line.items():
         if not k:
             continue
-        if not several and not up[p][1]:
-            break
         fresh, other = steps[k]
         if fresh > other:
             highest = p
@@ -255,15 +308,15 @@ def _votes(batches):
                 parts, whole = read(page), _hash(page)
                 for path, n in scores(parts).items():
                     summed[where, path] += n
-                for path, (chars, links, key) in own(parts).items():
-                    c, n, low, high = texts.get((where, path, key), (0, 0, whole, whole))
-                    texts[where, path, key] = c + chars, n + links, min(low, whole), max(high, whole)
+                for path, (chars, links, loose, key) in own(parts).items():
+                    c, n, x, low, high = texts.get((where, path, key), (0, 0, 0, whole, whole))
+                    texts[where, path, key] = c + chars, n + links, x + loose, min(low, whole), max(high, whole)
                 for path, line in above(parts).items():
                     lines[where, path] = line
-        rows = [(h, p, *lines[h, p], None, n, 0, 0, None, None) for (h, p), n in summed.items()]
+        rows = [(h, p, *lines[h, p], None, n, 0, 0, 0, None, None) for (h, p), n in summed.items()]
         rows += [(h, p, *lines[h, p], key, 0, *x) for (h, p, key), x in texts.items()]
-        rows += [(h, p, *line, None, 0, 0, 0, None, None) for (h, p), line in lines.items() if (h, p) not in summed]
-        columns = ["host", "path", "up", "within", "key", "score", "chars", "links", "low", "high"]
+        rows += [(h, p, *line, None, 0, 0, 0, 0, None, None) for (h, p), line in lines.items() if (h, p) not in summed]
+        columns = ["host", "path", "up", "within", "key", "score", "chars", "links", "loose", "low", "high"]
         yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[4:]})
 
 
@@ -271,25 +324,28 @@ def _climbed(pdf):
     import pandas as pd
 
     winner = best({p: n for p, n in zip(pdf["path"], pdf["score"], strict=True) if n > 0})
-    several = pdf["low"].min() != pdf["high"].max()
-    found = {p: (int(f), int(o)) for p, f, o in zip(pdf["path"], pdf["fresh"], pdf["other"], strict=True)}
+    several = pdf["low"].min() != pdf["high"].max()  # else nothing can be repeated, and text outside blocks and articles counts as such
     up = {p: (u, bool(w)) for p, u, w in zip(pdf["path"], pdf["up"], pdf["within"], strict=True)}
-    paths = [climb(found, up, winner, several)] if (pdf["score"] > 0).any() else []
+    found = {}
+    for p, f, o, x in zip(pdf["path"], pdf["fresh"], pdf["other"], pdf["loose"], strict=True):
+        x = 0 if several or up[p][1] else int(x)
+        found[p] = (int(f) - x, int(o) + x)
+    paths = [climb(found, up, winner)] if (pdf["score"] > 0).any() else []
     return pd.DataFrame({"host": pdf["host"].iloc[:1].repeat(len(paths)), "path": paths})
 
 
 def consensus(pages: DataFrame) -> DataFrame:
     """(host, path): the ancestor climbed to from the path with the highest summed score on each host; of equals, the first in order."""
     small_batches(pages.sparkSession)
-    added = "host string, path string, up string, within boolean, key long, score long, chars long, links long, low long, high long"
+    added = "host string, path string, up string, within boolean, key long, score long, chars long, links long, loose long, low long, high long"
     votes = pages.select(host(F.col("url")).alias("x__host"), "html").mapInPandas(_votes, added)
-    sums = [F.sum(c).alias(c) for c in ("score", "chars", "links")]
+    sums = [F.sum(c).alias(c) for c in ("score", "chars", "links", "loose")]
     # the same path has the same one above it
     summed = votes.groupBy("host", "path", "up", "within", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
     # a text on unlike pages is repeated; what is not is the pages' own
     repeated = F.when(F.col("low") != F.col("high"), F.col("chars")).otherwise(0)
     paths = summed.groupBy("host", "path", "up", "within").agg(
-        F.sum("score").alias("score"), F.sum(F.col("chars") - repeated).alias("fresh"), F.sum(F.col("links") + repeated).alias("other"),
+        F.sum("score").alias("score"), F.sum(F.col("chars") - repeated).alias("fresh"), F.sum(F.col("links") + repeated).alias("other"), F.sum("loose").alias("loose"),
         F.min("low").alias("low"), F.max("high").alias("high"))
     return paths.groupBy("host").applyInPandas(_climbed, "host string, path string")
 
@@ -300,8 +356,9 @@ def _extract(batch):
         parts = read(page or "")
         text = text_at(parts, path) if path is not None else None
         if not text:
-            found = {p: x[:2] for p, x in own(parts).items()}
-            path = climb(found, above(parts), best(scores(parts)), False) if found else ""
+            up = above(parts)
+            found = {p: (f, o) if up[p][1] else (f - x, o + x) for p, (f, o, x, _) in own(parts).items()}
+            path = climb(found, up, best(scores(parts))) if found else ""
             text = text_at(parts, path)
         texts.append(text or "")
         used.append(path)
