@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,19 @@ class Tables:
         _open.reset(self._token)
         self.close()
 
+    @contextmanager
+    def used(self) -> Iterator[Tables]:
+        """Own what is written meanwhile, and stay open."""
+        token = _open.set(self)
+        try:
+            yield self
+        finally:
+            _open.reset(token)
+
+    @property
+    def paths(self) -> list[str]:
+        return [path for _, path, _ in self._held]
+
     def hold(self, spark: SparkSession, path: str, name: str | None = None) -> None:
         self._held.append((spark, path, name))
 
@@ -75,7 +90,11 @@ def folder(spark: SparkSession, name: str | None = None) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
-    path = f"{named}/table-{uuid.uuid4().hex}"
+    return owned(spark, f"{named}/table-{uuid.uuid4().hex}", name)
+
+
+def owned(spark: SparkSession, path: str, name: str | None = None) -> str:
+    """The path, now of the open scope, and gone when the application ends."""
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
     if scope := _open.get():
