@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duebook.sources import shared
+from duebook.sources.shared import Tables as Tables
+
 #: Words everywhere in this subpackage: maximal runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,39 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Paths of the tables staged since ``taken`` was last called.
-_made: list[str] = []
-
-
-def taken() -> list[str]:
-    """The paths of the staged tables made so far, for those who know when they can go."""
-    found = _made[:]
-    _made.clear()
-    return found
-
-
 def staged(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table: smaller, and later steps read only the columns they use."""
+    """As ``cut``, as a Parquet table: smaller, and later steps read only the columns they use.
+
+    The table is of the scope that is open (``with Tables(): ...``), which removes it when it is closed; outside any it stays to the
+    application's end.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = shared.owned(spark, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
-    _made.append(path)
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def discard(df: DataFrame, free: bool = False) -> None:
     """Delete a staged table that nothing reads any more; ``free``: let Spark drop the shuffle files of finished steps as well."""
-    remove(df.sparkSession, df.stage_path)
-    if df.stage_path in _made:
-        _made.remove(df.stage_path)
+    shared.remove(df.sparkSession, df.stage_path)
     if free:
         free_shuffles(df.sparkSession)
 

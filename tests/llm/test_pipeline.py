@@ -66,3 +66,40 @@ def test_unlike_texts_under_one_id_are_judged_apart(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
     got = sorted(((r["doc_id"] or 0), r["text"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect())
     assert got == sorted([(0, a), (1, a), (5, b), (5, c), (7, ""), (7, "")])
+
+
+def left(spark):
+    from pathlib import Path
+
+    from duebook.llm.common import shared_dir
+
+    return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("stage-*")}
+
+
+def test_lazy_results_do_not_lose_their_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    (_, quality), (_, dedupe) = corpus_pipeline.STAGES[:2]
+    first, second = quality(spark, docs, folder), quality(spark, docs, folder)
+    assert first.count() == second.count() > 0
+    # a stage given rows that still read the former's tables leaves them
+    chained = dedupe(spark, second, folder)
+    assert 0 < chained.count() < second.count() and first.count() == second.count()
+
+
+def test_two_pipelines_and_the_tables_they_leave(spark, folder):
+    before = left(spark)
+    one, two = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
+    assert one.count() == two.count() > 0
+    assert len(left(spark) - before) <= 2  # the last stage's input, which each result still reads
+
+
+def test_a_scope_leaves_no_table(spark, folder):
+    from duebook.llm import jaccard_join
+    from duebook.llm.common import Tables
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = left(spark)
+    for work in (fertility.op3, jaccard_join.op6):
+        with Tables():
+            assert work(docs).count() == docs.count()
+        assert left(spark) == before
