@@ -9,7 +9,7 @@ these scans.
 
 Lists grow with the table: LISTS * sqrt(classes) of them, in two levels, so centres, lists and what a query meets all grow with the square
 root. The coarse centres come from a sample (at most SAMPLE classes and SAMPLE_BYTES, smallest hashes of their ids); the fine ones of a
-coarse list from at most TRAIN of its classes each, in a task per coarse list. Every class is put into a list. How many coarse and fine
+coarse list from at most TRAIN of its classes each and TRAIN_BYTES in all, in a task per coarse list. Every class is put into a list. How many coarse and fine
 lists a query probes is measured: CALIBRATE queries are compared with all classes, and the counts are the least that hold COARSE and FINE
 of their true neighbours. The FIRST lists are scanned at once; the best they hold bound the scan of the others. A query that its lists
 leave with too few candidates goes through all lists.
@@ -33,6 +33,8 @@ from duebook.llm.common import bounded_broadcast, cut, staged
 SAMPLE, SAMPLE_BYTES = 16_384, 64_000_000
 #: Lists per square root of the classes, classes a list has at least on average, fine lists of a coarse one at most, classes that train one.
 LISTS, LEAST, MOST_FINE, TRAIN = 2.0, 8, 1024, 16
+#: Bytes of vectors that train one coarse list's fine lists: of wide vectors fewer than TRAIN a list.
+TRAIN_BYTES = 1 << 26
 CALIBRATE, COARSE, FINE = 64, 0.997, 0.985
 FIRST = 8
 BLOCK, CHUNK, COLUMNS, EPSILON, SEED = 2_000, 20_000, 16, 2.1, 7
@@ -147,8 +149,9 @@ class _Lists:
         sizes = rough.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"))
         fine = F.greatest(F.lit(1), F.least(F.lit(MOST_FINE), F.round(F.col("n") * lists / n))).cast("int")
         sizes = F.broadcast(staged(sizes.select("coarse", fine.alias("fine"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))))  # a row per coarse list
+        each = max(4, min(TRAIN, TRAIN_BYTES // (8 * width * MOST_FINE)))
         place = F.row_number().over(W.partitionBy("coarse").orderBy(F.xxhash64("cid"), "cid"))
-        some = rough.select("coarse", "cid", "v", place.alias("place")).where(F.col("place") <= TRAIN * MOST_FINE).join(sizes, "coarse").where(F.col("place") <= TRAIN * F.col("fine"))
+        some = rough.select("coarse", "cid", "v", place.alias("place")).where(F.col("place") <= each * MOST_FINE).join(sizes, "coarse").where(F.col("place") <= each * F.col("fine"))
         self.fine = staged(some.select("coarse", "fine", "v").groupBy("coarse").applyInArrow(self._train(), "coarse int, lst long, centre array<double>"))
         rough = rough.join(sizes.select("coarse", "chunks"), "coarse").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
         centres = self.fine.join(sizes.select("coarse", "chunks"), "coarse").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -100,6 +100,8 @@ def read_model(data: bytes) -> Model:
             model.dummy_prefix, model.squeeze, model.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
     if model.suffix or not model.escape or any(k == USER for _, _, k in model.pieces):
         raise ValueError("models with white space as suffix, unescaped white space or user-defined pieces are not rebuilt")
+    if model.kind not in (UNIGRAM, BPE):
+        raise ValueError(f"models of kind {model.kind} (words or characters) are not rebuilt")
     return model
 
 

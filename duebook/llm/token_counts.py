@@ -57,8 +57,10 @@ class Encoder:
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, rule: str) -> np.ndarray:
-    """Tokens per section, and in the last place those outside every section; sections are sorted and disjoint."""
+    """Tokens per section, and in the last place those outside every section; sections that overlap, run backwards or are out of order are refused."""
     n = len(left)
+    if (left > right).any() or (left[1:] < right[:-1]).any():
+        raise ValueError("sections overlap or are out of order")
     out = np.zeros(n + 1, float if rule == "split" else np.int64)
     if not len(starts):
         return out

@@ -126,6 +126,24 @@ def test_attribution_rules(rule):
             assert np.allclose(token_counts.attribute(starts, ends, left, right, rule), expected)
 
 
+@pytest.mark.parametrize("left,right", [([0, 3], [5, 8]), ([4, 0], [6, 2]), ([5], [2])])
+def test_sections_that_overlap_are_refused(left, right):
+    with pytest.raises(ValueError, match="overlap"):
+        token_counts.attribute(np.array([0]), np.array([1]), np.array(left), np.array(right), "start")
+
+
+def test_models_of_words_or_characters_are_refused():
+    import sentencepiece.sentencepiece_model_pb2 as pb
+
+    for kind in (3, 4):
+        proto = pb.ModelProto()
+        with open(f"{fertility.TOKENIZER_DIR}/piece_bpe_32k.model", "rb") as f:
+            proto.ParseFromString(f.read())
+        proto.trainer_spec.model_type = kind
+        with pytest.raises(ValueError, match="words or characters"):
+            sp_backend.read_model(proto.SerializeToString())
+
+
 def test_sections_from_a_column(spark):
     df = spark.createDataFrame([(1, "title words\nbody words follow", [(0, 5), (12, 29)])], "doc_id long, text string, parts array<struct<start int, end int>>")
     got = {r["section"]: r["n_tokens"] for r in token_counts.token_counts(df, "doc_id", rule="split", sections="parts").collect()}
