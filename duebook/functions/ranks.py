@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duebook.sources import shared
@@ -22,12 +21,20 @@ def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     return shared.written(rows.withColumn("__at", F.monotonically_increasing_id()))
 
 
+#: Rows up to which the ranked result is put in order by one task instead of by ranges.
+FEW = 100_000
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """``name``, 1 to n in an order that no two rows share, before the columns of ``df``; the input is computed once."""
+    """``name``, 1 to n in an order that no two rows share, before the columns of ``df``, by rank; the input is computed once."""
     rows = placed(df, order).withColumn("__part", F.shiftright("__at", PLACE_BITS))
-    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    sizes = sorted(tuple(r) for r in rows.groupBy("__part").agg(F.count(F.lit(1))).collect())  # a row per partition
+    starts, n = [], 0
+    for part, size in sizes:
+        starts.append((part, n))
+        n += size
+    found = df.sparkSession.createDataFrame(starts, "__part long, __start long")
     place = F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    made = rows.join(F.broadcast(starts), "__part")  # one row per partition
-    return made.withColumn(name, (F.col("__start") + place + 1).cast("int")).select(name, *[f"`{c}`" for c in df.columns])
+    made = rows.join(F.broadcast(found), "__part").withColumn(name, (F.col("__start") + place + 1).cast("int"))
+    made = made.coalesce(1).sortWithinPartitions(name) if n <= FEW else made.orderBy(name)
+    return made.select(name, *[f"`{c}`" for c in df.columns])

@@ -59,7 +59,7 @@ def _ranked(df: DataFrame, by: list[tuple[str, bool]], few: bool) -> DataFrame:
     order = [_order(c, up) for c, up in by]
     if few:
         return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("rank", *[f"`{c}`" for c in df.columns])
-    return ranks.ranked(df, order).orderBy("rank")
+    return ranks.ranked(df, order)
 
 
 def run_aggregation(df: DataFrame, spec: dict) -> DataFrame:
