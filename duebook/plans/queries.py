@@ -111,14 +111,14 @@ def run_plan(df: DataFrame, plan: list[dict]) -> DataFrame:
     """The steps one after the other - group_aggregate, filter, derive, sort, limit - and ranks in the final order."""
     refuse(plan_problems(df.columns, plan))
     by: list[tuple[str, bool]] = []
-    grouped = few = False
+    grouped = few = waiting = False  # waiting: sorted, but not yet put in order, as ranks or a limit do that
     for step in plan:
         op = step["op"].lower()
         if op == "group_aggregate":
             keys = [resolve(df.columns, k) for k in _as_list(step["group_by"])]
             made = [_aggregated(df, a).alias(a["alias"]) for a in step["aggregations"]]
             df = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(*made)
-            by, grouped, few = [(k, True) for k in keys], True, False
+            by, grouped, few, waiting = [(k, True) for k in keys], True, False, False
         elif op == "filter":
             df = df.where(conjunction(df, step.get("conditions") or []))
         elif op == "derive":
@@ -127,16 +127,17 @@ def run_plan(df: DataFrame, plan: list[dict]) -> DataFrame:
             ties = by if grouped else [("loan_no", True)] if "loan_no" in df.columns else []
             first = resolve(df.columns, step["by"])
             by = [(first, bool(step.get("ascending", False))), *[t for t in ties if t[0] != first]]
-            df = df.orderBy(*[_order(c, up) for c, up in by])
+            waiting = True
         elif op == "limit":
             try:
                 n = int(step.get("n"))
             except (TypeError, ValueError):
                 n = 0
             if n > 0:
-                df, grouped, few = df.limit(n), True, True
+                ordered = df.orderBy(*[_order(c, up) for c, up in by]) if waiting else df
+                df, grouped, few, waiting = ordered.limit(n), True, True, False
     if "rank" in df.columns or not grouped:  # rows of the snapshot itself get no ranks before a limit
-        return df
+        return df.orderBy(*[_order(c, up) for c, up in by]) if waiting else df
     if not by:
         return df.withColumn("rank", F.row_number().over(W.orderBy(F.lit(1)))).select("rank", *df.columns)
     return _ranked(df, by, few)

@@ -137,3 +137,14 @@ def test_many_groups_are_ranked_in_even_ranges_from_one_evaluation(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["n"] for r in placed.groupBy(F.shiftright("__at", ranks.PLACE_BITS)).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == n and len(sizes) == 4 and max(sizes) <= 2 * n / len(sizes)
+
+
+def test_sorted_plans_order_once(spark):
+    df = book(spark, [{"unit": u, "arrears_emi": x} for u, x in (("A", 1.0), ("B", 3.0), ("C", 2.0), ("B", 9.0))])
+    count = {"op": "group_aggregate", "group_by": ["unit"], "aggregations": [{"alias": "n", "func": "count"}, {"alias": "top", "func": "max", "column": "arrears_emi"}]}
+    sort = {"op": "sort", "by": "top"}
+    assert [(r["rank"], r["unit"]) for r in run_plan(df, [count, sort]).collect()] == [(1, "B"), (2, "C"), (3, "A")]
+    assert [(r["rank"], r["unit"]) for r in run_plan(df, [count, sort, {"op": "limit", "n": 2}, {"op": "filter", "conditions": [{"column": "n", "op": "<", "value": 2}]}]).collect()] == [(1, "C")]
+    assert [r["arrears_emi"] for r in run_plan(df, [{"op": "sort", "by": "arrears_emi"}, {"op": "filter", "conditions": [{"column": "arrears_emi", "op": "<", "value": 5}]}]).collect()] == [3.0, 2.0, 1.0]
+    # a grouping after a sort starts anew
+    assert [r["unit"] for r in run_plan(df, [{"op": "sort", "by": "arrears_emi"}, count]).collect()] == ["A", "B", "C"]
