@@ -18,7 +18,7 @@ Null or empty html: empty text. Null url: no host. Unclosed tags, broken referen
 length and depth are read whole; a long path goes by a hash of its upper part. Repeated pages vote as often as they occur, but their copies
 are no repeats. Ties: the first path in order. Other columns are not read. An empty table gives no rows. Scores are combined per batch
 before the shuffle; the texts of a path, a hash each, are compared per host, path and hash, so a host with a third of all pages is spread;
-what meets in one task are the distinct paths of a host. The winners are one row per host, broadcast up to ``MOST_HOSTS`` and joined by
+what meets in one task are sums for a winner's ancestors, at most DEEPEST of a host. The winners are one row per host, broadcast up to ``MOST_HOSTS`` and joined by
 shuffle beyond.
 """
 
@@ -32,11 +32,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import bounded_broadcast, cut, map_rows, small_batches
+from duebook.llm.common import bounded_broadcast, cut, map_rows, small_batches, staged
 
 MOST_HOSTS = 200_000
 #: Characters of a path from which on its upper part is a hash.
 LONG_PATH = 400
+#: Levels of a page that the climb tells apart; what lies deeper counts as at the last of them.
+DEEPEST = 256
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,7 +72,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "drop", "link", "within", "up", "doubt", "kinds", "chars", "links", "head", "menus", "named", "block")
+    __slots__ = ("tag", "path", "parent", "drop", "link", "within", "up", "doubt", "kinds", "chars", "links", "head", "menus", "named", "block", "level", "anchor")
 
     def __init__(self, tag, path, parent, drop, link, doubt=False, kinds=()):
         self.tag, self.path, self.parent, self.drop, self.link, self.doubt = tag, path, parent, drop, link, doubt
@@ -78,6 +80,8 @@ class _Element:
         self.chars = self.links = self.menus = 0
         self.head = tag == "h1" and not drop
         self.named = bool(kinds) or parent is not None and parent.named
+        self.level = 1 if parent is None else parent.level + 1
+        self.anchor = self if self.level <= DEEPEST else parent.anchor
         self.block = tag in BLOCK or tag in INLINE and parent is not None and parent.block
         self.within = parent is not None and parent.within or tag in ("article", "main")
         # the nearest element that can be a container: itself, or what holds its block
@@ -236,6 +240,26 @@ def above(parts: list[tuple[_Element, str]]) -> dict[str, tuple[str, bool]]:
     return found
 
 
+def chain(e: _Element) -> list[int]:
+    """Hashes of the paths from the root to an element (to its anchor, if it lies deeper than DEEPEST)."""
+    found, e = [], e.anchor
+    while e is not None:
+        found.append(_hash(e.path))
+        e = e.parent
+    return found[::-1]
+
+
+def chains(parts: list[tuple[_Element, str]]) -> dict[str, tuple[list[int], bool]]:
+    """By path of a container and of all around it: its chain, and whether it lies in an article or main element."""
+    found: dict[str, tuple[list[int], bool]] = {}
+    for element, _ in parts:
+        e = element.up
+        while e is not None and e.path not in found:
+            found[e.path] = (chain(e), e.within)
+            e = e.parent
+    return found
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
@@ -311,43 +335,52 @@ def _votes(batches):
                 for path, (chars, links, loose, key) in own(parts).items():
                     c, n, x, low, high = texts.get((where, path, key), (0, 0, 0, whole, whole))
                     texts[where, path, key] = c + chars, n + links, x + loose, min(low, whole), max(high, whole)
-                for path, line in above(parts).items():
+                for path, line in chains(parts).items():
                     lines[where, path] = line
         rows = [(h, p, *lines[h, p], None, n, 0, 0, 0, None, None) for (h, p), n in summed.items()]
         rows += [(h, p, *lines[h, p], key, 0, *x) for (h, p, key), x in texts.items()]
         rows += [(h, p, *line, None, 0, 0, 0, 0, None, None) for (h, p), line in lines.items() if (h, p) not in summed]
-        columns = ["host", "path", "up", "within", "key", "score", "chars", "links", "loose", "low", "high"]
+        columns = ["host", "path", "chain", "within", "key", "score", "chars", "links", "loose", "low", "high"]
         yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[4:]})
 
 
-def _climbed(pdf):
-    import pandas as pd
-
-    winner = best({p: n for p, n in zip(pdf["path"], pdf["score"], strict=True) if n > 0})
-    several = pdf["low"].min() != pdf["high"].max()  # else nothing can be repeated, and text outside blocks and articles counts as such
-    up = {p: (u, bool(w)) for p, u, w in zip(pdf["path"], pdf["up"], pdf["within"], strict=True)}
-    found = {}
-    for p, f, o, x in zip(pdf["path"], pdf["fresh"], pdf["other"], pdf["loose"], strict=True):
-        x = 0 if several or up[p][1] else int(x)
-        found[p] = (int(f) - x, int(o) + x)
-    paths = [climb(found, up, winner)] if (pdf["score"] > 0).any() else []
-    return pd.DataFrame({"host": pdf["host"].iloc[:1].repeat(len(paths)), "path": paths})
-
-
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path): the ancestor climbed to from the path with the highest summed score on each host; of equals, the first in order."""
+    """(host, path): the ancestor climbed to from the path with the highest summed score on each host; of equals, the first in order.
+
+    As ``climb`` does it for a page. The sums of all paths go to the winner's ancestors first, so of a host no more than DEEPEST rows meet.
+    """
     small_batches(pages.sparkSession)
-    added = "host string, path string, up string, within boolean, key long, score long, chars long, links long, loose long, low long, high long"
+    added = "host string, path string, chain array<long>, within boolean, key long, score long, chars long, links long, loose long, low long, high long"
     votes = pages.select(host(F.col("url")).alias("x__host"), "html").mapInPandas(_votes, added)
+    at = ["host", "path", "chain", "within"]  # the same path has the same ones above it
     sums = [F.sum(c).alias(c) for c in ("score", "chars", "links", "loose")]
-    # the same path has the same one above it
-    summed = votes.groupBy("host", "path", "up", "within", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+    summed = votes.groupBy(*at, "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
     # a text on unlike pages is repeated; what is not is the pages' own
     repeated = F.when(F.col("low") != F.col("high"), F.col("chars")).otherwise(0)
-    paths = summed.groupBy("host", "path", "up", "within").agg(
+    paths = staged(summed.groupBy(*at).agg(
         F.sum("score").alias("score"), F.sum(F.col("chars") - repeated).alias("fresh"), F.sum(F.col("links") + repeated).alias("other"), F.sum("loose").alias("loose"),
-        F.min("low").alias("low"), F.max("high").alias("high"))
-    return paths.groupBy("host").applyInPandas(_climbed, "host string, path string")
+        F.min("low").alias("low"), F.max("high").alias("high")))
+    first = F.min(F.when(F.col("score") > 0, F.struct(-F.col("score"), "path", "chain")))
+    # with one page nothing can be repeated, and text outside blocks and articles counts as such
+    hosts = cut(paths.groupBy("host").agg(first.alias("first"), (F.min("low") != F.max("high")).alias("several")).where("first IS NOT NULL"))
+    hosts = hosts.select("host", F.col("first.path").alias("winner"), F.col("first.chain").alias("line"), "several")
+    joined = paths.join(bounded_broadcast(hosts, hosts.count(), MOST_HOSTS), "host")
+    shared = F.size(F.array_intersect("chain", "line"))  # how far down the winner's line a path lies
+    loose = F.when(F.col("several") | F.col("within"), 0).otherwise(F.col("loose"))
+    steps = joined.select("host", shared.alias("k"), (F.col("fresh") - loose).alias("fresh"), (F.col("other") + loose).alias("other"), F.size("line").alias("n")).where("k < n")
+    steps = steps.groupBy("host", "k").agg(F.sum("fresh").alias("fresh"), F.sum("other").alias("other"))
+    steps = steps.groupBy("host").agg(F.reverse(F.array_sort(F.collect_list(F.struct("k", "fresh", "other")))).alias("steps"))
+    start = F.struct(F.lit(0).alias("top"), F.lit(False).alias("ended"))
+
+    def up(state, x):
+        goes = ~state["ended"] & (x["fresh"] > x["other"])
+        return F.struct(F.when(goes, x["k"]).otherwise(state["top"]).alias("top"), (state["ended"] | (~goes & (x["other"] > 0))).alias("ended"))
+
+    top = F.coalesce(F.aggregate("steps", start, up)["top"], F.lit(0))
+    found = hosts.join(steps, "host", "left").select("host", "winner", F.when(top > 0, F.element_at("line", top)).alias("id"))
+    named = paths.select("host", F.element_at("chain", -1).alias("id"), "path", F.size("chain").alias("n"))
+    named = named.groupBy("host", "id").agg(F.min(F.struct(F.length("path"), "path")).alias("named"))  # what lies deeper than DEEPEST has longer paths
+    return found.join(named, ["host", "id"], "left").select("host", F.coalesce("named.path", "winner").alias("path"))
 
 
 def _extract(batch):

@@ -67,3 +67,50 @@ def test_articles_with_misleading_names(spark):
 @pytest.mark.parametrize("page", ["<b>x" * 30_000, "<div class=header>x" * 20_000, "<h1 class=share>x" * 20_000])
 def test_deep_pages_take_linear_time(page):
     assert isinstance(html_main.read(page), list)
+
+
+def test_consensus_climbs_as_one_page_does(spark):
+    """Summed over a host's pages by hand, ``climb`` gives the paths that Spark finds."""
+    from collections import Counter, defaultdict
+
+    r = random.Random(21)
+    words = lambda n: " ".join(r.choice("aber bort cass dend elms fort".split()) + str(r.randrange(50)) for _ in range(n))
+
+    def part(depth):
+        if depth == 0 or r.random() < 0.3:
+            return f"<p>{r.choice([words(r.randint(1, 30)), 'the same on many pages', '<a href=x>' + words(6) + '</a>'])}</p>{r.choice(['', words(3)])}"
+        tag = r.choice(["div", "section", "article", "div class=x", "div class=y1", "ul"])
+        return f"<{tag}>{''.join(part(depth - 1) for _ in range(r.randint(1, 4)))}</{tag.split()[0]}>"
+
+    pages = [(k, f"http://h{k % 12 if k % 7 else 100 + k}.example/", f"<body>{part(5)}</body>") for k in range(150)]
+    by_host = defaultdict(list)
+    for _, url, page in pages:
+        by_host[url.split("/")[2]].append(page)
+    want = {}
+    for where, texts in by_host.items():
+        score, sums, up, held = Counter(), {}, {}, defaultdict(list)
+        for page in texts:
+            parts = html_main.read(page)
+            score.update(html_main.scores(parts))
+            up |= html_main.above(parts)
+            for p, x in html_main.own(parts).items():
+                held[p, x[3]].append((page, x))
+        several = len(set(texts)) > 1
+        for (p, _), found in held.items():
+            f, o, x = (sum(v[k] for _, v in found) for k in range(3))
+            again = f if len({page for page, _ in found}) > 1 else 0
+            x = 0 if several or up[p][1] else x
+            a, b = sums.get(p, (0, 0))
+            sums[p] = (a + f - again - x, b + o + again + x)
+        good = {p: n for p, n in score.items() if n > 0}
+        if good:
+            want[where] = html_main.climb(sums, up, html_main.best(good))
+    got = {x["host"]: x["path"] for x in html_main.consensus(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and len({p.count("/") for p in want.values()}) > 2
+
+
+def test_very_deep_pages_have_a_path(spark):
+    deep = "<body>" + "<div>" * 1000 + PROSE + SHORT + "</div>" * 1000
+    rows = [(k, "http://deep.example/", deep.replace("goes", f"goes{k}")) for k in range(3)] + [(9, "http://deep.example/", None)]
+    got = html_main.op4(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum("Second part" in x["text"] and "Some prose" in x["text"] for x in got) == 3
