@@ -94,12 +94,13 @@ def folder(spark: SparkSession, name: str | None = None) -> str:
 
 
 def owned(spark: SparkSession, path: str, name: str | None = None) -> str:
-    """The path, now of the open scope, and gone when the application ends."""
+    """A path for a table in the new folder ``path``, which is now of the open scope, and goes when the application ends."""
     fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # holds for what is there
     if scope := _open.get():
         scope.hold(spark, path, name)
-    return path
+    return f"{path}/rows"
 
 
 def written(df: DataFrame) -> DataFrame:

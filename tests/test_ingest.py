@@ -175,7 +175,7 @@ def test_months_join_without_a_shuffle(spark):
 def test_tables_go_with_their_scope(spark):
     with shared.Tables():
         made = shared.written(spark.range(5))
-        path = made.inputFiles()[0].rsplit("/", 1)[0]
+        path = made.inputFiles()[0].rsplit("/", 2)[0]
         assert made.count() == 5 and shared.exists(spark, path)
         with shared.Tables():
             shared.written(spark.range(2))
@@ -183,6 +183,21 @@ def test_tables_go_with_their_scope(spark):
     assert not shared.exists(spark, path)
 
 
+def test_tables_outside_scopes_go_with_the_application(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+from duebook.sources import shared
+print("rows", shared.written(spark.range(3)).count(), len(list(__import__("pathlib").Path("{tmp_path}").glob("table-*"))))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "rows 3 1" in done.stdout, done.stderr[-2000:]
+    assert not list(tmp_path.glob("table-*"))
+
+
 def test_csv_and_partitions(spark, tmp_path):
     extract(spark).write.option("header", True).csv(f"{tmp_path}/in")
     df = ingest.load(ingest.read_raw(spark, f"{tmp_path}/in"))
