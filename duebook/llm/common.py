@@ -54,7 +54,7 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared.owned(spark, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stage_path = path
+    out.stage_path = path.rsplit("/", 1)[0]
     return out
 
 
