@@ -240,24 +240,24 @@ def above(parts: list[tuple[_Element, str]]) -> dict[str, tuple[str, bool]]:
     return found
 
 
-def chain(e: _Element) -> list[int]:
+def chain(e: _Element, hashes: dict[str, int]) -> list[int]:
     """Hashes of the paths from the root to an element (to its anchor, if it lies deeper than DEEPEST)."""
     found, e = [], e.anchor
     while e is not None:
-        found.append(_hash(e.path))
+        if e.path not in hashes:
+            hashes[e.path] = _hash(e.path)
+        found.append(hashes[e.path])
         e = e.parent
     return found[::-1]
 
 
-def chains(parts: list[tuple[_Element, str]]) -> dict[str, tuple[list[int], bool]]:
-    """By path of a container and of all around it: its chain, and whether it lies in an article or main element."""
-    found: dict[str, tuple[list[int], bool]] = {}
+def add_chains(found: dict, where: str, parts: list[tuple[_Element, str]], hashes: dict[str, int]) -> None:
+    """By host and path of a container and of all around it: its chain, and whether it lies in an article or main element."""
     for element, _ in parts:
         e = element.up
-        while e is not None and e.path not in found:
-            found[e.path] = (chain(e), e.within)
+        while e is not None and (where, e.path) not in found:  # what lies above a known path is known
+            found[where, e.path] = (chain(e, hashes), e.within)
             e = e.parent
-    return found
 
 
 def _hash(text: str) -> int:
@@ -327,6 +327,7 @@ def _votes(batches):
         summed: Counter = Counter()
         texts: dict = {}
         lines: dict = {}
+        hashes: dict[str, int] = {}
         for where, page in zip(pdf["x__host"], pdf["html"], strict=True):
             if where and page:
                 parts, whole = read(page), _hash(page)
@@ -335,8 +336,7 @@ def _votes(batches):
                 for path, (chars, links, loose, key) in own(parts).items():
                     c, n, x, low, high = texts.get((where, path, key), (0, 0, 0, whole, whole))
                     texts[where, path, key] = c + chars, n + links, x + loose, min(low, whole), max(high, whole)
-                for path, line in chains(parts).items():
-                    lines[where, path] = line
+                add_chains(lines, where, parts, hashes)
         rows = [(h, p, *lines[h, p], None, n, 0, 0, 0, None, None) for (h, p), n in summed.items()]
         rows += [(h, p, *lines[h, p], key, 0, *x) for (h, p, key), x in texts.items()]
         rows += [(h, p, *line, None, 0, 0, 0, 0, None, None) for (h, p), line in lines.items() if (h, p) not in summed]
