@@ -4,7 +4,8 @@ Two public vocabularies read every word of every text (a word with the space bef
 distinct word is encoded once per worker and then looked up, so a document costs array arithmetic only. Bands are quartiles of each
 measure over the documents of one language in one script (of those without a language in that script) that pass the base rules, widened by a
 multiple of their distance. They are drawn towards those of the script over all languages as if PRIOR further documents had them, and reach
-back to the language's own by its weight; a script's are widened the more, the fewer its documents are. No document is measured against those of
+back to the language's own by its weight; a script's are widened the more, the fewer its documents are. Those of characters per token are widened also the more, the fewer the
+documents of a language are, for texts with few symbols: what symbols do to tokens is no language's. No document is measured against those of
 another script: in a rare script only what lies far from the rest is rejected, and a text alone in its script is kept. Texts
 without letters of a known script go by all of their language, drawn towards the whole table. So every document is judged at every size; ``n_band`` says
 by how many documents of its language, ``n_script`` by how many of its script.
@@ -32,6 +33,9 @@ LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 10, 20, 5
 WIDTH = 2.0
 #: A language weighs as much as its script from so many documents on. Of n documents of a script, the reach is 1 + FEW / n times as wide.
 PRIOR, FEW = 10, 10
+#: Vocabularies cut unlike languages into unlike lengths, so a language new to the table reaches up to 1 + NEW times as far in characters per
+#: token (one of 20 documents 1.6 times, of 50 hardly farther), in texts with at most one symbol in LETTERS characters.
+NEW, LETTERS = 50, 50
 FLOORS = {"chars_per_token": 0.08, "chars_per_token_2": 0.06, "byte_share": 0.02, "entropy": 0.3}
 #: Short texts scatter more: a text of n words may lie sqrt(1 + SHORT / n) times as far outside the quartiles.
 SHORT = 200.0
@@ -209,7 +213,7 @@ def _bands(rows: DataFrame, failed: Column) -> DataFrame:
     pairs = pairs.withColumns({"own": F.when(unknown, F.col("x__group")).otherwise(F.col("x__pair")), "wide": F.when(unknown, F.col("x__all")).otherwise(F.col("x__script"))})
     n, n_wide = (F.coalesce(F.col(f"{c}.n"), F.lit(0)) for c in ("own", "wide"))
     weight = n / (n + PRIOR)
-    columns = [n.cast("long").alias("q__n_band"), n_wide.cast("long").alias("q__n_script")]
+    columns = [n.cast("long").alias("q__n_band"), n_wide.cast("long").alias("q__n_script"), (1 + NEW * F.pow(1 - weight, 4)).alias("allowance")]
     for m, floor in FLOORS.items():
         edges = []
         for k, outer in ((0, F.least), (1, F.greatest)):
@@ -230,8 +234,9 @@ def judged(rows: DataFrame) -> DataFrame:
     bands = _bands(rows, failed)
     inside = F.lit(True)
     scatter = F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("q__n_words"), F.lit(1)))
+    allowed = F.when(LETTERS * F.col("q__n_symbols") <= F.col("q__word_chars"), F.col("allowance")).otherwise(1.0)
     for m in FLOORS:
-        reach = scatter * F.col(f"reach_{m}")
+        reach = scatter * F.col(f"reach_{m}") * (allowed if m.startswith("chars_per_token") else F.lit(1.0))
         inside &= F.coalesce(F.col(f"q__{m}").between(F.col(f"low_{m}") - reach, F.col(f"high_{m}") + reach), F.lit(True))
     joined = rows.join(bounded_broadcast(bands, bands.count(), 10_000), ["q__group", "q__script"], "left")
     return joined.withColumn("q__kept", ~F.col("q__base_failed") & inside).select(*rows.columns, "q__n_band", "q__n_script", "q__kept")

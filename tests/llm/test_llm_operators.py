@@ -313,6 +313,26 @@ def test_fertility_judges_rare_languages(spark):
     assert not got[200]["kept"] and sum(row["kept"] for row in got.values()) >= 29
 
 
+POLISH = "i w nie na się z do to że jest jak ale po co tak za od być przez już tylko może jego był które także bardzo kiedy życie człowiek miasto szkoła książka pierwszy wszystko dzieci".split()
+TURKISH = "ve bir bu için ile çok daha olarak gibi sonra kadar var olan ne ama en her şey zaman büyük insanlar şehir hayat okul çalışmak öğrenci önemli çocuklar dünya yıl gün güzel".split()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 20])
+def test_fertility_keeps_new_languages_of_a_known_script(spark, n):
+    """A few good texts in Latin letters, in a language like no other of the table, stay; one laden with symbols goes once there are some to tell it from."""
+    r = random.Random(n)
+    made = [(k, " ".join(syllables(r, r.randint(40, 400))), r.choice(["en", "de"]), "s", 0) for k in range(300)]
+    prose = {lang: lambda words=words: [r.choice(words) for _ in range(r.randint(60, 400))] for lang, words in (("pl", POLISH), ("tr", TURKISH))}
+    made += [(1000 * at + k, " ".join(make()), lang, "s", 0) for at, (lang, make) in enumerate(prose.items(), 1) for k in range(n)]
+    made.append((9999, " ".join(w + r.choice(["***", "###", "$$$"]) for w in prose["pl"]()), "pl", "s", 0))
+    got = by_id(fertility.op3(spark.createDataFrame(made, DOCS)))
+    for at in (1000, 2000):
+        assert sum(got[at + k]["kept"] for k in range(n)) >= 0.95 * n
+    assert not got[9999]["base_failed"]
+    if n >= 5:
+        assert not got[9999]["kept"]
+
+
 @pytest.mark.parametrize("text,expected", [("hello", "latin"), ("привет мир", "cyrillic"), ("日本語漢字", "han"), ("123", "none"), ("", "none")])
 def test_script(text, expected):
     assert fertility.script(text) == expected
