@@ -91,14 +91,34 @@ def lakh(x: Column) -> Column:
     return rounded(x.cast("double") / 100000)
 
 
+def two_places(x: Column) -> Column:
+    """A double with two decimals, rounded by its exact value (half-even), as Python and SQL print it: 1.355 lies below its digits and is 1.35.
+
+    ``format_string`` rounds the digits instead (1.36). The fraction's 2^-60ths are whole numbers wherever the second decimal can be in doubt.
+    """
+    size = F.abs(x)
+    part = size % 1
+    units, half = (part * 2.0**60).try_cast("bigint"), 1 << 29
+    high, low = F.shiftright(units, 30) * 100, units.bitwiseAND(F.lit((1 << 30) - 1)) * 100  # 100 times the fraction, in two halves
+    high, low = high + F.shiftright(low, 30), low.bitwiseAND(F.lit((1 << 30) - 1))
+    cut, rest = F.shiftright(high, 30), high.bitwiseAND(F.lit((1 << 30) - 1))
+    up = (rest > half) | (rest == half) & ((low > 0) | (cut % 2 == 1))
+    cut = cut + F.when(up, 1).otherwise(0)
+    whole = (size - part).try_cast("bigint") + F.when(cut == 100, 1).otherwise(0)
+    exact = F.format_string("%s%d.%02d", F.when(x < 0, "-").otherwise(""), whole, F.when(cut == 100, 0).otherwise(cut))
+    return F.when((x != 0) & whole.isNotNull() & cut.isNotNull(), exact).otherwise(F.format_string("%.2f", x))
+
+
 def money_text(x: Column, kind: str = "money") -> Column:
-    """Indian units from a lakh on, thousands separators below; kind money, count or pct."""
+    """Indian units from a lakh on, thousands separators below; kind money, count or pct. Decimals are ``two_places``."""
     if kind == "pct":
-        return F.format_string("%.2f", x.cast("double"))
+        return two_places(x.cast("double"))
     sign = "₹" if kind == "money" else ""
     x, size = x.cast("double"), F.abs(x.cast("double"))
     small = F.format_number(F.rint(x) if kind == "money" else x.cast("long"), 0)
-    return F.when(size >= 1e7, F.format_string(f"{sign}%.2fCr", x / 1e7)).when(size >= 1e5, F.format_string(f"{sign}%.2fL", x / 1e5)).otherwise(F.concat(F.lit(sign), small))
+    unit = F.when(size >= 1e7, "Cr").when(size >= 1e5, "L")
+    large = F.concat(F.lit(sign), two_places(x / F.when(size >= 1e7, 1e7).otherwise(1e5)), unit)
+    return F.when(unit.isNotNull(), large).otherwise(F.concat(F.lit(sign), small))
 
 
 def dated(df: DataFrame) -> DataFrame:

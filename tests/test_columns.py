@@ -43,6 +43,17 @@ def test_money_text(spark, x, kind, expected):
     assert spark.range(1).select(c.money_text(F.lit(x), kind)).first()[0] in (expected, "12.34" if kind == "pct" else expected)
 
 
+def test_money_text_rounds_the_exact_value(spark):
+    values = [135500.0, 100500.0, 112500.0, 137500.0, 199999.99, 99999.6, 9999999.99, 1e7, 10050000.0, 9.99995e12, -135500.0, 123456789.125]
+    values += [k * 500.0 for k in range(200, 1200)]
+    shares = [0.005, 0.015, 0.125, 0.375, 0.995, 1.005, 2.675, 99.995, 12.345, 0.0049, 1e-300, 0.0, -0.125, -0.001, 1e18]
+    df = lambda x: spark.createDataFrame([(v,) for v in x], "x double")
+    text = lambda v: f"₹{v / 1e7:.2f}Cr" if abs(v) >= 1e7 else f"₹{v / 1e5:.2f}L" if abs(v) >= 1e5 else f"₹{v:,.0f}"
+    assert [r[0] for r in df(values).select(c.money_text(F.col("x"))).collect()] == [text(v) for v in values]
+    assert [r[0] for r in df(shares).select(c.money_text(F.col("x"), "pct")).collect()] == [f"{v:.2f}" for v in shares]
+    assert df([float("nan")]).select(c.money_text(F.col("x"), "pct")).first()[0] == "NaN"
+
+
 def test_dates_text_and_names(spark):
     df = spark.sql("SELECT timestamp'2024-01-02 10:00:00' AS t, 1 AS n, CAST(NULL AS string) AS s")
     assert str(c.dated(df).first()["t"]) == "2024-01-02"
