@@ -145,12 +145,13 @@ def distinct_names(df: DataFrame) -> DataFrame:
 def preview(df: DataFrame, rows: int = 1000, order: tuple[str, ...] = ()) -> tuple[list[Row], int]:
     """The first rows - in the frame's order, or in one given - and how many there are, from one pass.
 
-    The count is observed beside the rows; each task keeps its first ones, so no task stops before the count is whole.
+    The count is observed beside the rows; each task keeps its first ones, so no task stops before the count is whole. Rows that come in the
+    order given, as out of a join by its columns, would let a task stop at its first ones, so the order is that of a value made from the columns.
     """
     seen, at = Observation(), F.monotonically_increasing_id()
     found = df.observe(seen, F.count(F.lit(1)).alias("total"))
     if order:
-        first = found.orderBy(*order).limit(rows)
+        first = found.withColumn("__key", F.struct(*order)).orderBy("__key").limit(rows).drop("__key")
     else:
         found = found.withColumn("__at", at).where(F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) < rows)
         first = found.orderBy("__at").limit(rows).drop("__at")

@@ -77,6 +77,13 @@ def test_preview_and_total_come_from_one_job(spark, parts):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_preview_counts_all_rows_that_come_sorted(spark):
+    left, right = spark.range(5000), spark.range(0, 5000, 1).withColumnRenamed("id", "k")
+    joined = left.hint("merge").join(right, F.col("id") == F.col("k")).select("id")
+    shown, n = c.preview(joined, 3, ("id",))
+    assert [r["id"] for r in shown] == [0, 1, 2] and n == 5000
+
+
 def test_arithmetic(spark):
     df = spark.createDataFrame([(3.0, 0.0)], "a double, b double")
     known = ["a", "b"]
