@@ -10,6 +10,7 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
@@ -155,11 +156,13 @@ def load(df: DataFrame) -> DataFrame:
 
 
 def first_per_loan(df: DataFrame) -> DataFrame:
-    """The first row, by ``PLACE``, of every loan number; rows without one all stay. Repeats are dropped before the shuffle as well as after it."""
-    columns = [c for c in df.columns if c not in (PLACE, "loan_no")]
+    """The first row, by ``PLACE``, of every loan number; rows without one all stay.
+
+    Spark drops repeats before the shuffle as well as after it, and only columns that are used later are shuffled.
+    """
     alone = F.when(F.col("loan_no").isNull(), F.col(PLACE))
-    first = df.groupBy("loan_no", alone.alias("__alone")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), PLACE).alias("__first"))
-    return first.select(*[F.col("loan_no") if c == "loan_no" else F.col("__first")[c].alias(c) for c in df.columns if c != PLACE])
+    place = F.row_number().over(W.partitionBy("loan_no", alone).orderBy(PLACE))
+    return df.withColumn("__nth", place).where("__nth = 1").drop("__nth", PLACE)
 
 
 def load_many(frames: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:

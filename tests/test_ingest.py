@@ -5,6 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from duebook import catalog
 from duebook.plans.queries import run_filter
 from duebook.schema import DATES, HEADERS, MANDATORY, NUMBERS, SNAPSHOT, TEXTS, canonical
 from duebook.sources import ingest, shared
@@ -69,6 +70,36 @@ def test_load_keeps_the_first_row_of_a_loan(spark):
     assert sorted((r["loan_no"] or "", r["pos"]) for r in got.collect()) == [("", 8.0), ("", 9.0), ("A", 5.0), ("B", 6.0)]
 
 
+def test_of_loaded_rows_only_used_columns_are_shuffled(spark):
+    got = ingest.load(extract(spark, {"Cust Name": "C", "POS": "5"}, n=2)).select("loan_no", "curr_bucket")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "cust_name" not in plan and "SortAggregate" not in plan and rows(got) == [("A", "SMA-1")]
+    assert plan.count("WindowGroupLimit") == 2  # repeats go before the shuffle too
+
+
+def test_extracts_are_written_compressed(spark):
+    with shared.Tables():
+        raw = catalog._csv(ingest.load(extract(spark, n=3)))
+        assert raw.count() == 1 and all(f.endswith(".csv.gz") for f in raw.inputFiles())
+
+
+def test_loan_books_sum_whole_cents(spark, tmp_path):
+    from duebook.sources.loanbook import loan_book
+
+    ref = "/root/testdata/sf0.001"
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{ref}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.sql("SELECT 1L AS c_custkey, 'C' AS c_name, 3 AS c_nationkey, 0D AS c_acctbal, 'S' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 7L AS o_orderkey, 1L AS o_custkey, 'F' AS o_orderstatus, 10.5D AS o_totalprice, timestamp'2000-01-01' AS o_orderdate, 'x' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(7, 1, 0.1, 0.07, "R", "O"), (7, 2, 99999999.99, 0.1, "A", "F"), (7, 7, 0.2, 0.0, "A", "F")]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string")
+    df.withColumn("l_shipdate", F.lit("2001-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    book = loan_book(spark, str(tmp_path)).select("demand", "closing_arrears", "collection", "month_due_exp")
+    assert [str(x) for x in book.first()] == ["100000000.29", "0.10", "90000000.1910", "0.20"]
+    assert [f.dataType.simpleString() for f in book.schema] == ["decimal(28,2)", "decimal(28,2)", "decimal(33,4)", "decimal(28,2)"]
+    assert "isEmpty" not in book._jdf.queryExecution().executedPlan().toString()  # what decimal sums shuffle beside each sum
+
+
 def test_a_month_written_again_replaces_itself(spark, tmp_path):
     for month, n in (("2024-01", 2), ("2024-02", 3), ("2024-01", 1)):
         ingest.write_snapshot(spark.range(n), f"{tmp_path}/t", month)
