@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +36,19 @@ def loan_book(spark: SparkSession, sf_dir: str, snapshot: str = "curr") -> DataF
         F.when(line <= 5, "INST").when(line == 6, "BC").otherwise("EXP").alias("comp"), F.coalesce(_unpaid(snapshot), F.lit(False)).alias("unpaid"),
     )
     inst, exp, bc, unpaid, zero = F.col("comp") == "INST", F.col("comp") == "EXP", F.col("comp") == "BC", F.col("unpaid"), F.lit(0)
-    total = lambda cond, x: F.sum(F.when(cond, F.col(x)).otherwise(zero))
+    units = {"amt": (100, "decimal(28,2)"), "net": (10000, "decimal(33,4)")}
+    exact = lambda x, name: (x.cast("decimal(19,0)") * F.lit(Decimal(1) / units[name][0])).cast(units[name][1])
+    total = lambda cond, x: exact(F.sum(F.when(cond, (F.col(x) * units[x][0]).cast("long")).otherwise(zero)), x)
     loans = lines.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(unpaid.cast("int")).alias("n_unpaid"), F.sum("amt").alias("due"),
-        (F.sum("amt").cast("double") / F.count(F.lit(1))).alias("emi"),
+        F.count(F.lit(1)).alias("n_lines"), F.sum(unpaid.cast("int")).alias("n_unpaid"), total(F.lit(True), "amt").alias("due"),
+        (total(F.lit(True), "amt").cast("double") / F.count(F.lit(1))).alias("emi"),
         total(inst, "amt").alias("due_inst"), total(exp, "amt").alias("due_exp"), total(unpaid, "amt").alias("arr"),
         total(unpaid & inst, "amt").alias("arr_inst"), total(unpaid & exp, "amt").alias("arr_exp"), total(unpaid & bc, "amt").alias("arr_bc"),
         total(~unpaid, "net").alias("coll"), total(~unpaid & ~bc, "net").alias("coll_ie"), F.max(F.when(~unpaid, F.col("l_shipdate"))).alias("last_receipt"), F.max("l_shipdate").alias("last_line"),
     )
     region = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    owner = read("customer").join(region, F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = read("orders").join(owner, F.col("o_custkey") == F.col("c_custkey")).join(loans, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    owned = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = owned.join(loans, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(region, F.col("c_nationkey") == F.col("n_nationkey"))  # names last
     day = lambda text: F.lit(text).cast("timestamp")
     here = F.coalesce(F.col("last_line") >= day(CLOSED), F.lit(True)) if snapshot == "curr" else F.col("o_orderdate") < day(OPENED)
     rows = rows.where(here)
