@@ -537,16 +537,20 @@ def ingest_dirty_csv(curr):
 
 
 @query("""SELECT CAST(loan_no AS VARCHAR) AS loan_no, curr_bucket FROM curr UNION ALL
-SELECT CAST(loan_no AS VARCHAR), curr_bucket FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)""", "both")
+SELECT CAST(loan_no AS VARCHAR), curr_bucket FROM prev WHERE loan_no NOT IN (SELECT loan_no FROM curr)""", "apart")
 def union_dedupe(curr, prev):
-    made, _ = ingest.load_many({"curr": _as_extract(curr.drop("prev_bucket")), "prev": _as_extract(prev)})
+    made, _ = ingest.load_many({"curr": _as_extract(curr), "prev": _as_extract(prev)})
     return made.select("loan_no", "curr_bucket")
 
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).option("compression", "gzip").csv(path)
+
+
 def _csv(df: DataFrame) -> DataFrame:
     """A snapshot's extract as CSV files, written and read again as text."""
     path = shared.folder(df.sparkSession)
-    _as_extract(df).write.option("header", True).csv(path)
+    _write_csv(_as_extract(df), path)
     return ingest.read_raw(df.sparkSession, path)
 
 

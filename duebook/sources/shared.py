@@ -106,5 +106,5 @@ def owned(spark: SparkSession, path: str, name: str | None = None) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows, computed once and read back: each later use reads the columns that it needs, also after losing executors."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
