@@ -566,9 +566,10 @@ def _files(curr: DataFrame, prev: DataFrame) -> tuple[DataFrame, DataFrame, list
     """Extracts as CSV, loaded in order: the current one, one that lacks columns, one that is not there, the previous one."""
     spark = curr.sparkSession
     paths = [shared.folder(spark) for _ in range(4)]
-    _as_extract(curr).write.option("header", True).csv(paths[0])
-    curr.select(F.col("loan_no").alias("Loan No"), F.col("unit").alias("Unit")).write.option("header", True).csv(paths[1])
-    _as_extract(prev).write.option("header", True).csv(paths[3])
+    _write_csv(_as_extract(curr), paths[0])
+    whole = ingest.read_raw(spark, paths[0])
+    _write_csv(whole.select(*[F.col(f"`{c}`").alias(h) for c, h in ingest.match_headers(whole.columns).items() if h in ("Loan No", "Unit")]), paths[1])
+    _write_csv(_as_extract(prev), paths[3])
     return *ingest.load_files(spark, paths), paths
 
 
@@ -704,4 +705,4 @@ _REPORT = ",\n".join(x.strip().removeprefix(",").strip() for x in (_KPIS, _ALERT
 ]), "both")
 def report_tables(curr, prev):
     """All sections from two written tables, a row per figure."""
-    return report.figures(report.sections(shared.written(curr), shared.written(prev), AS_OF))
+    return report.figures(report.sections(shared.written(curr.select(*report.CURR)), shared.written(prev.select(*report.PREV)), AS_OF))

@@ -12,8 +12,13 @@ from pyspark.sql.types import NumericType
 from duebook.operators import alerts, branches, kpis, migration, scorecard
 
 
+#: The columns that the sections read of either snapshot.
+PREV = ("loan_no", "curr_bucket", "arrears_emi", "strike", "demand", "collection", "soh", "total_cum_coll", "cum_coll_ie", "cum_due_inst", "cum_due_exp")
+CURR = (*PREV, "prev_bucket", "mnt_name", "unit", "pos", "non_starter", "colending", "closing_arrears", "arr_inst", "arr_exp", "arr_bc", "loan_amount", "ag_date")
+
+
 def sections(curr: DataFrame, prev: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
-    """Health, flags, migration, executives and branches. ``curr`` has prev_bucket; every section reads it, so give a written table."""
+    """Health, flags, migration, executives and branches. ``curr`` has prev_bucket; every section reads it, so give a written table, of ``CURR`` and ``PREV`` at least."""
     card = scorecard.scorecard(curr)
     return {
         "portfolio_health": kpis.portfolio_health(curr, prev), "risk_flags": alerts.risk_flags(alerts.summary(curr, as_of)),

@@ -101,6 +101,14 @@ def test_migration_of_nothing(spark):
     assert tuple(k) == (0, 0.0, 0.0, 0.0, 0, 0)  # no month to compare with: no new loans either
 
 
+def test_report_needs_only_its_columns(spark):
+    curr, prev = book(spark, [{"arrears_emi": 2.5}, {"arrears_emi": 0.0}]), book(spark, [{"arrears_emi": 1.5}])
+    curr = with_prev_bucket(curr, prev)
+    assert len(report.CURR) < len(curr.columns) and len(report.PREV) < len(prev.columns)
+    some = report.figures(report.sections(curr.select(*report.CURR), prev.select(*report.PREV), AS_OF))
+    assert rows(some) == rows(report.figures(report.sections(curr, prev, AS_OF)))
+
+
 def test_report(spark, tmp_path):
     curr, prev = book(spark, [{} for _ in range(6)]), book(spark, [{}])
     sections = report.sections(with_prev_bucket(curr, prev), prev, AS_OF)
